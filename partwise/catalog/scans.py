@@ -161,7 +161,7 @@ def _(t):
 
 @register("src12_upsert_by_method", "method part", "score", q("est", """
     SELECT method, part, avg(value) * CASE WHEN method IN ('net', 'control') THEN 2 ELSE 1 END AS score
-    FROM est GROUP BY ALL"""))
+    FROM est GROUP BY method, part"""))
 def _(t):
     mean = lambda ms: R.estimates(t, *ms).groupBy("method", "part").agg(F.avg("value").alias("score"))
     old = mean(["price", "lines", "net"])

@@ -20,6 +20,7 @@ def local_session(cpus: int = 8, app: str = "partwise", memory: str = "16g") ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
