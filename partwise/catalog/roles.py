@@ -63,11 +63,11 @@ def estimates(t: Tables, *methods: str) -> DataFrame:
         for m in measures for p in PARTS
     ]
     if "control" in methods:
-        draws = {p: unit(F.lit("control"), "sample", F.lit(p)) for p in PARTS}
-        every = sum(draws.values(), F.lit(0.0))
+        # Draw first, in a projection of its own, so each hash is computed once.
+        wide = wide.withColumns({f"u_{p}": unit(F.lit("control"), "sample", F.lit(p)) for p in PARTS})
         cells += [
             F.struct(F.lit("control").alias("method"), F.lit(p).alias("part"),
-                     F.round(draws[p] / every, 10).alias("value"))
+                     F.round(F.col(f"u_{p}") / _total("u"), 10).alias("value"))
             for p in PARTS
         ]
     return wide.select("sample", F.explode(F.array(*cells)).alias("c")).select(
