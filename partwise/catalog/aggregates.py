@@ -74,11 +74,11 @@ def _(t):
     from partwise.operators.ranks import quantiles
 
     s = R.samples(t)
-    per = s.groupBy("patient").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("structure")).alias("ss"))
-    mid = quantiles(per, [], "n", [0.5], ["m"]).select("m").scalar()
+    per = s.groupBy("patient").agg(F.count("*").alias("k"), F.array_sort(F.collect_set("structure")).alias("ss"))
+    mid = quantiles(per, [], "k", [0.5], ["m"]).select("m").scalar()
     n_str = s.agg(F.count_distinct("structure")).scalar()
-    return per.agg(F.sum("n").alias("n_samples"), F.count("*").alias("n_patients"), F.min("n").alias("least"),
-                   F.max("n").alias("most"), F.count_distinct(F.array_join("ss", ",")).alias("structure_sets")).withColumn(
+    return per.agg(F.sum("k").alias("n_samples"), F.count("*").alias("n_patients"), F.min("k").alias("least"),
+                   F.max("k").alias("most"), F.count_distinct(F.array_join("ss", ",")).alias("structure_sets")).withColumn(
         "middle", mid.cast("double")).withColumn("n_structures", n_str)
 
 

@@ -256,9 +256,7 @@ def _(t):
 
 
 def aligned(t, *methods):
-    from partwise.operators import keys as K
-
-    return K.align(R.estimates(t, *methods), R.truth(t))
+    return R.paired(t, *methods)
 
 
 @register("prj24_presence_mask", "method", "mae_masked n_masked", q("et", """

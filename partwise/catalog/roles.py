@@ -29,50 +29,61 @@ CONSTRAINTS = [
 ]
 
 
+AMOUNTS = {
+    "price": "l_extendedprice",
+    "quantity": "l_quantity",
+    "lines": "1.0D",
+    "net": "l_extendedprice * (1 - l_discount)",
+}
+
+
 def weights(t: Tables, *measures: str) -> DataFrame:
-    """One row per order with a struct of per-part totals; absent parts are 0."""
-    amount = {
-        "price": F.col("l_extendedprice"),
-        "quantity": F.col("l_quantity"),
-        "lines": F.lit(1.0),
-        "net": F.col("l_extendedprice") * (1 - F.col("l_discount")),
-    }
+    """One row per order with a total per measure and part; absent parts are 0."""
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     sums = [
-        F.sum(F.when(F.col("p_type") == p, amount[m]).otherwise(0.0)).alias(f"{m}_{p}")
+        F.expr(f"sum(CASE WHEN p_type = '{p}' THEN {AMOUNTS[m]} ELSE 0.0D END) AS {m}_{p}")
         for m in measures for p in PARTS
     ]
     return rows.groupBy(F.col("l_orderkey").alias("sample")).agg(*sums)
 
 
-def _total(m: str):
-    out = F.col(f"{m}_{PARTS[0]}")
-    for p in PARTS[1:]:
-        out = out + F.col(f"{m}_{p}")
-    return out
+def _by_part(t: Tables, methods: tuple[str, ...], extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (sample, part): the measures and, as t_<measure>, their sample totals.
+
+    Opened in two small steps (parts here, methods in the callers), which keeps
+    each generated function short enough to be compiled.
+    """
+    measures = [*dict.fromkeys([m for m in methods if m != "control"] + list(extra))]
+    wide = weights(t, *(measures or ["lines"]))
+    if "control" in methods:
+        # Draw first, in a projection of its own, so each hash is computed once.
+        wide = wide.withColumns({f"control_{p}": unit(F.lit("control"), "sample", F.lit(p)) for p in PARTS})
+        measures.append("control")
+    totals = [f"{' + '.join(f'{m}_{p}' for p in PARTS)} AS t_{m}" for m in measures]
+    wide = wide.selectExpr("*", *totals)
+    rows = ", ".join(
+        f"named_struct('part', '{p}', " + ", ".join(f"'{m}', {m}_{p}" for m in measures) + ")" for p in PARTS)
+    return wide.selectExpr("sample", *[f"t_{m}" for m in measures], f"inline(array({rows}))")
+
+
+def _share(m: str) -> str:
+    return f"round(try_divide({m}, t_{m}), 10)"
 
 
 def estimates(t: Tables, *methods: str) -> DataFrame:
     """est(method, sample, part, value): shares of each order by part type."""
     methods = methods or tuple(METHODS)
-    measures = [m for m in methods if m != "control"]
-    wide = weights(t, *(measures or ["lines"]))
-    cells = [
-        F.struct(F.lit(m).alias("method"), F.lit(p).alias("part"),
-                 F.round(F.try_divide(F.col(f"{m}_{p}"), _total(m)), 10).alias("value"))
-        for m in measures for p in PARTS
-    ]
-    if "control" in methods:
-        # Draw first, in a projection of its own, so each hash is computed once.
-        wide = wide.withColumns({f"u_{p}": unit(F.lit("control"), "sample", F.lit(p)) for p in PARTS})
-        cells += [
-            F.struct(F.lit("control").alias("method"), F.lit(p).alias("part"),
-                     F.round(F.col(f"u_{p}") / _total("u"), 10).alias("value"))
-            for p in PARTS
-        ]
-    return wide.select("sample", F.explode(F.array(*cells)).alias("c")).select(
-        "c.method", "sample", "c.part", "c.value"
-    )
+    cells = ", ".join(f"named_struct('method', '{m}', 'value', {_share(m)})" for m in methods)
+    return _by_part(t, methods).selectExpr("sample", "part", f"inline(array({cells}))").select(
+        "method", "sample", "part", "value")
+
+
+def paired(t: Tables, *methods: str) -> DataFrame:
+    """et(method, sample, part, e, t): estimate beside truth, from one pass over the lines."""
+    methods = methods or tuple(METHODS)
+    cells = ", ".join(f"named_struct('method', '{m}', 'e', {_share(m)})" for m in methods)
+    return _by_part(t, methods, ("quantity",)).selectExpr(
+        "sample", "part", f"{_share('quantity')} AS t", f"inline(array({cells}))").select("method", "sample", "part", "e", "t")
 
 
 def truth(t: Tables) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,23 +159,31 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
 
 def fisher(a: str, b: str, c: str, d: str) -> Column:
     """Exact two-sided p of a 2 x 2 table: tables no likelier than the observed one."""
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        import numpy as np
-
-        out = []
-        for w, x, y, z in zip(a, b, c, d):
-            r1, c1, n = w + x, w + y, w + x + y + z
-            lg = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-            ks = np.arange(max(0, c1 - (n - r1)), min(r1, c1) + 1)
-            lp = (lg[r1] - lg[ks] - lg[r1 - ks] + lg[n - r1] - lg[c1 - ks] - lg[n - r1 - c1 + ks] - lg[n] + lg[c1] + lg[n - c1])
-            lobs = lp[ks == w][0]
-            out.append(float(min(1.0, np.exp(lp[lp <= lobs + 1e-7]).sum())))
-        return pd.Series(out)
-
-    return p(F.col(a), F.col(b), F.col(c), F.col(d))
+    return _fisher(F.col(a), F.col(b), F.col(c), F.col(d))
+
+
+@F.pandas_udf("double")
+def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Hypergeometric sum while the smaller margin allows it, corrected chi-square beyond."""
+    lgamma = np.vectorize(math.lgamma, otypes=["float64"])
+
+    def log_choose(n, k):
+        return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
+
+    out = []
+    for w, x, y, z in zip(a, b, c, d):
+        r1, c1, n = int(w + x), int(w + y), int(w + x + y + z)
+        lo, hi = max(0, c1 - (n - r1)), min(r1, c1)
+        if hi - lo > 100_000:
+            spread = math.sqrt(r1) * math.sqrt(n - r1) * math.sqrt(c1) * math.sqrt(n - c1)
+            cross = abs(int(w) * int(z) - int(x) * int(y))
+            chi = max(cross - n / 2.0, 0.0) * math.sqrt(n) / spread if spread else 0.0
+            out.append(math.erfc(chi / math.sqrt(2.0)))
+            continue
+        ks = np.arange(lo, hi + 1)
+        lp = log_choose(r1, ks) + log_choose(n - r1, c1 - ks) - log_choose(n, c1)
+        out.append(float(min(1.0, np.exp(lp[lp <= lp[int(w) - lo] + 1e-7]).sum())))
+    return pd.Series(out)
 
 
 def label_shares(df: DataFrame, sample: str, label: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from partwise.functions.draws import SPAN, hash32
 from partwise.functions.guards import ratio
-from partwise.session import parallelism
+from partwise.session import cut_lineage, parallelism
 
 
 def _range_index(bounds: Column, value: Column, width: int) -> Column:
@@ -97,9 +97,10 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, weights: Sequenc
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, value, n, before, total): the rank facts of every distinct value."""
-    src = df.select(*keys, value, (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("n"))
-    out = prefix_sums(src, keys, value, ["n"])
-    return out.select(*keys, value, "n", F.col("before_n").alias("before"), F.col("total_n").alias("total"))
+    src = df.select(*keys, value, (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_n"))
+    out = prefix_sums(src, keys, value, ["_n"])
+    facts = [F.col("_n").alias("n"), F.col("before__n").alias("before"), F.col("total__n").alias("total")]
+    return out.select(*keys, value, *facts)
 
 
 def average_rank(descending: bool = False) -> Column:
@@ -185,6 +186,7 @@ def dominance(df: DataFrame, keys: Sequence[str], x: str, y: str, wa: str, wb: s
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*keys, x, y).agg(F.sum(wa).cast("double").alias("wa"), F.sum(wb).cast("double").alias("wb"))
     )
+    pts = cut_lineage(pts)  # read five times below
     codes = value_ranks(pts, keys, y).select(*keys, y, F.col("before").alias("_code"), F.col("total").alias("_m"))
     coded = pts.join(codes, [*keys, y])
     bits = F.ceil(F.log2(F.col("_m") + 1)).cast("int")
@@ -215,6 +217,7 @@ def pair_counts(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*keys, x, y).agg(F.count("*").alias("w"))
     )
+    pts = cut_lineage(pts)
     choose2 = lambda c: F.sum(c.cast("double") * (c - 1) / 2)
     tx = pts.groupBy(*keys, x).agg(F.sum("w").alias("w")).groupBy(*keys).agg(choose2(F.col("w")).alias("tied_x"))
     ty = pts.groupBy(*keys, y).agg(F.sum("w").alias("w")).groupBy(*keys).agg(choose2(F.col("w")).alias("tied_y"))
