@@ -59,6 +59,14 @@ def _cumulate(placed: DataFrame, keys: list[str], order: list[Column], weights:
     )
 
 
+def _number(df: DataFrame, value: str) -> Column:
+    """The value itself, or for text the number formed by its first six bytes."""
+    if df.schema[value].dataType.simpleString() != "string":
+        return F.col(value)
+    head = F.rpad(F.substring(F.hex(F.col(value)), 1, 12), 12, "0")
+    return F.conv(head, 16, 10).cast("bigint")
+
+
 def range_bounds(tally: DataFrame, value: str, weights: Sequence[str]) -> Column:
     """Scalar subquery: cut points that split the values into equal ranges.
 
@@ -69,7 +77,7 @@ def range_bounds(tally: DataFrame, value: str, weights: Sequence[str]) -> Column
     width = parallelism(tally.sparkSession)
     cuts = [i / width for i in range(1, width)]
     return tally.select(
-        F.struct(F.percentile_approx(value, cuts, 10 * width).alias("cuts"),
+        F.struct(F.percentile_approx(_number(tally, value), cuts, 10 * width).alias("cuts"),
                  *[F.sum(w).alias(w) for w in weights])
     ).scalar()
 
@@ -90,7 +98,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, weights: Sequenc
     if bounds is None:
         bounds = range_bounds(tally, value, weights)
     placed = tally.withColumn("_bounds", bounds.getField("cuts"))
-    at = F.coalesce(_range_index(F.col("_bounds"), F.col(value), width), F.lit(0))
+    at = F.coalesce(_range_index(F.col("_bounds"), _number(tally, value), width), F.lit(0))
     placed = placed.withColumn("_range", at).drop("_bounds")
     return _cumulate(placed, keys, [F.col(value)], weights, [*keys, value])
 
