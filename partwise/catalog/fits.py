@@ -27,9 +27,9 @@ MARK = "CASE WHEN CAST(regexp_extract(feature, '([0-9]+)', 1) AS INTEGER) % 6 =
 _BLOCK = "CASE part " + " ".join(
     f"WHEN '{p}' THEN {MARK.format(i=i)}" for i, p in enumerate(PARTS)) + " END"
 R.CTES["fsig"] = ("sig", f"SELECT feature, part, round(mean / 10 + {_BLOCK}, 6) AS mean FROM sig")
-R.CTES["share"] = ("est smp", """SELECT patient AS sample, part, round(avg(value), 9) AS value FROM est JOIN smp USING (sample)
+R.CTES["share"] = ("est smp", """SELECT patient AS sample, part, avg(value) AS value FROM est JOIN smp USING (sample)
     WHERE method = 'price' GROUP BY 1, 2""")
-R.CTES["bulk"] = ("fsig share", f"""SELECT feature, sample, round(sum(mean * value) * (0.9 + 0.2 * ({h32("'noise'", "feature", "sample")} + 1) / 4294967296.0::DOUBLE), 8) AS value
+R.CTES["bulk"] = ("fsig share", f"""SELECT feature, sample, sum(mean * value) * (0.9 + 0.2 * ({h32("'noise'", "feature", "sample")} + 1) / 4294967296.0::DOUBLE) AS value
     FROM fsig JOIN share USING (part) GROUP BY feature, sample""")
 
 
@@ -43,13 +43,13 @@ def planted(t):
 
 def shares(t):
     return R.estimates(t, "price").join(R.samples(t).select("sample", "patient"), "sample").groupBy(
-        F.col("patient").alias("sample"), "part").agg(F.round(F.avg("value"), 9).alias("value"))
+        F.col("patient").alias("sample"), "part").agg(F.avg("value").alias("value"))
 
 
 def bulk_of(sig, share):
     raw = K.matrix_product(sig, share, ["sample"])
     noise = 0.9 + 0.2 * unit(F.lit("noise"), "feature", "sample")
-    return raw.select("feature", "sample", F.round(F.col("fitted") * noise, 8).alias("value"))
+    return raw.select("feature", "sample", (F.col("fitted") * noise).alias("value"))
 
 
 def problem(t):
@@ -107,12 +107,14 @@ def _(t):
 
 
 @register("fit04_extra_part_column", "sample part", "value", fit_sql("fsig bulk", f"""
-    WITH ext AS (SELECT feature, part, mean FROM fsig WHERE part <> 'PROMO' UNION ALL SELECT feature, '~other', sum(mean) / 5 * 0.5 FROM fsig WHERE part <> 'PROMO' GROUP BY 1),
-    {nnls_ctes('fx', 'ext', 'bulk', 6, 150)} SELECT sample, part, value FROM fx WHERE part <> '~other'"""))
+    WITH nb AS (SELECT feature, c_nationkey AS sample, avg(value) AS value FROM bulk JOIN customer ON c_custkey = sample GROUP BY 1, 2), ext AS (SELECT feature, part, mean FROM fsig WHERE part <> 'PROMO' UNION ALL SELECT feature, '~other', sum(mean) / 6 * 0.5 FROM fsig GROUP BY 1),
+    {nnls_ctes('fx', 'ext', 'nb', 6, 2000)} SELECT sample, part, value FROM fx WHERE part <> '~other'"""))
 def _(t):
     sig, bulk = problem(t)
     five = [p for p in PARTS if p != "PROMO"]
-    ext = FT.with_extra_part(FT.drop_part(sig, "PROMO"), 5, 0.5)
+    ext = FT.drop_part(FT.with_extra_part(sig, 6, 0.5), "PROMO")
+    nation = t.customer.select(F.col("c_custkey").alias("sample"), "c_nationkey")
+    bulk = bulk.join(nation, "sample").groupBy("feature", F.col("c_nationkey").alias("sample")).agg(F.avg("value").alias("value"))
     return FT.nnls(ext, bulk, [*five, "~other"]).where("part <> '~other'")
 
 
@@ -201,12 +203,12 @@ def _(t):
 @register("fit11_scale_arm_compare", "arm part n", "rho", fit_sql("fsig bulk share", f"""
     WITH ls AS (SELECT feature, part, ln(1 + mean) AS mean FROM fsig), lb AS (SELECT feature, sample, ln(1 + value) AS value FROM bulk),
     {nnls_ctes('xa', 'fsig', 'bulk', 6)}, {nnls_ctes('xb', 'ls', 'lb', 6, 200)},
-    j AS (SELECT 'linear' AS arm, part, round(xa.value, 7) AS e, share.value AS t FROM xa JOIN share USING (sample, part)
-      UNION ALL SELECT 'log', part, round(xb.value, 7), share.value FROM xb JOIN share USING (sample, part))
+    j AS (SELECT 'linear' AS arm, part, round(xa.value, 7) AS e, round(share.value, 9) AS t FROM xa JOIN share USING (sample, part)
+      UNION ALL SELECT 'log', part, round(xb.value, 7), round(share.value, 9) FROM xb JOIN share USING (sample, part))
     SELECT arm, part, count(*) AS n, {corr_sql('r_e', 'r_t')} AS rho FROM {ranks_sql('j', 'arm, part', 'e t')} GROUP BY 1, 2"""))
 def _(t):
     sig, bulk = problem(t)
-    truth = shares(t).withColumnRenamed("value", "t")
+    truth = shares(t).select("sample", "part", F.round("value", 9).alias("t"))
     lin = FT.nnls(sig, bulk, PARTS).withColumn("arm", F.lit("linear"))
     log = FT.nnls(sig.withColumn("mean", F.log1p("mean")), bulk.withColumn("value", F.log1p("value")), PARTS).withColumn("arm", F.lit("log"))
     j = cut_lineage(lin.unionByName(log).join(truth, ["sample", "part"]).withColumn("e", F.round("value", 7)))
@@ -262,7 +264,7 @@ def _(t):
 
 
 @register("res16_feature_half_stability", "part n_pairs", "stability", fit_sql("fsig bulk", f"""
-    WITH hf AS (SELECT draw, feature FROM (SELECT draw, feature, row_number() OVER (PARTITION BY draw ORDER BY {h32("'half'", "draw", "feature")}, feature) AS k, count(*) OVER (PARTITION BY draw) AS n
+    WITH hf AS (SELECT draw, feature FROM (SELECT draw, feature, row_number() OVER (PARTITION BY draw ORDER BY {h32("'half3'", "draw", "feature")}, feature) AS k, count(*) OVER (PARTITION BY draw) AS n
       FROM (SELECT DISTINCT feature FROM fsig), (SELECT unnest(range(1, 4)) AS draw)) WHERE k <= n // 2),
     s1 AS (SELECT * FROM fsig WHERE feature IN (SELECT feature FROM hf WHERE draw = 1)), s2 AS (SELECT * FROM fsig WHERE feature IN (SELECT feature FROM hf WHERE draw = 2)),
     s3 AS (SELECT * FROM fsig WHERE feature IN (SELECT feature FROM hf WHERE draw = 3)),
@@ -274,7 +276,7 @@ def _(t):
     from partwise.operators.ranks import attach_rank
 
     sig, bulk = problem(t)
-    halves = RS.random_halves(sig, 3, "half")
+    halves = RS.random_halves(sig, 3, "half3")
     sigs = cut_lineage(sig.join(halves, "feature"))
     fit = FT.solve(FT.normal_equations(sigs, bulk, PARTS, ["draw", "sample"]), PARTS, ["draw", "sample"])
     fit = cut_lineage(fit.withColumn("value", F.round("value", 6)))
