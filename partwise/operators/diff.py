@@ -25,10 +25,9 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequ
     return o.join(n, list(keys), "full").withColumn("status", status).drop("_o", "_n")
 
 
-def row_hash(columns: Sequence[str], digits: int = 9):
-    """32 bits of md5 over the row, numbers rounded, missing marked."""
+def row_hash(columns: Sequence[str]):
+    """32 bits of md5 over the row, missing marked."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("<missing>")) for c in columns]
-    del digits
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("bigint")
 
 

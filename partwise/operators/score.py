@@ -37,11 +37,11 @@ def constraint_terms(spark: SparkSession, constraints: Sequence[tuple]) -> DataF
         rows, "id STRING, kind STRING, part STRING, weight DOUBLE, n_terms INT, structure STRING, pos INT")
 
 
-def verdicts(means: DataFrame, terms: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
+def verdicts(means: DataFrame, terms: DataFrame, keys: Sequence[str], value: str = "v", min_others: int = 2) -> DataFrame:
     """(keys, id, weight, ok) for every constraint the group can evaluate.
 
     An equi-join on (part, structure) and one aggregate.  Pairwise needs both
-    structures, a maximum the target and two others, a chain all of its links; a
+    structures, a maximum the target and ``min_others`` others, a chain all of its links; a
     tie is a violation.  What cannot be evaluated leaves no row.
     """
     v = F.col(value)
@@ -54,7 +54,7 @@ def verdicts(means: DataFrame, terms: DataFrame, keys: Sequence[str], value: str
         F.when(F.col("kind") == "monotone", steps).alias("steps"),
     )
     pair = F.when((F.col("n_rest") == 1), F.col("first") > F.col("rest"))
-    top = F.when(F.col("n_rest") >= 2, F.col("first") > F.col("rest"))
+    top = F.when(F.col("n_rest") >= min_others, F.col("first") > F.col("rest"))
     links = F.transform(
         F.slice("steps", 1, F.col("n_terms") - 1),
         lambda s, i: s.v < F.get(F.col("steps"), i + 1).v,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,19 +34,22 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return keep.unionByName(new, allowMissingColumns=True)
 
 
+@F.pandas_udf("binary")
+def gzipped(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: None if s is None else gzip.compress(s.encode()))
+
+
+@F.pandas_udf("binary")
+def gunzipped(blob: pd.Series) -> pd.Series:
+    return blob.map(lambda b: None if b is None else gzip.decompress(b))
+
+
 def file_hashes(spark: SparkSession, path: str, decode_gzip: bool = False) -> DataFrame:
     """(path, bytes, sha256) of a file tree, one task per group of files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     if decode_gzip:
-        import gzip
-
-        import pandas as pd
-
-        @F.pandas_udf("binary")
-        def unzip(content: pd.Series, name: pd.Series) -> pd.Series:
-            return pd.Series([gzip.decompress(b) if n.endswith(".gz") else b for b, n in zip(content, name)])
-
-        files = files.withColumn("content", unzip("content", "path"))
+        packed = F.col("path").endswith(".gz")
+        files = files.withColumn("content", F.when(packed, gunzipped(F.when(packed, F.col("content")))).otherwise(F.col("content")))
     return files.select(
         F.col("path"), F.octet_length("content").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("sha256")
     )
