@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partwise.functions.guards import both, pearson, ratio
 from partwise.operators.ranks import quantiles, value_ranks
@@ -162,7 +163,7 @@ def fisher(a: str, b: str, c: str, d: str) -> Column:
     return _fisher(F.col(a), F.col(b), F.col(c), F.col(d))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Hypergeometric sum while the smaller margin allows it, corrected chi-square beyond."""
     lgamma = np.vectorize(math.lgamma, otypes=["float64"])

@@ -8,6 +8,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partwise.functions.guards import both, normal_tail, pearson, ratio
 from partwise.operators.keys import method_grid
@@ -91,7 +92,7 @@ def label_pair_counts(df: DataFrame, keys: Sequence[str], label: str, value: str
         "auc_strict", ratio("n_gt", "n_pairs")).withColumn("tie_share", ratio("n_tie", "n_pairs"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _exact_rank_sum(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Two-sided exact p of a small untied rank-sum statistic."""
     import numpy as np

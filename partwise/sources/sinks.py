@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", **options) -> str:
@@ -34,12 +35,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return keep.unionByName(new, allowMissingColumns=True)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzipped(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else gzip.compress(s.encode()))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzipped(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: None if b is None else gzip.decompress(b))
 
