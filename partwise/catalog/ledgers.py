@@ -15,8 +15,8 @@ from partwise.session import scratch_dir
 from partwise.sources import scans, sinks
 
 
-@register("agg50_content_hash", "priority n_rows hash_sum hash_xor", "", f"""
-    SELECT priority, count(*) AS n_rows, CAST(sum(h) AS BIGINT) AS hash_sum, bit_xor(h) AS hash_xor FROM
+@register("agg50_content_hash", "priority n_rows hash_hi hash_lo hash_xor", "", f"""
+    SELECT priority, count(*) AS n_rows, CAST(sum(h >> 16) AS BIGINT) AS hash_hi, CAST(sum(h & 65535) AS BIGINT) AS hash_lo, bit_xor(h) AS hash_xor FROM
     (SELECT o_orderpriority AS priority, {h32("o_orderkey", "o_custkey", "o_orderstatus")} AS h FROM orders) GROUP BY 1""")
 def _(t):
     return D.content_hash(t.orders.withColumnRenamed("o_orderpriority", "priority"), ["priority"], ["o_orderkey", "o_custkey", "o_orderstatus"])

@@ -32,19 +32,21 @@ def row_hash(columns: Sequence[str]):
 
 
 def content_hash(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Order-free certificate per key: row count, sum and xor of row hashes.
+    """Order-free certificate per key: row count, sums of the hash halves, and xor.
 
+    The halves are summed apart so that a sum cannot overflow at any table size.
     Put the position among the columns to make it order-sensitive.  All three
     parts combine map-side, so a table of any size is certified without a sort.
     """
     h = row_hash(columns)
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(h).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(F.shiftright(h, 16)).alias("hash_hi"),
+                                F.sum(h.bitwiseAND(F.lit(65535))).alias("hash_lo"), F.bit_xor(h).alias("hash_xor"))
 
 
 def distinct_settings(df: DataFrame, setting: str, pos: str, columns: Sequence[str]) -> DataFrame:
     """Settings with identical output collapse onto the first of them."""
     cert = content_hash(df, [setting, pos], columns)
-    return cert.groupBy("n_rows", "hash_sum", "hash_xor").agg(
+    return cert.groupBy("n_rows", "hash_hi", "hash_lo", "hash_xor").agg(
         F.min_by(setting, pos).alias("kept"), F.count("*").alias("n_settings"))
 
 

@@ -40,6 +40,17 @@ def random_pair_null(cells: DataFrame, methods: Sequence[str], unit: Sequence[st
     return out.withColumn("beats_median", F.col("observed") > F.col("null_median"))
 
 
+def centrality_vs_truth(cells: DataFrame, methods: Sequence[str], unit: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Per key: rank correlation of a method's mean agreement with the others and its own truth correlation."""
+    keys = list(keys)
+    pairs = method_pair_correlation(cells, methods, [*keys, *unit], keys)
+    both = pairs.select(*keys, F.col("m1").alias("method"), "r").unionByName(pairs.select(*keys, F.col("m2").alias("method"), "r"))
+    central = both.groupBy(*keys, "method").agg(F.round(F.avg("r"), 9).alias("centrality"))
+    own = spearman(cells, [*keys, "method"], "value", "t", name="truth_rho").drop("n")
+    own = own.withColumn("truth_rho", F.round("truth_rho", 9))
+    return spearman(central.join(own, [*keys, "method"]), keys, "centrality", "truth_rho", 4)
+
+
 def row_bootstrap(rows: DataFrame, unit: Sequence[str], ident: str, x: str, y: str, n_draws: int, seed: str) -> DataFrame:
     """Per draw: rank correlation over units of (their Pearson r) with (their mean x)."""
     times = resampled_units(rows.select(ident).distinct(), [], ident, n_draws, seed)
@@ -52,20 +63,3 @@ def row_bootstrap(rows: DataFrame, unit: Sequence[str], ident: str, x: str, y: s
         (F.col("sxx") - F.col("sx") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n)))
     units = s.select("draw", F.round(r, 9).alias("r"), F.round(F.col("sx") / n, 9).alias("level"))
     return spearman(units, ["draw"], "r", "level")
-
-
-def centrality(pairs: DataFrame) -> DataFrame:
-    """Mean correlation of each method with the others."""
-    both = pairs.select(F.col("m1").alias("method"), "r").unionByName(pairs.select(F.col("m2").alias("method"), "r"))
-    return both.groupBy("method").agg(F.avg("r").alias("centrality"))
-
-
-def stability(fits: DataFrame, setting: str, unit: str, settings: Sequence[str], value: str = "value") -> DataFrame:
-    """Mean pairwise rank agreement of one quantity across settings."""
-    from partwise.operators.ranks import attach_rank
-
-    ranked = attach_rank(fits, [setting], value, "_r")
-    pairs = method_pair_correlation(ranked.select(F.col(setting).alias("method"), unit, F.col("_r").alias("value")), list(settings), [unit], [])
-    return pairs.agg(F.avg("r").alias("stability"), F.count("r").alias("n_pairs"))
-
-

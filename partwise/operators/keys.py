@@ -92,9 +92,15 @@ def align(estimate: DataFrame, truth: DataFrame, on: Sequence[str] = ("sample",
     return estimate.withColumnRenamed("value", "e").join(truth.withColumnRenamed("value", "t"), list(on))
 
 
-def shared_features(ordered: DataFrame, others: Sequence[DataFrame], key: str, pos: str) -> DataFrame:
-    """Keys of the ordered list present in every other table, list order kept in ``pos``."""
-    return reduce(lambda d, o: d.join(o.select(key).distinct(), key, "left_semi"), others, ordered).select(key, pos)
+def shared_features(ordered: DataFrame, others: Sequence[DataFrame], key: str, pos: str, at_least: int = 0) -> DataFrame:
+    """Keys of the ordered list present in every other table, list order kept in ``pos``.
+
+    With ``at_least``, fewer shared keys are an error.
+    """
+    out = reduce(lambda d, o: d.join(o.select(key).distinct(), key, "left_semi"), others, ordered).select(key, pos)
+    if at_least and out.limit(at_least).count() < at_least:
+        raise ValueError(f"fewer than {at_least} shared {key}s")
+    return out
 
 
 def holdout(cells: DataFrame, donors: DataFrame, test: bool) -> DataFrame:

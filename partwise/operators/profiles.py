@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.functions.draws import hash32
-from partwise.functions.guards import ratio
+from partwise.functions.guards import pearson, ratio
+from partwise.operators.ranks import hash_positions, prefix_sums
 
 
 def collapse(df: DataFrame, keys: Sequence[str], value: str, how: str, pos: str | None = None) -> DataFrame:
@@ -90,39 +91,42 @@ def top_features(profile: DataFrame, n: int, markers: DataFrame | None = None) -
 def balanced_sample(cells: DataFrame, cap: int, target: int, seed: str, floor: int = 25) -> DataFrame:
     """Cap cells per (donor, part), then trim each part in proportion, never below ``floor``.
 
-    Both steps keep the smallest seeded hashes up to a limit, so only that many
-    rows per key survive the map side.
+    The cap keeps the smallest seeded hashes, so at most ``cap`` rows per key and
+    task are shuffled; the trim numbers each part in hash ranges.
     """
     h = hash32(F.lit(seed), "cell")
-    first = cells.withColumn("_h", h).withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("donor", "part").orderBy("_h", "cell"))).where(F.col("_rn") <= cap).drop("_rn")
+    first = cells.withColumn("_seeded", h).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy("donor", "part").orderBy("_seeded", "cell"))).where(
+        F.col("_rn") <= cap).drop("_rn", "_seeded")
     sizes = first.groupBy("part").agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n")).scalar()
     keep = F.when(total <= target, F.col("_n")).otherwise(
         F.greatest(F.bround(F.col("_n") * F.lit(float(target)) / total).cast("bigint"), F.least(F.col("_n"), F.lit(floor))))
-    quota = sizes.select("part", keep.alias("_keep"))
-    ranked = first.join(quota, "part").withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("part").orderBy(hash32(F.lit(seed + "2"), "cell"), "cell")))
-    return ranked.where(F.col("_rn") <= F.col("_keep")).drop("_rn", "_keep", "_h")
+    quota = sizes.select("part", "_n", keep.alias("_keep"))
+    sized = first.join(quota, "part")
+    ranked = hash_positions(sized, ["part"], "cell", hash32(F.lit(seed + "2"), "cell"), "_n", "_rn")
+    return ranked.where(F.col("_rn") <= F.col("_keep")).drop("_rn", "_keep", "_n")
 
 
 def donor_split(cells: DataFrame, n_test: int | None = None, fraction: float = 0.25, seed: str = "split") -> DataFrame:
     """Seeded test donors: at least one on each side; fewer than two donors is an error."""
     donors = cells.select("donor").distinct()
-    n = donors.count()
-    if n < 2:
-        raise ValueError("a donor split needs two donors")
-    k = n_test if n_test is not None else round(n * fraction)
-    k = min(max(1, k), n - 1)
-    return donors.orderBy(hash32(F.lit(seed), "donor"), "donor").limit(k)
+    n = F.col("_n")
+    k = F.lit(n_test) if n_test is not None else F.bround(n * F.lit(fraction))
+    k = F.when(n < 2, F.raise_error(F.lit("a donor split needs two donors"))).otherwise(
+        F.least(F.greatest(k, F.lit(1)), n - 1))
+    placed = hash_positions(donors.withColumn("_n", donors.agg(F.count("*")).scalar()), [], "donor",
+                            hash32(F.lit(seed), "donor"), "_n")
+    return placed.where(F.col("pos") <= k).select("donor")
 
 
 def eligible_donors(cells: DataFrame, min_cells: int, min_per_part: int, sizes: Sequence[int], seed: str) -> DataFrame:
     """Smallest seeded draw of eligible donors that gives every part enough cells."""
     per = cells.groupBy("donor", "part").agg(F.count("*").alias("n"))
     ok = per.groupBy("donor").agg(F.sum("n").alias("total")).where(F.col("total") > min_cells)
-    # One row per donor: the donor table is small next to the cells.
-    order = ok.withColumn("rank", F.row_number().over(Window.orderBy(hash32(F.lit(seed), "donor"), "donor")))
+    # Only the first max(sizes) donors can ever be drawn, so the numbering sees no more.
+    first = ok.withColumn("_s", hash32(F.lit(seed), "donor")).orderBy("_s", "donor").limit(max(sizes))
+    order = first.withColumn("rank", F.row_number().over(Window.orderBy("_s", "donor"))).drop("_s")
     n_parts = cells.agg(F.count_distinct("part")).scalar()
     per_rank = per.join(order.select("donor", "rank"), "donor")
     trial = per_rank.select("donor", "part", "n", "rank", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size")).where(
@@ -139,8 +143,6 @@ def assign_folds(sizes: DataFrame, k: int, seed: str) -> DataFrame:
     Snake order over patients sorted by size keeps fold loads within one patient
     of each other per sweep and needs no sequential pass.
     """
-    from partwise.operators.ranks import prefix_sums
-
     tagged = sizes.withColumn("_key", -(F.col("n") * F.lit(2.0**32)) + hash32(F.lit(seed), "patient"))
     run = prefix_sums(tagged.select("_key", F.lit(1).alias("_one")), [], "_key", ["_one"])
     i = F.col("before__one")
@@ -152,8 +154,6 @@ def assign_folds(sizes: DataFrame, k: int, seed: str) -> DataFrame:
 
 def label_by_profile(estimated: DataFrame, reference: DataFrame, parts: Sequence[str]) -> DataFrame:
     """Pearson of log1p profiles against every reference part; the label is the best one."""
-    from partwise.functions.guards import pearson
-
     wide = reference.groupBy("feature").pivot("part", list(parts)).agg(F.first("mean"))
     joined = estimated.join(wide, "feature")
     cells = [F.struct(pearson(F.log1p("mean"), F.log1p(F.col(p))).alias("r"), F.lit(p).alias("label")) for p in parts]

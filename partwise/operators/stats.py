@@ -74,7 +74,10 @@ def censored_concordance(df: DataFrame, keys: Sequence[str], time: str, event: s
     comparable = later.groupBy(*keys).agg(
         F.sum(F.col("_ev") * (F.col("total__all") - F.col("before__all") - F.col("_all"))).alias("comparable"))
     cross = dominance(rows, keys, time, risk, "_ev", "_all")
-    joined = comparable.join(cross, list(keys)) if keys else comparable.join(cross, F.lit(True))
+    if keys:
+        joined = comparable.join(cross, list(keys))
+    else:
+        joined = comparable.withColumn("_x", cross.select(F.struct("crossed", "level")).scalar()).select("comparable", "_x.*")
     return joined.select(*keys, "comparable", F.col("crossed").alias("concordant"), F.col("level").alias("tied"),
                          ratio(F.col("crossed") + 0.5 * F.col("level"), "comparable").alias("c_index"))
 
@@ -82,7 +85,7 @@ def censored_concordance(df: DataFrame, keys: Sequence[str], time: str, event: s
 def label_pair_counts(df: DataFrame, keys: Sequence[str], label: str, value: str, hi: str, lo: str) -> DataFrame:
     """Pairs (hi sample, lo sample) in one group: all, hi above lo, tied; from running counts."""
     sides = df.where(F.col(label).isin(hi, lo)).select(
-        *keys, value, (F.col(label) == hi).cast("bigint").alias("hi"), (F.col(label) == lo).cast("bigint").alias("lo"))
+        *keys, value, (F.col(label) == hi).cast("double").alias("hi"), (F.col(label) == lo).cast("double").alias("lo"))
     run = prefix_sums(sides, keys, value, ["hi", "lo"])
     out = run.groupBy(*keys).agg(
         (F.max("total_hi") * F.max("total_lo")).alias("n_pairs"),

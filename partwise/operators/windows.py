@@ -79,8 +79,9 @@ def leave_one_out(weights: DataFrame, unit: str, keys: Sequence[str] = ("method"
     keys = list(keys)
     total = weights.groupBy(*keys).agg(F.sum("num").alias("_n"), F.sum("den").alias("_d"))
     own = weights.groupBy(*keys, unit).agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    units = weights.select(unit).distinct()
-    grid = total.withColumn(unit, F.explode(units.agg(F.array_sort(F.collect_set(unit))).scalar()))
+    # The methods are a roster; the units are not, so the grid grows from the units.
+    every = total.agg(F.collect_list(F.struct(*total.columns))).scalar()
+    grid = weights.select(unit).distinct().withColumn("_k", F.explode(every)).select(unit, "_k.*")
     j = grid.join(own, [*keys, unit], "left").na.fill(0.0, ["num", "den"])
     return j.select(*keys, F.col(unit).cast("string").alias("left_out"),
                     ratio(F.col("_n") - F.col("num"), F.col("_d") - F.col("den")).alias("score"),
