@@ -14,6 +14,7 @@ from partwise.operators import keys as K
 from partwise.operators import metrics as M
 from partwise.operators import profiles as P
 from partwise.operators import score as S
+from partwise.session import cut_lineage
 
 PRIMARY = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL"]
 PRIMARY_SQL = "part <> 'STANDARD'"
@@ -105,7 +106,7 @@ def _(t):
     FROM (SELECT unnest(['price', 'lines', 'net', 'control']) AS method) m CROSS JOIN con c
     LEFT JOIN verdict v ON v.method = m.method AND v.id = c.id GROUP BY 1, 2"""))
 def _(t):
-    v = verdict_table(t)
+    v = cut_lineage(verdict_table(t))
     return S.per_constraint(v, S.constraint_terms(t.spark, R.CONSTRAINTS), v)
 
 
@@ -160,7 +161,7 @@ def _(t):
     s AS (SELECT method, part, covar_pop(re, rt) / nullif(stddev_pop(re) * stddev_pop(rt), 0) AS spearman_rho FROM k GROUP BY ALL)
     SELECT * FROM g JOIN f USING (method, part) LEFT JOIN s USING (method, part)"""))
 def _(t):
-    return M.per_type(scored(t))
+    return M.per_type(cut_lineage(scored(t)))
 
 
 OVERALL_SQL = f"""ps AS (SELECT method, sample, tumour, avg(abs(e - t)) AS mae_all, avg(abs(e - t)) FILTER ({PRIMARY_SQL}) AS mae_primary,
@@ -195,7 +196,7 @@ def _(t):
     SELECT method, part, min(lft) FILTER (na >= 3 AND np >= 8 AND n >= 2 AND m > mu + CASE WHEN coalesce(sd, 0) > 0 THEN sd ELSE 1e-9 END) AS limit_
     FROM n LEFT JOIN a USING (method, part) GROUP BY ALL"""))
 def _(t):
-    return M.detection_limit(aligned(t), ["method", "part"]).withColumnRenamed("limit", "limit_")
+    return M.detection_limit(cut_lineage(aligned(t)), ["method", "part"]).withColumnRenamed("limit", "limit_")
 
 
 @register("agg16_row_pearson", "method sample", "r", q("et", """
@@ -247,7 +248,7 @@ def _(t):
 def _(t):
     rows = aligned(t).join(R.samples(t).select("sample", "patient"), "sample").select(
         "method", "part", F.abs(F.col("e") - F.col("t")).alias("r"), (F.col("patient") % 2 == 0).alias("cal"))
-    return M.conformal(rows, ["method", "part"], "cal", "r", 0.1)
+    return M.conformal(cut_lineage(rows), ["method", "part"], "cal", "r", 0.1)
 
 
 @register("agg31_model_fit_r2", "n_values", "q1 median q3", q("sig est smp", """
@@ -414,7 +415,7 @@ BOARD_SQL = """board AS (SELECT method, count(*) AS n_pairs, round(sum(CASE WHEN
 
 
 def board(t):
-    return S.score(verdict_table(t)).withColumn("score", F.round("score", 12))
+    return cut_lineage(S.score(verdict_table(t)).withColumn("score", F.round("score", 12)))
 
 
 def is_control():
@@ -447,7 +448,7 @@ def _(t):
     avg(f) FILTER (method = 'control') AS control_mean, max(f) FILTER (method <> 'control') - min(f) FILTER (method <> 'control') AS spread,
     max(f) FILTER (method <> 'control') = min(f) FILTER (method <> 'control') AS unanimous FROM p GROUP BY 1"""))
 def _(t):
-    v = verdict_table(t)
+    v = cut_lineage(verdict_table(t))
     return M.constraint_spread(S.per_constraint(v, S.constraint_terms(t.spark, R.CONSTRAINTS), v), is_control())
 
 
@@ -455,6 +456,6 @@ def _(t):
     WITH {BOARD_SQL}, s AS (SELECT method, min(weight) / sum(weight) AS step FROM verdict GROUP BY 1)
     SELECT (SELECT count(DISTINCT score) FROM board) AS n_distinct, min(step) AS min_step, max(step) AS max_step FROM s"""))
 def _(t):
-    v = verdict_table(t)
+    v = cut_lineage(verdict_table(t))
     return M.resolution(v, S.score(v))
 

@@ -17,6 +17,7 @@ from partwise.operators import ranks as K
 from partwise.operators import score as S
 from partwise.operators import stats as ST
 from partwise.operators import windows as W
+from partwise.session import cut_lineage
 
 SPEC_SQL = """spec AS (SELECT part, feature, mean / nullif((sum(mean) OVER (PARTITION BY feature) - mean) / (count(*) OVER (PARTITION BY feature) - 1) + 1, 0) AS score FROM prof),
     rk AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, feature) AS rn FROM spec)"""
@@ -177,12 +178,12 @@ def _(t):
     r AS {ranks_sql('g', 'kind, unit', 'score full_score')}
     SELECT kind, unit AS left_out, count(*) FILTER (r_score <> r_full_score) AS moved, {corr_sql('r_score', 'r_full_score')} AS rho FROM r GROUP BY 1, 2"""))
 def _(t):
-    v = verdict_table(t)
+    v = cut_lineage(verdict_table(t))
     out = None
     for kind, unit in (("constraint", "id"), ("tumour", "tumour")):
         loo = W.leave_one_out(S.weigh(v, ["method", unit]), unit).withColumn("kind", F.lit(kind))
         out = loo if out is None else out.unionByName(loo)
-    out = out.withColumns({"score": F.round("score", 9), "full_score": F.round("full_score", 9)})
+    out = cut_lineage(out.withColumns({"score": F.round("score", 9), "full_score": F.round("full_score", 9)}))
     ranked = K.attach_rank(K.attach_rank(out, ["kind", "left_out"], "score", "r1"), ["kind", "left_out"], "full_score", "r2")
     from partwise.functions.guards import pearson
 

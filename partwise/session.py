@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, app: str = "partwise", memory: str = "16g") ->
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
