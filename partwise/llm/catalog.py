@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, quality_rules, simhash
+from partwise.llm import bpe, classifiers, decontaminate, quality_rules, secrets, simhash, wordpieces
 from partwise.llm.common import table
 
 
@@ -23,6 +23,26 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return wordpieces.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find(table(spark, folder, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return classifiers.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return classifiers.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 OP5_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs),
@@ -62,6 +82,8 @@ FROM m LEFT JOIN hosts USING (source)
 """
 
 QUERIES = {
-    f.__name__: f for f in (op2_simhash_near_duplicates, op4_byte_bpe, op5_quality_rules)
+    f.__name__: f for f in (
+        op2_simhash_near_duplicates, op4_byte_bpe, op5_quality_rules, op6_token_counts, op7_secret_scan, op8_decontamination,
+        op9_toxicity, op10_quality_classifier)
 }
 ORACLES = {"op5_quality_rules": OP5_SQL}
