@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, classifiers, decontaminate, quality_rules, secrets, simhash, wordpieces
+from partwise.llm import bpe, classifiers, decontaminate, quality_rules, secrets, simhash, substrings, wordpieces
 from partwise.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op2_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digests(table(spark, folder, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                        public_tokenizers.PATTERN)
@@ -81,9 +85,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m LEFT JOIN hosts USING (source)
 """
 
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+spots AS (
+  SELECT rid, i, array_to_string(ws[i:i + 34], ' ') AS win
+  FROM (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs WHERE len(ws) >= 35)),
+hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY win) AS n FROM spots) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM hit),
+words AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w FROM docs),
+kept AS (
+  SELECT rid, count(*) AS n, string_agg(w, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (rid)
+"""
+
 QUERIES = {
     f.__name__: f for f in (
-        op2_simhash_near_duplicates, op4_byte_bpe, op5_quality_rules, op6_token_counts, op7_secret_scan, op8_decontamination,
+        op2_simhash_near_duplicates, op3_substring_dedup, op4_byte_bpe, op5_quality_rules, op6_token_counts, op7_secret_scan, op8_decontamination,
         op9_toxicity, op10_quality_classifier)
 }
-ORACLES = {"op5_quality_rules": OP5_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL}
