@@ -74,6 +74,18 @@ def decode(rows: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     return per_text(rows.select(*keep, F.col("ids").alias("text")), work, "decoded string").withColumnRenamed("decoded", "text")
 
 
+def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
+    """The kept columns, ``ids``, their number, and whether decoding them gives the text again."""
+    raw = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def work(batch: list[str]) -> dict[str, list]:
+        codec = _codec(raw.value, pattern)
+        ids = [codec.encode(t) for t in batch]
+        return {"ids": ids, "n_tokens": list(map(len, ids)), "round_trip": [codec.decode(i) == t for i, t in zip(ids, batch)]}
+
+    return per_text(texts(docs, *keep), work, "ids array<int>, n_tokens long, round_trip boolean")
+
+
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """Encode and decode in one pass: counts and hashes of the ids and of the decoded bytes."""
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(path))

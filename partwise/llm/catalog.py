@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from partwise.llm import bpe, classifiers, decontaminate, quality_rules, secrets, simhash, substrings, wordpieces
+from partwise.llm import bpe, classifiers, decontaminate, licenses, quality_rules, secrets, simhash, substrings, wordpieces
 from partwise.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    path = F.concat(*[x for c in ("source", "lang", "doc_id") for x in (F.lit("/"), F.coalesce(F.col(c).cast("string"), F.lit("")))])
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"), "doc_id")
+
+
 def op2_simhash_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -102,7 +109,9 @@ FROM docs LEFT JOIN kept USING (rid)
 
 QUERIES = {
     f.__name__: f for f in (
-        op2_simhash_near_duplicates, op3_substring_dedup, op4_byte_bpe, op5_quality_rules, op6_token_counts, op7_secret_scan, op8_decontamination,
+        op1_license_scan, op2_simhash_near_duplicates, op3_substring_dedup, op4_byte_bpe, op5_quality_rules, op6_token_counts, op7_secret_scan, op8_decontamination,
         op9_toxicity, op10_quality_classifier)
 }
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL}
+OP1_SQL = licenses.sql("""SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' ||
+  coalesce(doc_id::VARCHAR, '') AS path, text FROM documents""", "doc_id")
+ORACLES = {"op1_license_scan": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL}

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from partwise.session import scratch_dir
 
 
+#: Texts that a Python function gets at once.
+SLICE = 1000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -43,9 +47,7 @@ def per_text(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema:
     names = [f.name for f in made.fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             at = batch.schema.get_field_index("text")
             out = fn(batch.column(at).to_pylist())
             cols = [c for i, c in enumerate(batch.columns) if i != at]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +121,6 @@ def keep_good(docs: DataFrame, host: str = "source", reject_above: float = 0.8)
 
 def measured_rows(whole: DataFrame) -> DataFrame:
     """(_row, the five counts); the row stays in the engine, Python sees the text alone."""
-    import pandas as pd
-
     @F.pandas_udf(MEASURES)
     def count(text: pd.Series) -> pd.DataFrame:
         rows = [measure(t) for t in text]

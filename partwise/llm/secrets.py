@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,8 +146,6 @@ def rebuilt(parts: tuple) -> Formats:
 
 def mask(docs: DataFrame, filler: str = "<secret>", formats: Formats | None = None) -> DataFrame:
     """The same rows and columns; every span of a secret in ``text`` gives way to ``filler``."""
-    import pandas as pd
-
     formats = learn(docs) if formats is None else formats
     shared = docs.sparkSession.sparkContext.broadcast((formats.kinds, formats.background.pairs, formats.gain))
 
