@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm import bpe, classifiers, decontaminate, licenses, quality_rules, secrets, simhash, substrings, wordpieces
+from partwise.llm import bpe, classifiers, decontaminate, licenses, quality_rules, secret_scan, simhash, substrings, wordpieces
 from partwise.llm.common import table
 
 
@@ -39,7 +39,7 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.find(table(spark, folder, "documents"))
+    return secret_scan.find(table(spark, folder, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,4 +114,10 @@ QUERIES = {
 }
 OP1_SQL = licenses.sql("""SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' ||
   coalesce(doc_id::VARCHAR, '') AS path, text FROM documents""", "doc_id")
-ORACLES = {"op1_license_scan": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL}
+OP8_SQL = decontaminate.sql("SELECT doc_id, text FROM documents", "SELECT item_id, text FROM benchmark", "doc_id", "item_id")
+ORACLES = {
+    "op1_license_scan": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op5_quality_rules": OP5_SQL,
+    "op8_decontamination": OP8_SQL,
+}

@@ -45,13 +45,13 @@ def canonical(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item, ipos, h).  The first word opens a sentence in the item, but may look like a name where
+    """(item, ik, ipos, h).  The first word opens a sentence in the item, but may look like a name where
     it is quoted, so the first window has a second form with a name in that place."""
-    rows = template_words(items, "item")
+    rows = template_words(items, "item", "ik")
     quoted = F.concat(F.array(F.lit(SLOTS[0])), F.slice("words", 2, WIDTH - 1))
-    return rows.select("item", F.posexplode(window_hashes(F.col("words"))).alias("ipos", "h")).union(
-        rows.where(F.size("words") >= WIDTH).select("item", quoted.alias("words")).select(
-            "item", F.posexplode(window_hashes(F.col("words"))).alias("ipos", "h"))).distinct()
+    return rows.select("item", "ik", F.posexplode(window_hashes(F.col("words"))).alias("ipos", "h")).union(
+        rows.where(F.size("words") >= WIDTH).select("item", "ik", quoted.alias("words")).select(
+            "item", "ik", F.posexplode(window_hashes(F.col("words"))).alias("ipos", "h"))).distinct()
 
 
 def template_words(df: DataFrame, *keep: str) -> DataFrame:
@@ -75,48 +75,52 @@ def _slot_values(df: DataFrame, *key: str) -> DataFrame:
 
 
 def _alike(found: DataFrame, docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
-    """(doc, text_key, item, n_slots, n_consistent, n_changed) of candidate pairs.
+    """(dk, tk, ik, n_slots, n_consistent, n_changed) of candidate pairs.
 
-    Alignments of a passage share the difference of the positions.  A slot value of the
-    item is consistent if all its places in an alignment hold one and the same value.
+    Alignments of a passage share the difference of the positions; the one with the most
+    windows counts.  A slot value of the item is consistent if all its places hold one and
+    the same value of the document.
     """
-    pair = ["doc", "text_key", "item"]
-    cover = hits.join(found.select(*pair), pair, "left_semi").select(
-        *pair, (F.col("dpos") - F.col("ipos")).alias("shift"),
-        F.explode(F.array(*[F.col("ipos") + j for j in range(WIDTH)])).alias("at")).distinct()
-    theirs = stored(_slot_values(items, "item"), "item-slots")
-    some = found.join(theirs.select("item").distinct(), "item", "left_semi")
-    wanted = stored(some.select(F.col("doc").alias("_d"), F.col("text_key").alias("_k")).distinct(), "slotted")
-    ours = _slot_values(docs.join(wanted, docs["doc"].eqNullSafe(wanted["_d"]) & (docs["text_key"] == wanted["_k"]), "left_semi")
-                        .dropDuplicates(["doc", "text_key"]), "doc", "text_key").withColumnRenamed("value", "ours")
-    met = cover.join(theirs.withColumnRenamed("value", "theirs"), ["item", "at"])
-    ours = ours.toDF("_d", "_k", "_at", "ours")
-    met = met.join(ours, met["doc"].eqNullSafe(ours["_d"]) & (met["text_key"] == ours["_k"]) & (met["at"] + met["shift"] == ours["_at"]))
-    per_value = met.groupBy(*pair, "shift", "theirs").agg(
+    pair = ["dk", "tk", "ik"]
+    hits = hits.join(found.select(*pair), pair, "left_semi").withColumn("shift", F.col("dpos") - F.col("ipos"))
+    theirs = stored(_slot_values(items, "ik"), "item-slots").withColumnRenamed("value", "theirs")
+    cover = hits.join(theirs.select("ik").distinct(), "ik", "left_semi").groupBy(*pair, "shift").agg(
+        F.countDistinct("ipos").alias("_c"), F.collect_set("ipos").alias("_at"))
+    best = cover.groupBy(*pair).agg(F.max(F.struct("_c", (-F.abs("shift")).alias("_s"), "shift", "_at")).alias("_b"))
+    best = stored(best.select(*pair, "_b.shift", F.explode("_b._at").alias("ipos")).select(
+        *pair, "shift", F.explode(F.array(*[F.col("ipos") + j for j in range(WIDTH)])).alias("at")).distinct(), "aligned")
+    ours = _slot_values(docs.join(best.select("dk", "tk").distinct(), ["dk", "tk"], "left_semi").dropDuplicates(["dk", "tk"]), "dk", "tk")
+    met = best.join(theirs, ["ik", "at"]).withColumn("at", F.col("at") + F.col("shift")).join(
+        ours.withColumnRenamed("value", "ours"), ["dk", "tk", "at"])
+    per_value = met.groupBy(*pair, "theirs").agg(
         F.count("*").alias("_n"), (F.min("ours") == F.max("ours")).cast("int").alias("_same"),
         F.sum((F.col("ours") != F.col("theirs")).cast("int")).alias("_new"))
     return per_value.groupBy(*pair).agg(F.sum("_n").alias("n_slots"), F.sum(F.col("_n") * F.col("_same")).alias("n_consistent"),
                                         F.sum("_new").alias("n_changed"))
 
 
+def _key_hash(key: Column) -> Column:
+    return F.xxhash64(key.isNull(), key.cast("string"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", share: float = 0.8) -> DataFrame:
-    """(doc, text_key, item, n_windows, n_found, n_slots, n_consistent, n_changed), one row per pair found."""
-    docs = docs.select(F.col(key).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    items = items.select(F.col(item_key).alias("item"), "text")
+    """(doc, item, dk, tk, ik, n_windows, n_found, n_slots, n_consistent, n_changed), one row per pair found.
+
+    dk is a hash of the document's key, tk of its text, ik of the item's key and text: they have no nulls to join on.
+    """
+    docs = docs.select(F.col(key).alias("doc"), _key_hash(F.col(key)).alias("dk"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), "text")
+    items = items.select(F.col(item_key).alias("item"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "ik", F.xxhash64(_key_hash(F.col("item")), "text")).dropDuplicates(["ik"])
     theirs = stored(item_windows(items), "item-windows")
-    totals = theirs.groupBy(F.col("item").alias("_item")).agg(F.countDistinct("ipos").alias("n_windows"))
-    ours = template_words(docs, "doc", "text_key").select(
-        "doc", "text_key", F.posexplode(window_hashes(F.col("words"))).alias("dpos", "g"))
+    totals = theirs.groupBy("ik").agg(F.countDistinct("ipos").alias("n_windows"))
+    ours = template_words(docs, "doc", "dk", "tk").select(
+        "doc", "dk", "tk", F.posexplode(window_hashes(F.col("words"))).alias("dpos", "g"))
     small = theirs.count() <= MOST_BROADCAST_ROWS
     hits = stored(ours.join(F.broadcast(theirs) if small else theirs, F.col("g") == F.col("h")).select(
-        "doc", "text_key", "item", "dpos", "ipos"), "hits")
-    found = hits.groupBy("doc", "text_key", "item").agg(F.countDistinct("ipos").alias("n_found"))
-    found = found.join(totals, found["item"].eqNullSafe(totals["_item"])).drop("_item").where(F.col("n_found") >= share * F.col("n_windows"))
-    found = stored(found, "found")
-    alike = _alike(found, docs, items, hits).toDF("_d", "_k", "_i", "n_slots", "n_consistent", "n_changed")
-    out = found.join(alike, found["doc"].eqNullSafe(alike["_d"]) & (found["text_key"] == alike["_k"])
-                     & found["item"].eqNullSafe(alike["_i"]), "left").drop("_d", "_k", "_i")
-    out = out.fillna(0, ["n_slots", "n_consistent", "n_changed"])
+        "doc", "item", "dk", "tk", "ik", "dpos", "ipos"), "hits")
+    found = hits.groupBy("doc", "item", "dk", "tk", "ik").agg(F.countDistinct("ipos").alias("n_found"))
+    found = stored(found.join(totals, "ik").where(F.col("n_found") >= share * F.col("n_windows")), "found")
+    out = found.join(_alike(found, docs, items, hits), ["dk", "tk", "ik"], "left").fillna(0, ["n_slots", "n_consistent", "n_changed"])
     return out.where(F.col("n_consistent") >= share * F.col("n_slots"))
 
 
@@ -130,5 +134,58 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
 def drop_leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", share: float = 0.8) -> DataFrame:
     """The documents in which no item is found; rows and columns stay as they are."""
     bad = stored(contaminated(docs, items, key, item_key, share).select(
-        F.col("doc").alias("_d"), F.col("text_key").alias("_k")).distinct(), "leaked")
-    return docs.join(bad, docs[key].eqNullSafe(bad["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_k"]), "left_anti")
+        F.col("dk").alias("_d"), F.col("tk").alias("_k")).distinct(), "leaked")
+    return docs.join(bad, (_key_hash(docs[key]) == bad["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_k"]), "left_anti")
+
+
+def sql(docs: str, items: str, key: str, item_key: str, share: float = 0.8) -> str:
+    """The same pairs in SQL, over subqueries with a key and a text."""
+    return rf"""
+WITH src AS (
+  SELECT row_number() OVER () AS uid, * FROM (
+    SELECT DISTINCT 'd' AS kind, {key} AS id, coalesce(text, '') AS t0 FROM ({docs})
+    UNION ALL SELECT DISTINCT 'i', {item_key}, coalesce(text, '') FROM ({items}))),
+s1 AS (SELECT *, regexp_replace(t0, '{NAME}', '\1⟨name⟩', 'g') AS t1 FROM src),
+s2 AS (SELECT *, regexp_replace(t1, '{QUANTITY}', ' ⟨qty⟩ \2', 'g') AS t2 FROM s1),
+s3 AS (
+  SELECT uid, kind, id, regexp_extract_all(lower(regexp_replace(t2, '{NUMBER}', ' ⟨num⟩ ', 'g')), '{WORD}') AS words,
+    regexp_extract_all(t0, '{NAME}', 2) AS v0, regexp_extract_all(t1, '{QUANTITY}', 1) AS v1, regexp_extract_all(t2, '{NUMBER}') AS v2
+  FROM s2),
+w AS (
+  SELECT uid, kind, id, i, array_to_string(words[i + 1:i + 5], ' ') AS win, array_to_string(words[i + 2:i + 5], ' ') AS tail
+  FROM (SELECT *, unnest(range(len(words) - 4)) AS i FROM s3 WHERE len(words) >= 5)),
+theirs AS (
+  SELECT uid AS iu, id AS item, i AS ipos, win FROM w WHERE kind = 'i'
+  UNION SELECT uid, id, 0, '⟨name⟩ ' || tail FROM w WHERE kind = 'i' AND i = 0),
+totals AS (SELECT iu, count(DISTINCT ipos) AS n_windows FROM theirs GROUP BY iu),
+hits AS (SELECT uid, id AS doc, iu, item, i AS dpos, ipos FROM w JOIN theirs USING (win) WHERE kind = 'd'),
+found AS (
+  SELECT uid, doc, iu, item, n_windows, count(DISTINCT ipos) AS n_found FROM hits JOIN totals USING (iu)
+  GROUP BY ALL HAVING count(DISTINCT ipos) >= {share} * n_windows),
+slots AS (
+  SELECT uid, kind, id, spot, lower(CASE word WHEN '⟨name⟩' THEN v0[n] WHEN '⟨qty⟩' THEN v1[n] ELSE v2[n] END) AS value
+  FROM (SELECT *, row_number() OVER (PARTITION BY uid, word ORDER BY spot) AS n
+        FROM (SELECT uid, kind, id, v0, v1, v2, unnest(range(len(words))) AS spot, unnest(words) AS word FROM s3)
+        WHERE word IN ('⟨name⟩', '⟨qty⟩', '⟨num⟩'))),
+aligned AS (
+  SELECT uid, iu, shift FROM (
+    SELECT h.uid, h.iu, dpos - ipos AS shift, count(DISTINCT ipos) AS c
+    FROM hits h JOIN found f ON h.uid = f.uid AND h.iu = f.iu GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY uid, iu ORDER BY c DESC, abs(shift), shift DESC) = 1),
+cover AS (
+  SELECT DISTINCT h.uid, h.iu, a.shift, unnest(range(ipos, ipos + 5)) AS spot
+  FROM hits h JOIN aligned a ON h.uid = a.uid AND h.iu = a.iu AND h.dpos - h.ipos = a.shift),
+met AS (
+  SELECT c.uid, c.iu, a.value AS theirs, b.value AS ours
+  FROM cover c JOIN slots a ON a.uid = c.iu AND a.spot = c.spot
+    JOIN slots b ON b.uid = c.uid AND b.spot = c.spot + shift),
+per_value AS (
+  SELECT uid, iu, theirs, count(*) AS n, (min(ours) = max(ours))::INT AS same, sum((ours <> theirs)::INT) AS new
+  FROM met GROUP BY ALL),
+alike AS (
+  SELECT uid, iu, sum(n) AS n_slots, sum(n * same) AS n_consistent, sum(new) AS n_changed FROM per_value GROUP BY ALL)
+SELECT DISTINCT doc AS {key}, item AS {item_key}, n_windows, n_found, coalesce(n_slots, 0)::BIGINT AS n_slots,
+  coalesce(n_consistent, 0)::BIGINT AS n_consistent, coalesce(n_changed, 0)::BIGINT AS n_changed
+FROM found LEFT JOIN alike USING (uid, iu)
+WHERE coalesce(n_consistent, 0) >= {share} * coalesce(n_slots, 0)
+"""

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 64
+#: Most keys that one word may probe in one part; the keys are spelt out in the plan.
+MOST_PROBES = 1000
 
 
 def bit_counts(words: DataFrame, column: str = "fp") -> tuple[int, np.ndarray]:
@@ -118,14 +120,15 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 def plan(n: int, both: np.ndarray, radius: int, row_cost: float = 4.0, pair_cost: float = 1.0) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each probed part: the cheapest over all numbers of parts up to radius + 2."""
-    choices = []
+    choices, rows = [], max(n, 1)
     for m in range(1, radius + 3):
         parts = group_bits(n, both, m)
         costs = []
         for part in parts:
             share = close_share(n, both, part, radius)
-            costs.append([0.0] + [row_cost * n * (probes(len(part), e) + (e > 0)) + pair_cost * share[e] * n * n / 2
-                                  for e in range(radius + 1)])
+            costs.append([0.0] + [
+                row_cost * rows * (probes(len(part), e) + (e > 0)) + pair_cost * share[e] * rows * rows / 2
+                if probes(len(part), e) <= MOST_PROBES else float("inf") for e in range(radius + 1)])
         cost, chosen = allocate(costs, radius - m + 1)
         choices.append((cost, m, [(p, e) for p, e in zip(parts, chosen) if e >= 0]))
     return min(choices)[2]

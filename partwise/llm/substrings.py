@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.llm import suffixes
-from partwise.llm.common import Memo, per_text, stored
+from partwise.llm.common import per_text, stored
 
 KEY = ("k1", "k2")
 
@@ -44,12 +44,10 @@ def _anchors(docs: DataFrame) -> DataFrame:
     """(k1, k2, place, prefix): ``place`` packs anchor, last and first window as distances."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(suffixes.word_hash, 400_000)
         for batch in batches:
             at, places, prefixes = [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                words = _split(text)
-                a, first, last, prefix = suffixes.anchors(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+                a, first, last, prefix = suffixes.anchors(suffixes.word_hashes(_split(text)))
                 at.append(np.full(len(a), i))
                 places.append(a << 12 | (a - last) << 6 | (a - first))
                 prefixes.append(prefix)
@@ -166,7 +164,7 @@ def _cut(docs: DataFrame, key: str, tree_rows: int, fn, schema: str) -> DataFram
     return per_text(joined, work, schema)
 
 
-def digests(docs: DataFrame, key: str = "doc_id", tree_rows: int = 4000) -> DataFrame:
+def digests(docs: DataFrame, key: str = "doc_id", tree_rows: int = 1000) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256), one row per document."""
 
     def fn(words: list[bytes], gone: np.ndarray) -> dict:
@@ -176,7 +174,7 @@ def digests(docs: DataFrame, key: str = "doc_id", tree_rows: int = 4000) -> Data
     return _cut(docs, key, tree_rows, fn, "n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", tree_rows: int = 4000) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", tree_rows: int = 1000) -> DataFrame:
     """(key, kept, removed): the words left, joined by spaces, and the removed word ranges, ends exclusive."""
 
     def fn(words: list[bytes], gone: np.ndarray) -> dict:

@@ -15,8 +15,8 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_MULTIPLIER, i, 1 << 64) for i in range(PREFIX)], dtype=np.uint64)
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64)
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -33,13 +33,25 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for i in range(PREFIX):
         rolled += hashes[i:i + n] * _POWERS[i]
     rolled = (rolled ^ rolled >> np.uint64(31)) * np.uint64(_MULTIPLIER)
-    where = np.lib.stride_tricks.sliding_window_view(rolled, SPAN).argmin(axis=1) + np.arange(n - SPAN + 1)
+    where = leftmost_lowest(rolled, SPAN)
     first = np.flatnonzero(np.append(True, np.diff(where) != 0))
     last = np.append(first[1:], len(where)) - 1
     at = where[first]
     return at, first, last, rolled[at].view(np.int64)
 
 
+def leftmost_lowest(values: np.ndarray, width: int) -> np.ndarray:
+    """For every window of ``width`` values, the place of its first lowest one, by windows of doubled width."""
+    at = np.arange(len(values))
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        size += step
+    return at
+
+
 def context(words: list[bytes], anchor: int, first: int, last: int) -> tuple[bytes, bytes]:
     """The words left of an anchor and those from it on, as far as its windows reach."""
     return b" ".join(words[first:anchor]), b" ".join(words[anchor:last + WINDOW])
