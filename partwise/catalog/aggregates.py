@@ -268,9 +268,15 @@ def _(t):
     return M.quartiles(M.model_fit(obs, fit), [], "r2")
 
 
-@register("agg32_crosstab_2x2", "a b c d", "odds_ratio", """
-    SELECT *, a * d / nullif(b * c, 0)::DOUBLE AS odds_ratio FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic = 0) AS b,
-    count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) FILTER (quality = 0 AND toxic = 0) AS d FROM labels)""")
+@register("agg32_crosstab_2x2", "a b c d", "odds_ratio p_value", """
+    WITH n AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic = 0) AS b,
+      count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) FILTER (quality = 0 AND toxic = 0) AS d FROM labels),
+    k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM n),
+    f AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1)
+      - lgamma(k + 1) - lgamma(a + b - k + 1) - lgamma(a + c - k + 1) - lgamma(d - a + k + 1) AS lp FROM k),
+    o AS (SELECT lp AS seen FROM f WHERE k = a)
+    SELECT a, b, c, d, a * d / nullif(b * c, 0)::DOUBLE AS odds_ratio, least(1, sum(exp(lp)) FILTER (lp <= seen + 1e-7)) AS p_value
+    FROM f, o GROUP BY a, b, c, d""")
 def _(t):
     flags = t.labels.select((F.col("quality") == 1).alias("q"), (F.col("toxic") == 1).alias("x"))
     return M.crosstab(flags, "q", "x")

@@ -78,11 +78,15 @@ def _(t):
 STATUS = """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN ' DEAD' WHEN 'O' THEN '0:LIVING' ELSE 'unknown' END AS raw FROM orders"""
 
 
-@register("prj06_event_coercion", "o_orderkey", "event", """
-    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 END AS event FROM orders""")
+@register("prj06_event_coercion", "o_orderkey", "event as_int as_double", """
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 END AS event,
+    o_orderkey % 2 AS as_int, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 2 END AS as_double FROM orders""")
 def _(t):
     raw = F.when(F.col("o_orderstatus") == "F", " DEAD").when(F.col("o_orderstatus") == "O", "0:LIVING").otherwise("unknown")
-    return t.orders.select("o_orderkey", T.event_flag(raw).alias("event"))
+    half = (F.col("o_orderkey") % 2).cast("int")
+    number = F.when(F.col("o_orderkey") % 5 != 0, half.cast("double")).otherwise(F.lit(float("nan")))
+    return t.orders.select("o_orderkey", T.event_flag(raw).alias("event"), T.event_flag(half).alias("as_int"),
+                           T.event_flag(number).alias("as_double"))
 
 
 @register("prj07_number_from_text", "doc_id", "first_number", """

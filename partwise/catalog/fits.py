@@ -81,12 +81,12 @@ def _(t):
     return FT.nnls(sig, bulk, PARTS)
 
 
-@register("fit02_reweighted_nnls", "rule sample part", "value")
+@register("fit02_reweighted_nnls", "rule sample part converged", "value")
 def _(t):
     sig, bulk = problem(t)
     sig = sig.withColumn("var", F.col("mean") * 0.1)
     out = None
-    for rule in ("variance", "robust", "dampened"):
+    for rule in FT.REWEIGHTING:
         one = FT.reweighted_nnls(sig, bulk, PARTS, rule).withColumn("rule", F.lit(rule))
         out = one if out is None else out.unionByName(one)
     return out

@@ -153,7 +153,7 @@ def _(t):
 def _(t):
     doc = F.to_json(F.struct(F.struct(F.col("o_custkey").cast("string").alias("cust"), F.lit("x").alias("time")).alias("ids"),
                              F.col("o_totalprice").cast("string").alias("total")))
-    side = lambda d: scans.json_leaves(d.select("o_orderkey", doc.alias("doc")), "o_orderkey", "doc", depth=2)
+    side = lambda d: scans.json_leaves(d.select("o_orderkey", doc.alias("doc")), "o_orderkey", "doc", at_once=2)
     return D.leaf_diff(side(t.orders), side(new_orders(t)), ["o_orderkey"], 1e-6, "time$").groupBy("path", "status").agg(F.count("*").alias("n"))
 
 

@@ -148,7 +148,7 @@ def _(t):
       WHERE event IS NOT NULL AND time > 0)
     SELECT *, (concordant + 0.5 * tied) / nullif(comparable, 0)::DOUBLE AS c_index FROM (
     SELECT a.segment, count(*) AS comparable, count(*) FILTER (a.risk > b.risk) AS concordant, count(*) FILTER (a.risk = b.risk) AS tied
-    FROM x a JOIN x b ON a.segment = b.segment AND a.event = 1 AND a.time < b.time GROUP BY 1)""")
+    FROM x a JOIN x b ON a.segment = b.segment AND a.event = 1 AND (a.time < b.time OR a.time = b.time AND b.event = 0) GROUP BY 1)""")
 def _(t):
     x = valid_follow_up(follow_up(t)).join(t.customer, F.col("patient") == F.col("c_custkey")).select(
         F.col("c_mktsegment").alias("segment"), "time", "event", F.round("c_acctbal", -2).alias("risk"))

@@ -63,9 +63,13 @@ def barcode_loose(code: str | Column) -> Column:
 
 
 def event_flag(raw: str | Column) -> Column:
-    """1, 0 or missing; an unknown word is missing, never 0."""
-    word = F.lower(F.trim(col(raw).cast("string")))
-    return F.when(word.isin(EVENT_WORDS), 1.0).when(word.isin(NO_EVENT_WORDS), 0.0)
+    """1, 0 or missing.  An unknown word is missing, never 0; a number other than 0 and 1 is an error."""
+    x = col(raw)
+    word = F.lower(F.trim(x.cast("string")))
+    number = F.nanvl(x.try_cast("double"), F.lit(None).cast("double"))
+    checked = F.when(number.isNull() | number.isin(0.0, 1.0), number).otherwise(
+        F.raise_error(F.concat(F.lit("an event is 0 or 1, not "), x.cast("string"))).cast("double"))
+    return F.when(F.typeof(x).isin("string", "boolean"), F.when(word.isin(EVENT_WORDS), 1.0).when(word.isin(NO_EVENT_WORDS), 0.0)).otherwise(checked)
 
 
 def number_in(raw: str | Column) -> Column:

@@ -165,26 +165,42 @@ def fisher(a: str, b: str, c: str, d: str) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Hypergeometric sum while the smaller margin allows it, corrected chi-square beyond."""
-    lgamma = np.vectorize(math.lgamma, otypes=["float64"])
-
-    def log_choose(n, k):
-        return lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0)
-
-    out = []
-    for w, x, y, z in zip(a, b, c, d):
-        r1, c1, n = int(w + x), int(w + y), int(w + x + y + z)
-        lo, hi = max(0, c1 - (n - r1)), min(r1, c1)
-        if hi - lo > 100_000:
-            spread = math.sqrt(r1) * math.sqrt(n - r1) * math.sqrt(c1) * math.sqrt(n - c1)
-            cross = abs(int(w) * int(z) - int(x) * int(y))
-            chi = max(cross - n / 2.0, 0.0) * math.sqrt(n) / spread if spread else 0.0
-            out.append(math.erfc(chi / math.sqrt(2.0)))
-            continue
-        ks = np.arange(lo, hi + 1)
-        lp = log_choose(r1, ks) + log_choose(n - r1, c1 - ks) - log_choose(n, c1)
-        out.append(float(min(1.0, np.exp(lp[lp <= lp[int(w) - lo] + 1e-7]).sum())))
-    return pd.Series(out)
+    """One definition at every size: both tails of the hypergeometric law, each summed away from the mode until its terms vanish."""
+    return pd.Series([_both_tails(int(w), int(w + x), int(w + y), int(w + x + y + z)) for w, x, y, z in zip(a, b, c, d)], dtype="float64")
+
+
+def _both_tails(seen: int, row: int, column: int, n: int) -> float:
+    lo, hi = max(0, row + column - n), min(row, column)
+
+    def log_p(k):
+        pick = lambda m, j: math.lgamma(m + 1.0) - math.lgamma(j + 1.0) - math.lgamma(m - j + 1.0)
+        return pick(row, k) + pick(n - row, column - k) - pick(n, column)
+
+    def tail(k, step):
+        total = 0.0
+        while lo <= k <= hi:
+            term = math.exp(log_p(k))
+            total += term
+            if term <= 1e-17 * total:
+                break
+            k += step
+        return total
+
+    mode = min(max((row + 1) * (column + 1) // (n + 2), lo), hi)
+    limit = log_p(seen) + 1e-7
+    if log_p(mode) <= limit:
+        return 1.0
+    # Off the mode the chances fall on both sides; the first cell within the limit is found by halving.
+    left, right = lo - 1, mode
+    while right - left > 1:
+        mid = (left + right) // 2
+        left, right = (mid, right) if log_p(mid) <= limit else (left, mid)
+    below = tail(left, -1)
+    left, right = mode, hi + 1
+    while right - left > 1:
+        mid = (left + right) // 2
+        left, right = (left, mid) if log_p(mid) <= limit else (mid, right)
+    return min(1.0, below + tail(right, 1))
 
 
 def label_shares(df: DataFrame, sample: str, label: str) -> DataFrame:

@@ -59,25 +59,34 @@ def _cumulate(placed: DataFrame, keys: list[str], order: list[Column], weights:
     )
 
 
-def _number(df: DataFrame, value: str) -> Column:
-    """The value itself, or for text the number formed by its first six bytes."""
-    if df.schema[value].dataType.simpleString() != "string":
-        return F.col(value)
-    head = F.rpad(F.substring(F.hex(F.col(value)), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("bigint")
+#: Rows looked at for each cut between ranges of text.
+SAMPLED = 64
+
+
+def _is_text(df: DataFrame, value: str) -> bool:
+    return df.schema[value].dataType.simpleString() == "string"
 
 
 def range_bounds(tally: DataFrame, value: str, weights: Sequence[str]) -> Column:
     """Scalar subquery: cut points that split the values into equal ranges.
 
     The cuts come from all groups together, so a group's share of the ranges is
-    its share of the table.  Summing the weights keeps them in this plan, which
-    makes the tally here the same exchange as the caller's: one scan, not two.
+    its share of the table.  Numbers are cut by approximate quantiles; text has none, so
+    it is cut at the quantiles of the rows that hash lowest, compared as whole texts.
+    Cuts only place the rows; results do not depend on them.  Summing the weights keeps
+    them in this plan, which makes the tally here the same exchange as the caller's: one
+    scan, not two.
     """
     width = parallelism(tally.sparkSession)
+    if _is_text(tally, value):
+        rows = tally.orderBy(F.xxhash64(*[c for c in tally.columns if c not in weights])).limit(SAMPLED * width)
+        every = F.array_sort(F.collect_list(value))
+        return rows.agg(every.alias("_e"), *[F.sum(w).alias(w) for w in weights]).select(
+            F.struct(F.filter(F.transform(F.sequence(F.lit(1), F.lit(max(width - 1, 1))), lambda i: F.get(
+                "_e", F.floor(i * F.size("_e") / width).cast("int"))), lambda x: x.isNotNull()).alias("cuts"), *weights)).scalar()
     cuts = [i / width for i in range(1, width)]
     return tally.select(
-        F.struct(F.percentile_approx(_number(tally, value), cuts, 10 * width).alias("cuts"),
+        F.struct(F.percentile_approx(F.col(value), cuts, 10 * width).alias("cuts"),
                  *[F.sum(w).alias(w) for w in weights])
     ).scalar()
 
@@ -98,7 +107,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, weights: Sequenc
     if bounds is None:
         bounds = range_bounds(tally, value, weights)
     placed = tally.withColumn("_bounds", bounds.getField("cuts"))
-    at = F.coalesce(_range_index(F.col("_bounds"), _number(tally, value), width), F.lit(0))
+    at = F.coalesce(_range_index(F.col("_bounds"), F.col(value), width), F.lit(0))
     placed = placed.withColumn("_range", at).drop("_bounds")
     return _cumulate(placed, keys, [F.col(value)], weights, [*keys, value])
 

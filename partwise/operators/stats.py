@@ -67,15 +67,25 @@ def comparable_pairs(df: DataFrame, keys: Sequence[str], truth: str, estimate: s
 
 
 def censored_concordance(df: DataFrame, keys: Sequence[str], time: str, event: str, risk: str) -> DataFrame:
-    """Concordance of risk with follow-up: a pair counts when the earlier one is an event."""
+    """Concordance of risk with follow-up: a pair counts when the earlier one is an event.
+
+    At equal times an event comes before a censored patient; two events or two censored
+    patients form no pair.
+    """
+    keys = list(keys)
     rows = df.where(F.col(time).isNotNull() & F.col(risk).isNotNull() & F.col(event).isNotNull()).select(
         *keys, time, risk, (F.col(event) == 1).cast("double").alias("_ev"), F.lit(1.0).alias("_all"))
-    later = prefix_sums(rows, keys, time, ["_ev", "_all"])
-    comparable = later.groupBy(*keys).agg(
-        F.sum(F.col("_ev") * (F.col("total__all") - F.col("before__all") - F.col("_all"))).alias("comparable"))
-    cross = dominance(rows, keys, time, risk, "_ev", "_all")
+    rows = rows.withColumn("_cen", F.col("_all") - F.col("_ev"))
+    by_time = prefix_sums(rows, keys, time, ["_ev", "_cen", "_all"])
+    comparable = by_time.groupBy(*keys).agg(F.sum(
+        F.col("_ev") * (F.col("total__all") - F.col("before__all") - F.col("_all") + F.col("_cen"))).alias("comparable"))
+    later = dominance(rows, keys, time, risk, "_ev", "_all")
+    level = prefix_sums(rows, [*keys, time], risk, ["_ev", "_cen"]).groupBy(*keys).agg(
+        F.sum(F.col("_ev") * F.col("before__cen")).alias("crossed"), F.sum(F.col("_ev") * F.col("_cen")).alias("level"))
+    cross = later.select(*keys, "crossed", "level").unionByName(level).groupBy(*keys).agg(
+        F.sum("crossed").alias("crossed"), F.sum("level").alias("level"))
     if keys:
-        joined = comparable.join(cross, list(keys))
+        joined = comparable.join(cross, keys)
     else:
         joined = comparable.withColumn("_x", cross.select(F.struct("crossed", "level")).scalar()).select("comparable", "_x.*")
     return joined.select(*keys, "comparable", F.col("crossed").alias("concordant"), F.col("level").alias("tied"),
@@ -97,29 +107,30 @@ def label_pair_counts(df: DataFrame, keys: Sequence[str], label: str, value: str
 
 @F.pandas_udf(T.DoubleType())
 def _exact_rank_sum(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-    """Two-sided exact p of a small untied rank-sum statistic."""
+    """Exact P(U >= u) of an untied rank-sum statistic, by counting the arrangements of the smaller side."""
     import numpy as np
 
     out = []
     for s, a, b in zip(u, n1, n2):
         a, b = int(a), int(b)
-        ways = np.zeros((a + 1, a * b + 1))
+        few, many = min(a, b), max(a, b)
+        ways = np.zeros((few + 1, a * b + 1))
         ways[0, 0] = 1.0
         for j in range(1, a + b + 1):
-            for i in range(min(j, a), 0, -1):
+            for i in range(min(j, few), 0, -1):
                 shift = j - i
-                if shift <= b:
+                if shift <= many:
                     ways[i, shift:] += ways[i - 1, : a * b + 1 - shift]
-        tail = ways[a, : int(min(s, a * b - s)) + 1].sum() / ways[a].sum()
-        out.append(min(1.0, 2.0 * tail))
+        out.append(ways[few, int(np.ceil(s)):].sum() / ways[few].sum())
     return pd.Series(out, dtype="float64")
 
 
-def rank_sum(df: DataFrame, keys: Sequence[str], flag: str, value: str, min_group: int = 1) -> DataFrame:
-    """Mann-Whitney U of flagged against unflagged rows with a two-sided p.
+def rank_sum(df: DataFrame, keys: Sequence[str], flag: str, value: str, min_group: int = 1, exact_cells: int = 10_000) -> DataFrame:
+    """Mann-Whitney U of flagged against unflagged rows: two-sided p, and p_greater for larger flagged values.
 
-    Normal approximation with tie and continuity corrections; exact when one
-    side has at most eight rows, there are no ties and the table is small.
+    Normal approximation with tie and continuity corrections.  Exact, and so said in the
+    column ``exact``, when one side has at most eight rows, there are no ties and
+    n1 * n2 is at most the parameter ``exact_cells``, the size of the exact table.
     """
     rows = df.where(F.col(flag).isNotNull()).select(
         *keys, value, F.col(flag).cast("bigint").alias("_a"), (1 - F.col(flag).cast("bigint")).alias("_b"))
@@ -131,13 +142,18 @@ def rank_sum(df: DataFrame, keys: Sequence[str], flag: str, value: str, min_grou
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2
     sd = F.sqrt(n1 * n2 / 12.0 * (total + 1 - F.coalesce(ratio(F.col("_ties"), total * (total - 1)), F.lit(0.0))))
-    z = ratio(F.greatest(F.abs(F.col("u") - n1 * n2 / 2.0) - 0.5, F.lit(0.0)), sd)
-    small = (F.least(n1, n2) <= 8) & (F.col("_ties") == 0) & (n1 * n2 <= 10_000)
-    one = F.when(small, F.col("u")).otherwise(0.0), F.when(small, n1).otherwise(1.0), F.when(small, n2).otherwise(1.0)
-    p = F.when(small, _exact_rank_sum(*one)).otherwise(normal_tail(z))
+    off = F.col("u") - n1 * n2 / 2.0
+    z = ratio(F.greatest(F.abs(off) - 0.5, F.lit(0.0)), sd)
+    up = ratio(off - 0.5, sd)
+    half = normal_tail(up) / 2.0
+    small = (F.least(n1, n2) <= 8) & (F.col("_ties") == 0) & (n1 * n2 <= exact_cells)
+    one = lambda u: (F.when(small, u).otherwise(0.0), F.when(small, n1).otherwise(1.0), F.when(small, n2).otherwise(1.0))
+    far = _exact_rank_sum(*one(F.greatest(F.col("u"), n1 * n2 - F.col("u"))))
     enough = (n1 >= min_group) & (n2 >= min_group)
-    return got.select(*keys, "n1", "n2", "u", F.when(enough, p).alias("p_value"),
-                      ratio("u", n1 * n2).alias("auc"))
+    two = F.when(small, F.least(F.lit(1.0), 2.0 * far)).otherwise(normal_tail(z))
+    greater = F.when(small, _exact_rank_sum(*one(F.col("u")))).otherwise(F.when(up >= 0, half).otherwise(1.0 - half))
+    return got.select(*keys, "n1", "n2", "u", F.when(enough, two).alias("p_value"), F.when(enough, greater).alias("p_greater"),
+                      small.alias("exact"), ratio("u", n1 * n2).alias("auc"))
 
 
 def method_pair_correlation(est: DataFrame, methods: Sequence[str], unit: Sequence[str], keys: Sequence[str],

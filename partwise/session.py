@@ -64,7 +64,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     """How many pieces a big group is split into: follows the shuffle width."""
-    return max(4, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

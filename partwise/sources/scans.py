@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from partwise.functions.guards import clean
 
 
-def csv_matrix(spark: SparkSession, path: str, feature: str = "feature", sep: str = ",") -> DataFrame:
-    """Wide matrix file (first column = feature, one column per sample) to long rows."""
-    wide = spark.read.csv(path, header=True, sep=sep)
+def csv_matrix(spark: SparkSession, path: str, feature: str = "feature", sep: str = ",", max_columns: int = 2_000_000) -> DataFrame:
+    """Wide matrix file (first column = feature, one column per sample) to long rows.
+
+    ``max_columns`` replaces the reader's own limit; a wider file is the reader's error.
+    """
+    wide = spark.read.csv(path, header=True, sep=sep, maxColumns=max_columns)
     first, *samples = wide.columns
     longer = wide.withColumnRenamed(first, feature).unpivot([feature], samples, "sample", "_raw")
     return longer.select(feature, "sample", clean(F.expr("try_cast(_raw AS double)")).alias("value"))
@@ -93,30 +96,33 @@ def headerless(spark: SparkSession, path: str, schema: str, junk: str | None = N
     return df
 
 
-def json_leaves(df: DataFrame, ident: str, text: str, depth: int = 4) -> DataFrame:
+def json_leaves(df: DataFrame, ident: str, text: str, at_once: int = 4) -> DataFrame:
     """(ident, path, scalar) for every leaf of nested JSON text, arrays by position.
 
-    One pass: each level opens objects and arrays in place and passes leaves on.
-    Text nested deeper than ``depth`` is an error, never a lost leaf.
+    Each pass opens ``at_once`` levels of objects and arrays in place and passes leaves
+    on; passes go on, over what is still nested, until nothing is.
     """
     tvf = df.sparkSession.tvf
-    level = df.select(ident, F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("_v"))
-    for _ in range(depth):
-        x = tvf.variant_explode_outer(F.col("_v").outer())
-        step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        level = level.lateralJoin(x).select(
-            ident,
-            F.when(step.isNull(), F.col("path")).when(F.col("path") == "", step)
-            .otherwise(F.concat_ws(".", "path", step)).alias("path"),
-            F.coalesce(F.col("value"), F.col("_v")).alias("_v"),
-        )
+    done, level = None, df.select(ident, F.lit("").alias("path"), F.try_parse_json(F.col(text)).alias("_v"))
     kind = F.schema_of_variant("_v")
-    empty = kind.isin("OBJECT<>", "ARRAY<VOID>")
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    scalar = F.when(nested, F.raise_error(F.lit("JSON nested deeper than the given depth"))).otherwise(
-        F.col("_v").cast("string")
-    )
-    return level.where(~empty & F.col("_v").isNotNull()).select(ident, "path", scalar.alias("scalar"))
+    while True:
+        for _ in range(at_once):
+            x = tvf.variant_explode_outer(F.col("_v").outer())
+            step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
+            level = level.lateralJoin(x).select(
+                ident,
+                F.when(step.isNull(), F.col("path")).when(F.col("path") == "", step)
+                .otherwise(F.concat_ws(".", "path", step)).alias("path"),
+                F.coalesce(F.col("value"), F.col("_v")).alias("_v"),
+            )
+        level = level.where(~kind.isin("OBJECT<>", "ARRAY<VOID>") & F.col("_v").isNotNull())
+        leaves = level.where(~nested).select(ident, "path", F.col("_v").cast("string").alias("scalar"))
+        done = leaves if done is None else done.unionByName(leaves)
+        deeper = level.where(nested)
+        if deeper.isEmpty():
+            return done
+        level = deeper
 
 
 def pick_rows(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -46,8 +46,14 @@ def gunzipped(blob: pd.Series) -> pd.Series:
 
 
 def file_hashes(spark: SparkSession, path: str, decode_gzip: bool = False) -> DataFrame:
-    """(path, bytes, sha256) of a file tree, one task per group of files."""
+    """(path, bytes, sha256) of a file tree, one task per group of files.
+
+    A file is hashed as one value; one of two gigabytes or more cannot be one and is an error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    large = files.where(F.col("length") >= (1 << 31) - 1024).select("path").first()
+    if large is not None:
+        raise ValueError(f"{large[0]} has two gigabytes or more")
     if decode_gzip:
         packed = F.col("path").endswith(".gz")
         files = files.withColumn("content", F.when(packed, gunzipped(F.when(packed, F.col("content")))).otherwise(F.col("content")))

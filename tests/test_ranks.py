@@ -78,7 +78,7 @@ def test_censored_concordance_matches_all_pairs(spark, table):
         n = hit = tie = 0
         for i in range(len(b)):
             for j in range(len(b)):
-                if b.ev.iloc[i] == 1 and b.x.iloc[i] < b.x.iloc[j]:
+                if b.ev.iloc[i] == 1 and (b.x.iloc[i] < b.x.iloc[j] or b.x.iloc[i] == b.x.iloc[j] and b.ev.iloc[j] == 0):
                     n += 1
                     hit += b.y.iloc[i] > b.y.iloc[j]
                     tie += b.y.iloc[i] == b.y.iloc[j]
