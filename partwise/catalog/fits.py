@@ -87,7 +87,7 @@ def _(t):
     sig = sig.withColumn("var", F.col("mean") * 0.1)
     out = None
     for rule in FT.REWEIGHTING:
-        one = FT.reweighted_nnls(sig, bulk, PARTS, rule).withColumn("rule", F.lit(rule))
+        one = FT.reweighted_nnls(sig, bulk, PARTS, rule, rounds=12).withColumn("rule", F.lit(rule))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -58,36 +58,36 @@ def _(t):
 
 @register("res02_cluster_bootstrap", "method n_units", "mean ci_low median ci_high", q("verdict", f"""
     WITH u AS (SELECT method, tumour, sum(CASE WHEN ok THEN weight ELSE 0 END) AS num, sum(weight) AS den FROM verdict GROUP BY 1, 2),
-    b AS {boot_sql('u', 'tumour', 200, 'boot')},
+    b AS {boot_sql('u', 'tumour', 1000, 'boot')},
     s AS (SELECT method, draw, sum(num * times) / sum(den * times) AS s FROM u JOIN b USING (tumour) GROUP BY 1, 2)
     SELECT method, (SELECT count(DISTINCT tumour) FROM u) AS n_units, avg(s) AS mean, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.5) AS median,
     quantile_cont(s, 0.975) AS ci_high FROM s GROUP BY 1"""))
 def _(t):
     w = cut_lineage(S.weigh(verdict_table(t), ["method", "tumour"]))
-    return RS.cluster_bootstrap(w, ["method"], "tumour", 200, "boot")
+    return RS.cluster_bootstrap(w, ["method"], "tumour", 1000, "boot")
 
 
 @register("res03_bootstrap_rho", "n_usable", "mean ci_low median ci_high", q("et", f"""
     WITH sc AS (SELECT method || part AS m, round(avg(abs(e - t)), 9) AS x, round(avg(e), 9) AS y FROM et GROUP BY ALL),
-    b AS {boot_sql('sc', 'm', 150, 'rho')}, j AS (SELECT draw, x, y FROM sc JOIN b USING (m), unnest(range(times)) AS _t(k)),
+    b AS {boot_sql('sc', 'm', 2000, 'rho')}, j AS (SELECT draw, x, y FROM sc JOIN b USING (m), unnest(range(times)) AS _t(k)),
     r AS (SELECT draw, {corr_sql('r_x', 'r_y')} AS rho FROM {ranks_sql('j', 'draw', 'x y')} GROUP BY 1)
     SELECT count(rho) AS n_usable, avg(rho) AS mean, quantile_cont(rho, 0.025) AS ci_low, quantile_cont(rho, 0.5) AS median, quantile_cont(rho, 0.975) AS ci_high FROM r"""))
 def _(t):
     err = F.abs(F.col("e") - F.col("t"))
     sc = aligned(t).groupBy(F.concat("method", "part").alias("m")).agg(F.round(F.avg(err), 9).alias("x"), F.round(F.avg("e"), 9).alias("y"))
-    return RS.bootstrap_rho(cut_lineage(sc), [], "m", "x", "y", 150, "rho")
+    return RS.bootstrap_rho(cut_lineage(sc), [], "m", "x", "y", 2000, "rho")
 
 
 @register("res04_paired_bootstrap_ties", "method tied", "mae delta ci_low ci_high", q("et smp", f"""
     WITH g AS (SELECT method, tumour AS grp, avg(abs(e - t)) AS mae FROM et JOIN smp USING (sample) GROUP BY 1, 2), p AS (SELECT method, avg(mae) AS mae FROM g GROUP BY 1),
-    best AS (SELECT method AS bm, mae AS bmae FROM p ORDER BY mae, method LIMIT 1), b AS {boot_sql('g', 'grp', 200, 'ties')},
+    best AS (SELECT method AS bm, mae AS bmae FROM p ORDER BY mae, method LIMIT 1), b AS {boot_sql('g', 'grp', 2000, 'ties')},
     d AS (SELECT draw, method, avg(mae) AS m FROM g JOIN b USING (grp) GROUP BY 1, 2),
     x AS (SELECT d.method, d.m - r.m AS delta FROM d JOIN best ON true JOIN d r ON r.draw = d.draw AND r.method = bm),
     c AS (SELECT method, quantile_cont(delta, 0.025) AS ci_low, quantile_cont(delta, 0.975) AS ci_high FROM x GROUP BY 1)
     SELECT method, ci_low <= 0 AND ci_high >= 0 AS tied, mae, mae - bmae AS delta, ci_low, ci_high FROM p JOIN c USING (method), best"""))
 def _(t):
     err = scored(t).groupBy("method", "group").agg(F.avg(F.abs(F.col("e") - F.col("t"))).alias("mae"))
-    return RS.paired_ties(cut_lineage(err), 200, "ties")
+    return RS.paired_ties(cut_lineage(err), 2000, "ties")
 
 
 PATIENT_MEANS = """pm AS (SELECT method, patient, round(avg(e), 9) AS x, round(avg(t), 9) AS y FROM et JOIN smp USING (sample)
@@ -103,7 +103,7 @@ PERM_SPEARMAN = f"""{PATIENT_MEANS}, r AS {ranks_sql('pm', 'method', 'x y')}, n
     c AS (SELECT method, patient, r_x - (n + 1) / 2.0 AS a, r_y - (n + 1) / 2.0 AS b FROM r JOIN n USING (method)),
     o AS (SELECT method, count(*) AS n, sqrt(sum(a * a) * sum(b * b)) AS norm, sum(a * b) AS s FROM c GROUP BY 1),
     base AS (SELECT method, b, row_number() OVER (PARTITION BY method ORDER BY {h32("'track'", "'base'", "patient")}, patient) AS pos FROM c),
-    dr AS (SELECT method, draw, a, row_number() OVER (PARTITION BY method, draw ORDER BY {h32("'track'", "draw", "patient")}, patient) AS pos FROM c, {draws_sql(19)}),
+    dr AS (SELECT method, draw, a, row_number() OVER (PARTITION BY method, draw ORDER BY {h32("'track'", "draw", "patient")}, patient) AS pos FROM c, {draws_sql(199)}),
     z AS (SELECT method, draw, sum(a * b) AS p FROM dr JOIN base USING (method, pos) GROUP BY 1, 2)"""
 
 
@@ -111,7 +111,7 @@ PERM_SPEARMAN = f"""{PATIENT_MEANS}, r AS {ranks_sql('pm', 'method', 'x y')}, n
     WITH {PERM_SPEARMAN} SELECT method, max(n) AS n, max(s / norm) AS rho, (count(*) FILTER (abs(p) >= abs(s) - 1e-9 * norm) + 1) / (count(*) + 1)::DOUBLE AS p_value
     FROM z JOIN o USING (method) GROUP BY 1"""))
 def _(t):
-    return RS.permutation_spearman(cut_lineage(patient_means(t)), ["method"], "patient", "x", "y", 19, "track")
+    return RS.permutation_spearman(cut_lineage(patient_means(t)), ["method"], "patient", "x", "y", 199, "track")
 
 
 PERMS6 = """pr AS (SELECT [a, b, c, d, e, f] AS p FROM range(1, 7) ta(a), range(1, 7) tb(b), range(1, 7) tc(c), range(1, 7) td(d), range(1, 7) te(e), range(1, 7) tf(f)
@@ -196,32 +196,32 @@ def patient_differences(t):
 
 @register("res10_sign_flip_test", "method n_draws", "observed null_mean p_value", q("et smp", f"""
     WITH {DIFF_SQL}, o AS (SELECT method, avg(d) AS s FROM df GROUP BY 1),
-    n AS (SELECT method, draw, avg(CASE WHEN {h32("'flip'", "draw", "patient")} % 2 = 0 THEN abs(d) ELSE -abs(d) END) AS s FROM df, {draws_sql(20)} GROUP BY 1, 2)
+    n AS (SELECT method, draw, avg(CASE WHEN {h32("'flip'", "draw", "patient")} % 2 = 0 THEN abs(d) ELSE -abs(d) END) AS s FROM df, {draws_sql(1000)} GROUP BY 1, 2)
     SELECT method, count(*) AS n_draws, max(o.s) AS observed, avg(n.s) AS null_mean, count(*) FILTER (n.s >= o.s - 1e-9) / count(*)::DOUBLE AS p_value
     FROM n JOIN o USING (method) GROUP BY 1"""))
 def _(t):
-    return RS.sign_flip(cut_lineage(patient_differences(t)), ["method"], "patient", "d", 20, "flip")
+    return RS.sign_flip(cut_lineage(patient_differences(t)), ["method"], "patient", "d", 1000, "flip")
 
 
 @register("res11_argmax_permutation", "method structure n_max", "observed share", q("m", f"""
     WITH c AS (SELECT method, tumour, structure, v, concat_ws('#', tumour, structure) AS cell FROM m WHERE part = 'LARGE'),
-    l AS (SELECT DISTINCT tumour, structure, cell FROM c), p AS {perm_sql('l', 'tumour', 'structure', 'cell', 20, 'arg')},
+    l AS (SELECT DISTINCT tumour, structure, cell FROM c), p AS {perm_sql('l', 'tumour', 'structure', 'cell', 1000, 'arg')},
     x AS (SELECT method, draw, p.structure, round(avg(v), 10) AS a FROM c JOIN p USING (cell) GROUP BY ALL),
     top AS (SELECT method, draw, first(structure ORDER BY a DESC, structure) AS structure FROM x GROUP BY 1, 2)
-    SELECT o.method, o.structure, count(top.draw) AS n_max, max(o.a) AS observed, count(top.draw) / 20.0::DOUBLE AS share
+    SELECT o.method, o.structure, count(top.draw) AS n_max, max(o.a) AS observed, count(top.draw) / 1000.0::DOUBLE AS share
     FROM (SELECT method, structure, avg(v) AS a FROM c GROUP BY 1, 2) o LEFT JOIN top ON top.method = o.method AND top.structure = o.structure GROUP BY 1, 2"""))
 def _(t):
     means = S.group_means(R.estimates(t), R.samples(t), digits=10).where("part = 'LARGE'").drop("part")
-    return RS.argmax_null(cut_lineage(means), ["method"], "tumour", "structure", "v", 20, "arg")
+    return RS.argmax_null(cut_lineage(means), ["method"], "tumour", "structure", "v", 1000, "arg")
 
 
 @register("res12_paired_bootstrap_difference", "method n", "mean ci_low ci_high p_value", q("et smp", f"""
-    WITH {DIFF_SQL}, b AS {boot_sql('df', 'patient', 40, 'diff')}, s AS (SELECT method, draw, sum(d * times) / sum(times) AS s FROM df JOIN b USING (patient) GROUP BY 1, 2),
+    WITH {DIFF_SQL}, b AS {boot_sql('df', 'patient', 400, 'diff')}, s AS (SELECT method, draw, sum(d * times) / sum(times) AS s FROM df JOIN b USING (patient) GROUP BY 1, 2),
     c AS (SELECT method, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high,
       2 * least(avg(CASE WHEN s <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0 END)) AS p_value FROM s GROUP BY 1)
     SELECT method, n, mean, ci_low, ci_high, p_value FROM c JOIN (SELECT method, count(*) AS n, avg(d) AS mean FROM df GROUP BY 1) USING (method)"""))
 def _(t):
-    return RS.paired_difference(cut_lineage(patient_differences(t)), ["method"], "patient", "d", 40, "diff")
+    return RS.paired_difference(cut_lineage(patient_differences(t)), ["method"], "patient", "d", 400, "diff")
 
 
 @register("res13_control_band", "method indistinguishable", "observed percentile mean sd p05 p95", q("verdict", f"""
