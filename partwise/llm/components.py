@@ -28,6 +28,10 @@ def small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, F.col("u") == F.col("w")).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
 
 
+def _mark(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(vertex, component) for every vertex of ``edges`` (u, v); component is the least vertex reached.
 
@@ -36,10 +40,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     now = stored(edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before = _mark(now)
     for _ in range(max_rounds):
-        now = stored(small_star(stored(large_star(now).distinct(), "large")).where(F.col("u") != F.col("v")).distinct(), "small")
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if before["n"]:
+            now = stored(small_star(stored(large_star(now).distinct(), "large")).where(F.col("u") != F.col("v")).distinct(), "small")
+        mark = _mark(now)
         if before == mark:
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(
                 now.select("v", "v").distinct().toDF("vertex", "component"))
