@@ -328,13 +328,15 @@ def _(t):
     return M.misassignment(R.estimates(t), R.truth(t), "LARGE", "SMALL", TRIO)
 
 
-@register("agg38_ordering_frequency", "method ordering n", "share", q("est", """
+@register("agg38_ordering_frequency", "method ordering n", "share small_first", q("est", """
     WITH o AS (SELECT method, sample, string_agg(part, '>' ORDER BY value DESC, part) AS ordering FROM est WHERE part IN ('SMALL', 'LARGE', 'PROMO')
       GROUP BY 1, 2 HAVING sum(value) > 0)
-    SELECT method, ordering, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY method) AS share FROM o GROUP BY 1, 2"""))
+    SELECT method, ordering, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY method) AS share,
+      (SELECT avg((split_part(x.ordering, '>', 1) = 'SMALL')::INT) FROM o x WHERE x.method = o.method) AS small_first FROM o GROUP BY 1, 2"""))
 def _(t):
     live = C.renormalise_within(R.estimates(t), TRIO).where("share IS NOT NULL")
-    return M.label_shares(C.ordering(live, ["method", "sample"], "share", 3), "method", "ordering")
+    shares = M.label_shares(C.ordering(live, ["method", "sample"], "share", 3), "method", "ordering")
+    return shares.join(M.first_share(shares, "method", "ordering", "SMALL").withColumnRenamed("first_share", "small_first"), "method")
 
 
 @register("agg39_l1_to_prior", "method", "l1_all l1_within", q("est", """
@@ -402,10 +404,11 @@ def _(t):
     return P.count_units(t.lineitem.select(F.col("l_suppkey").alias("cell"), e.alias("value")))
 
 
-@register("agg44_scale_factor_gate", "suppkey passes", "r cv", """
+@register("agg44_scale_factor_gate", "suppkey passes all_pass", "r cv", """
     WITH x AS (SELECT l_suppkey AS s, l_quantity AS raw, l_quantity * 3.5 + CASE WHEN l_suppkey % 10 = 0 THEN l_tax ELSE 0 END AS pub FROM lineitem WHERE l_quantity > 1),
     g AS (SELECT s AS suppkey, covar_pop(raw, pub) / nullif(stddev_pop(raw) * stddev_pop(pub), 0) AS r, stddev_pop(pub / raw) / nullif(avg(pub / raw), 0) AS cv FROM x GROUP BY 1)
-    SELECT suppkey, r, cv, abs(r - 1) < 1e-9 AND cv <= 1e-6 AS passes FROM g""")
+    SELECT suppkey, r, cv, abs(r - 1) < 1e-9 AND cv <= 1e-6 AS passes,
+      (SELECT bool_and(coalesce(abs(r - 1) < 1e-9 AND cv <= 1e-6, false)) FROM g) AS all_pass FROM g""")
 def _(t):
     from partwise.functions.guards import pearson
 
@@ -413,8 +416,8 @@ def _(t):
     pub = raw * 3.5 + F.when(F.col("l_suppkey") % 10 == 0, F.col("l_tax")).otherwise(0.0)
     x = t.lineitem.where("l_quantity > 1").select(F.col("l_suppkey").alias("suppkey"), raw.alias("raw"), pub.alias("pub"))
     k = ratio("pub", "raw")
-    return x.groupBy("suppkey").agg(pearson("raw", "pub").alias("r"), ratio(F.stddev_pop(k), F.avg(k)).alias("cv")).withColumn(
-        "passes", (F.abs(F.col("r") - 1) < 1e-9) & (F.col("cv") <= 1e-6))
+    g = x.groupBy("suppkey").agg(pearson("raw", "pub").alias("r"), ratio(F.stddev_pop(k), F.avg(k)).alias("cv"))
+    return M.gate(g.withColumn("passes", (F.abs(F.col("r") - 1) < 1e-9) & (F.col("cv") <= 1e-6)), "passes")
 
 
 BOARD_SQL = """board AS (SELECT method, count(*) AS n_pairs, round(sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight), 12) AS score FROM verdict GROUP BY 1)"""

@@ -90,17 +90,18 @@ def _(t):
     return K.tiered_join(left, right, "strict", "loose", "alt", F.col("std"), "purity", "pos")
 
 
-@register("joi06_two_way_anti", "structure status n", "", """
-    SELECT coalesce(a.f, b.f) AS structure, CASE WHEN b.k IS NULL THEN 'only_left' WHEN a.k IS NULL THEN 'only_right'
+@register("joi06_two_way_anti", "structure status n same", "", """
+    SELECT *, bool_and(status = 'agree') OVER () AS same FROM (SELECT coalesce(a.f, b.f) AS structure, CASE WHEN b.k IS NULL THEN 'only_left' WHEN a.k IS NULL THEN 'only_right'
     WHEN a.f = b.f THEN 'agree' ELSE 'disagree' END AS status, count(*) AS n
     FROM (SELECT o_orderkey AS k, o_orderpriority AS f FROM orders WHERE o_orderkey % 5 <> 0) a
     FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderpriority END AS f FROM orders
-      WHERE o_orderkey % 7 <> 0) b ON a.k = b.k GROUP BY 1, 2""")
+      WHERE o_orderkey % 7 <> 0) b ON a.k = b.k GROUP BY 1, 2)""")
 def _(t):
     o = t.orders.select(F.col("o_orderkey").alias("sample"), F.col("o_orderpriority").alias("structure"))
     k = F.col("sample")
     b = o.where(k % 7 != 0).withColumn("structure", F.when(k % 11 == 0, "X").otherwise(F.col("structure")))
-    return K.two_way_anti(o.where(k % 5 != 0), b, "sample", "structure").groupBy("structure", "status").agg(F.count("*").alias("n"))
+    counts = K.two_way_anti(o.where(k % 5 != 0), b, "sample", "structure").groupBy("structure", "status").agg(F.count("*").alias("n"))
+    return counts.withColumn("same", K.all_agree(counts))
 
 
 @register("joi07_key_set_semi", "part n", "", """SELECT p_type AS part, count(*) AS n FROM part WHERE p_partkey IN
@@ -111,10 +112,9 @@ def _(t):
 
 
 @register("joi08_estimate_truth_join", "method part n", "mean_e mean_t", q("et", """
-    SELECT method, part, count(*) AS n, avg(e) AS mean_e, avg(t) AS mean_t FROM et WHERE sample % 3 <> 0 GROUP BY ALL"""))
+    SELECT method, part, count(*) AS n, avg(e) AS mean_e, avg(t) AS mean_t FROM et GROUP BY ALL"""))
 def _(t):
-    est = R.estimates(t).where("sample % 3 <> 0")
-    return K.align(est, R.truth(t)).groupBy("method", "part").agg(
+    return K.align(R.estimates(t), R.truth(t), at_least=1).groupBy("method", "part").agg(
         F.count("*").alias("n"), F.avg("e").alias("mean_e"), F.avg("t").alias("mean_t"))
 
 
@@ -241,14 +241,15 @@ def _(t):
     return K.stack(frames).groupBy("method").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-@register("set02_set_difference_report", "side name", "", """
-    SELECT 'left_only' AS side, name FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 3
+@register("set02_set_difference_report", "side name n_side", "", """
+    SELECT *, count(*) OVER (PARTITION BY side) AS n_side FROM (SELECT 'left_only' AS side, name FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size < 3
     EXCEPT SELECT p_name FROM part WHERE p_size > 47)
     UNION ALL SELECT 'right_only', name FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_size > 47
-    EXCEPT SELECT p_name FROM part WHERE p_size < 3)""")
+    EXCEPT SELECT p_name FROM part WHERE p_size < 3))""")
 def _(t):
     p = t.part.withColumnRenamed("p_name", "name")
-    return K.set_difference(p.where("p_size < 3"), p.where("p_size > 47"), "name")
+    names = K.set_difference(p.where("p_size < 3"), p.where("p_size > 47"), "name")
+    return names.join(names.groupBy("side").agg(F.count("*").alias("n_side")), "side")
 
 
 @register("set03_intersect_methods", "method", "score_a score_b", q("et", """

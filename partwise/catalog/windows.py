@@ -169,14 +169,15 @@ def _(t):
     return W.chain_increases(means, ["5-LOW", "2-HIGH", "1-URGENT"], ["method", "tumour", "part"])
 
 
-@register("win16_leave_one_out", "kind left_out moved", "rho", q("verdict", f"""
+@register("win16_leave_one_out", "kind left_out moved top full_top", "rho", q("verdict", f"""
     WITH u AS (SELECT method, 'constraint' AS kind, id AS unit, sum(CASE WHEN ok THEN weight ELSE 0 END) AS num, sum(weight) AS den FROM verdict GROUP BY ALL
       UNION ALL SELECT method, 'tumour', CAST(tumour AS VARCHAR), sum(CASE WHEN ok THEN weight ELSE 0 END), sum(weight) FROM verdict GROUP BY 1, 2, 3),
     f AS (SELECT method, kind, sum(num) AS n, sum(den) AS d FROM u GROUP BY ALL),
     g AS (SELECT f.method, f.kind, u.unit, round((f.n - coalesce(o.num, 0)) / nullif(f.d - coalesce(o.den, 0), 0), 9) AS score, round(f.n / f.d, 9) AS full_score
       FROM f JOIN (SELECT DISTINCT kind, unit FROM u) u ON u.kind = f.kind LEFT JOIN u o ON o.method = f.method AND o.kind = f.kind AND o.unit = u.unit),
     r AS {ranks_sql('g', 'kind, unit', 'score full_score')}
-    SELECT kind, unit AS left_out, count(*) FILTER (r_score <> r_full_score) AS moved, {corr_sql('r_score', 'r_full_score')} AS rho FROM r GROUP BY 1, 2"""))
+    SELECT kind, unit AS left_out, count(*) FILTER (r_score <> r_full_score) AS moved,
+      first(method ORDER BY score DESC NULLS LAST, method) AS top, first(method ORDER BY full_score DESC NULLS LAST, method) AS full_top, {corr_sql('r_score', 'r_full_score')} AS rho FROM r GROUP BY 1, 2"""))
 def _(t):
     v = cut_lineage(verdict_table(t))
     out = None
@@ -187,7 +188,9 @@ def _(t):
     ranked = K.attach_rank(K.attach_rank(out, ["kind", "left_out"], "score", "r1"), ["kind", "left_out"], "full_score", "r2")
     from partwise.functions.guards import pearson
 
-    return ranked.groupBy("kind", "left_out").agg(F.count_if(F.col("r1") != F.col("r2")).alias("moved"), pearson("r1", "r2").alias("rho"))
+    best = lambda c: F.min_by("method", F.struct(F.col(c).isNull(), -F.col(c), F.col("method")))
+    return ranked.groupBy("kind", "left_out").agg(F.count_if(F.col("r1") != F.col("r2")).alias("moved"), pearson("r1", "r2").alias("rho"),
+                                                  best("score").alias("top"), best("full_score").alias("full_top"))
 
 
 @register("win17_seed_stability", "method tumour n_results status", "", q("est smp", f"""

@@ -87,9 +87,17 @@ def two_way_anti(a: DataFrame, b: DataFrame, key: str, flag: str) -> DataFrame:
     return left.join(right, key, "full").select(key, F.coalesce("_fa", "_fb").alias(flag), cls.alias("status"))
 
 
-def align(estimate: DataFrame, truth: DataFrame, on: Sequence[str] = ("sample", "part")) -> DataFrame:
-    """Estimate (e) and truth (t) on shared samples and parts."""
-    return estimate.withColumnRenamed("value", "e").join(truth.withColumnRenamed("value", "t"), list(on))
+def all_agree(classes: DataFrame):
+    """Scalar: whether no key is on one side only or disagrees."""
+    return classes.agg(F.bool_and(F.col("status") == "agree")).scalar()
+
+
+def align(estimate: DataFrame, truth: DataFrame, on: Sequence[str] = ("sample", "part"), at_least: int = 0) -> DataFrame:
+    """Estimate (e) and truth (t) on shared samples and parts; with ``at_least``, fewer shared rows are an error."""
+    out = estimate.withColumnRenamed("value", "e").join(truth.withColumnRenamed("value", "t"), list(on))
+    if at_least and out.limit(at_least).count() < at_least:
+        raise ValueError(f"fewer than {at_least} rows in common")
+    return out
 
 
 def shared_features(ordered: DataFrame, others: Sequence[DataFrame], key: str, pos: str, at_least: int = 0) -> DataFrame:

@@ -210,6 +210,17 @@ def label_shares(df: DataFrame, sample: str, label: str) -> DataFrame:
     return n.withColumn("share", ratio("n", total))
 
 
+def first_share(shares: DataFrame, key: str, ordering: str, part: str, sep: str = ">") -> DataFrame:
+    """(key, first_share): how often the named part comes first, from counted orderings."""
+    first = F.substring_index(ordering, sep, 1) == part
+    return shares.groupBy(key).agg(ratio(F.sum(F.when(first, F.col("n")).otherwise(0)), F.sum("n")).alias("first_share"))
+
+
+def gate(df: DataFrame, flag: str) -> DataFrame:
+    """Add ``all_pass``: whether every row passes; a missing flag does not."""
+    return df.withColumn("all_pass", df.agg(F.bool_and(F.coalesce(flag, F.lit(False)))).scalar())
+
+
 def most_common(df: DataFrame, sample: str, label: str) -> DataFrame:
     """Most frequent label, the smaller one on a tie."""
     n = df.groupBy(sample, label).agg(F.count("*").alias("n"))
