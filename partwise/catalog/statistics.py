@@ -130,17 +130,29 @@ def _(t):
     return ST.rank_sum(x, ["quality"], "g", "v")
 
 
-@register("agg27_pair_auc", "method", "auc auc_strict tie_share", q("est smp", """
-    WITH x AS (SELECT * FROM est JOIN smp USING (sample)),
-    p AS (SELECT h.method, h.tumour, h.part, avg(CASE WHEN h.value > l.value THEN 1.0 WHEN h.value = l.value THEN 0.5 ELSE 0 END) AS auc,
-      avg(CASE WHEN h.value > l.value THEN 1.0 ELSE 0 END) AS auc_strict, avg(CASE WHEN h.value = l.value THEN 1.0 ELSE 0 END) AS tie_share
-      FROM x h JOIN x l ON h.method = l.method AND h.tumour = l.tumour AND h.part = l.part
-      WHERE h.structure = '1-URGENT' AND l.structure = '5-LOW' GROUP BY ALL)
-    SELECT method, avg(auc) AS auc, avg(auc_strict) AS auc_strict, avg(tie_share) AS tie_share FROM p GROUP BY 1"""))
+def pair_values() -> str:
+    """SQL rows (id, weight, part, least, pair, hi, lo) of the constraints, written out by kind."""
+    out = []
+    for ident, kind, part, structures, among, weight in R.CONSTRAINTS:
+        others = [s for s in among if s != structures[0]]
+        sides = {"pairwise": [structures[:2]], "maximum": [[structures[0], s] for s in others],
+                 "monotone": [[structures[i + 1], structures[i]] for i in range(len(structures) - 1)]}[kind]
+        need = {"pairwise": 1, "maximum": 2, "monotone": len(sides)}[kind]
+        out += [f"('{ident}', {weight}::DOUBLE, '{part}', {need}, {i}, '{h}', '{lo}')" for i, (h, lo) in enumerate(sides)]
+    return ", ".join(out)
+
+
+@register("agg27_pair_auc", "method n_pairs", "auc auc_strict tie_share", q("est smp", f"""
+    WITH c(id, weight, part, least, pair, hi, lo) AS (VALUES {pair_values()}), x AS (SELECT * FROM est JOIN smp USING (sample) WHERE value IS NOT NULL),
+    p AS (SELECT h.method, h.tumour, id, weight, least, pair, avg((h.value > l.value)::INT) AS gt, avg((h.value = l.value)::INT) AS eq
+      FROM c JOIN x h ON h.part = c.part AND h.structure = hi JOIN x l ON l.part = c.part AND l.structure = lo AND l.method = h.method AND l.tumour = h.tumour
+      GROUP BY ALL),
+    t AS (SELECT method, tumour, id, weight, avg(gt) AS gt, avg(eq) AS eq FROM p GROUP BY method, tumour, id, weight, least HAVING count(*) >= least)
+    SELECT method, count(*) AS n_pairs, sum(weight * (gt + 0.5 * eq)) / sum(weight) AS auc, sum(weight * gt) / sum(weight) AS auc_strict,
+      sum(weight * eq) / sum(weight) AS tie_share FROM t GROUP BY 1"""))
 def _(t):
-    rows = R.estimates(t).join(R.samples(t), "sample")
-    per = ST.label_pair_counts(rows, ["method", "tumour", "part"], "structure", "value", "1-URGENT", "5-LOW")
-    return per.groupBy("method").agg(*[F.avg(c).alias(c) for c in ("auc", "auc_strict", "tie_share")])
+    rows = R.estimates(t).join(R.samples(t), "sample").select("method", "tumour", "structure", "part", "value")
+    return ST.constraint_auc(rows, ST.constraint_pairs(t.spark, R.CONSTRAINTS), ["method"])
 
 
 @register("agg28_concordance_index", "segment", "comparable concordant tied c_index", f"""

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,49 @@ def label_pair_counts(df: DataFrame, keys: Sequence[str], label: str, value: str
         "auc_strict", ratio("n_gt", "n_pairs")).withColumn("tie_share", ratio("n_tie", "n_pairs"))
 
 
+def constraint_pairs(spark: SparkSession, constraints: Sequence[tuple]) -> DataFrame:
+    """(id, weight, part, least, pair, structure, hi, lo): each side of each ordered pair that a constraint implies.
+
+    Constraints are those of ``score.constraint_terms``; ``least`` is how many of the pairs a
+    group must hold: the one of a pairwise, two of a maximum, all of a chain.
+    """
+    rows = []
+    for ident, kind, part, structures, among, weight in constraints:
+        if kind == "monotone":
+            pairs = [(b, a) for a, b in zip(structures, structures[1:])]
+        elif kind == "maximum":
+            pairs = [(structures[0], s) for s in among if s != structures[0]]
+        else:
+            pairs = [(structures[0], structures[1])]
+        least = 2 if kind == "maximum" else len(pairs)
+        for i, (high, low) in enumerate(pairs):
+            rows += [(ident, float(weight), part, least, i, high, 1.0, 0.0), (ident, float(weight), part, least, i, low, 0.0, 1.0)]
+    return spark.createDataFrame(
+        rows, "id STRING, weight DOUBLE, part STRING, least INT, pair INT, structure STRING, hi DOUBLE, lo DOUBLE")
+
+
+def constraint_auc(rows: DataFrame, pairs: DataFrame, keys: Sequence[str], group: str = "tumour") -> DataFrame:
+    """Graded twin of the constraint score: mean pair AUC per (constraint, group), weighted over both.
+
+    ``rows`` is (keys, group, structure, part, value).  A row joins the sides it belongs to,
+    a fixed few; pairs of samples are counted by running sums, never made.
+    """
+    keys = list(keys)
+    sides = rows.where(F.col("value").isNotNull()).join(pairs, ["part", "structure"])
+    run = prefix_sums(sides, [*keys, group, "id", "weight", "least", "pair"], "value", ["hi", "lo"])
+    per_pair = run.groupBy(*keys, group, "id", "weight", "least", "pair").agg(
+        (F.max("total_hi") * F.max("total_lo")).alias("_n"),
+        F.sum(F.col("hi") * F.col("before_lo")).alias("_gt"), F.sum(F.col("hi") * F.col("lo")).alias("_tie")).where("_n > 0")
+    per = per_pair.groupBy(*keys, group, "id", "weight", "least").agg(
+        F.count("*").alias("_k"), F.avg(F.col("_gt") / F.col("_n")).alias("_strict"), F.avg(F.col("_tie") / F.col("_n")).alias("_tied"))
+    per = per.where(F.col("_k") >= F.col("least"))
+    w = F.col("weight")
+    mean = lambda c: ratio(F.sum(w * c), F.sum(w))
+    return per.groupBy(*keys).agg(
+        F.count("*").alias("n_pairs"), mean(F.col("_strict") + 0.5 * F.col("_tied")).alias("auc"), mean(F.col("_strict")).alias("auc_strict"),
+        mean(F.col("_tied")).alias("tie_share"))
+
+
 @F.pandas_udf(T.DoubleType())
 def _exact_rank_sum(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Exact P(U >= u) of an untied rank-sum statistic, by counting the arrangements of the smaller side."""
