@@ -21,12 +21,10 @@ ASIDE = 4
 
 
 def subwords(word: str, low: int = 3, high: int = 5) -> list[int]:
-    """Hash buckets of a word and of its character n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    out = [crc32(marked.encode("utf-8", "surrogatepass")) % BUCKETS]
-    for n in range(low, high + 1):
-        out += [crc32(marked[i:i + n].encode("utf-8", "surrogatepass")) % BUCKETS for i in range(len(marked) - n + 1)]
-    return out
+    """Hash buckets of a word and of its n-grams of UTF-8 bytes, with marks at both ends."""
+    marked = b"<%b>" % word.encode("utf-8", "surrogatepass")
+    size = len(marked)
+    return [crc32(marked) % BUCKETS, *[crc32(marked[i:i + n]) % BUCKETS for n in range(low, high + 1) for i in range(size - n + 1)]]
 
 
 def words(text: str) -> list[str]:
@@ -131,8 +129,12 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
 
 class Scorer:
     def __init__(self, weights: np.ndarray):
-        self.buckets, (self.scale, self.offset) = weights[:-2], weights[-2:]
-        self.word = Memo(lambda w: float(self.buckets[subwords(w)].mean()), 400_000)
+        self.buckets, (self.scale, self.offset) = weights[:-2].tolist(), weights[-2:]
+        self.word = Memo(self._word, 400_000)
+
+    def _word(self, word: str) -> float:
+        found = subwords(word)
+        return sum(map(self.buckets.__getitem__, found)) / len(found)
 
     def top(self, text: str) -> float:
         """The highest window mean; a short last window counts as if filled with neutral words."""
