@@ -17,43 +17,57 @@ from partwise.llm.hamming import links
 from partwise.llm.simhash_bits import fingerprint
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, fp): the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and ``fp``, the 64 bits as a signed long."""
 
     def work(batch: list[str]) -> dict[str, list]:
         return {"fp": [int.from_bytes(fingerprint(t), "big", signed=True) for t in batch]}
 
-    return per_text(texts(docs, key), work, "fp long")
+    return per_text(texts(docs, *keep), work, "fp long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
-    """(key, fingerprint, component_id): one row per document, in the groups of linked fingerprints.
+def groups(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """(_fp, root): the group of every distinct fingerprint, named by its least one.
 
-    Copies collapse to one fingerprint before any probing; links join fingerprints,
-    components run on the linked ones alone, and labels return by a join.
+    Copies collapse to one fingerprint before any probing; links join fingerprints, and
+    components run on the linked ones alone.
     """
+    distinct = stored(prints.select("fp").distinct(), "distinct")
+    found = components(links(distinct, radius).toDF("u", "v"))
+    return stored(distinct.join(found, F.col("fp") == F.col("vertex"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("root")), "groups")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
+    """(key, fingerprint, component_id): one row per document, in the groups of linked fingerprints."""
     prints = stored(fingerprints(docs, key), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min(key).alias("first_id")), "distinct")
-    found = components(links(distinct.select("fp"), radius).toDF("u", "v"))
-    labels = distinct.join(found, F.col("fp") == F.col("vertex"), "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("root"))
-    labels = stored(labels, "labels")
+    first = prints.groupBy(F.col("fp").alias("_f")).agg(F.min(key).alias("first_id"))
+    labels = stored(groups(prints, radius).join(first, F.col("_fp") == F.col("_f")).drop("_f"), "labels")
     names = labels.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_root")
-    named = stored(labels.join(names, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id"), "names")
+    named = stored(labels.join(names, F.col("root") == F.col("_root")).select("_fp", "component_id"), "names")
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
-    """The document with the smallest key of every group, once; all columns stay.
+    """One row of every group, with all its columns: the smallest key, a missing one last.
 
-    A group of rows without any key keeps one row for each distinct text.
+    Of rows with this key and different texts the text that hashes lowest stays.  The text
+    meets only the table of the rows to drop, which is the smaller one in most corpora.
     """
-    found = near_duplicates(docs, key, radius)
-    stay = stored(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_key")).agg(
-        F.count("*").alias("_n")), "stay")
-    once, again = stay.where(F.col("_n") == 1), stay.where(F.col("_n") > 1)
-    single = docs.join(once, docs[key].eqNullSafe(once["_key"]), "left_semi")
-    many = docs.join(again, docs[key].eqNullSafe(again["_key"]), "left_semi")
-    return single.unionByName(many.where(F.col(key).isNotNull()).dropDuplicates([key])).unionByName(
-        many.where(F.col(key).isNull()).dropDuplicates([key, "text"]))
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    prints = stored(fingerprints(docs.select(docs[key].alias("_key"), text_hash.alias("_tk"), docs["text"].alias("text")), "_key", "_tk"), "fingerprints")
+    labels = groups(prints, radius)
+    placed = prints.join(labels, F.col("fp") == F.col("_fp")).groupBy("root", "_key", "_tk").agg(F.count("*").alias("_n"))
+    placed = stored(placed.withColumn("_order", F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_tk"))), "placed")
+    best = stored(placed.groupBy(F.col("root").alias("_root")).agg(F.min("_order").alias("_best")), "first")
+    placed = placed.join(best, F.col("root") == F.col("_root"))
+    stays = F.col("_order").eqNullSafe(F.col("_best"))
+    gone = stored(placed.where(~stays).select("_key", "_tk"), "gone")
+    again = stored(placed.where(stays & (F.col("_n") > 1)).select("_key", "_tk"), "again")
+
+    def same(marks: DataFrame):
+        return docs[key].eqNullSafe(marks["_key"]) & (text_hash == marks["_tk"])
+
+    single = docs.join(gone.unionByName(again).alias("m"), docs[key].eqNullSafe(F.col("m._key")) & (text_hash == F.col("m._tk")), "left_anti")
+    return single.unionByName(docs.join(again, same(again), "left_semi").dropDuplicates([key, "text"]))
