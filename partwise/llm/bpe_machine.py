@@ -32,7 +32,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[int]:
 class Transducer:
     """Encodes byte strings; the pair and piece tables are emptied at ``most`` entries."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
