@@ -136,9 +136,9 @@ def scan(files: DataFrame, key: str, templates: list[tuple[str, str]] = TEMPLATE
     headers = per_line.groupBy("path", "tk").agg(F.min(F.struct(
         (-F.col("cosine")).alias("c"), F.col("license"), F.col("line"))).alias("b")).select(
         F.col("path").alias("_hp"), F.col("tk").alias("_ht"), F.col("b.license").alias("header_license"), (-F.col("b.c")).alias("header_cosine"))
-    wanted = some.select(F.col("path").alias("_p"), F.col("tk").alias("_k")).distinct()
-    whole = files.join(wanted, (F.col("path") == F.col("_p")) & (F.col("tk") == F.col("_k")), "left_semi").select(
-        "path", "tk", "text").dropDuplicates(["path", "tk"]).select("path", "tk", tokens(F.col("text")).alias("terms"))
+    # A file holds a needed term exactly if one of its lines does, so no join is needed to find the files to weigh.
+    whole = files.select("path", "tk", tokens(F.col("text")).alias("terms")).where(
+        F.arrays_overlap("terms", F.lit(needed))).dropDuplicates(["path", "tk"])
     per_file = stored(_cosines(whole, ["path", "tk"], idf_table, vector_table, unseen, file_at), "licence-files")
     folders = stored(inherited(files, per_file), "folders")
 
