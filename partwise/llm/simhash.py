@@ -47,27 +47,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", radius: int = 3) -> Da
     named = stored(labels.join(names, F.col("root") == F.col("_root")).select("_fp", "component_id"), "names")
     return prints.join(named, F.col("fp") == F.col("_fp")).select(
         key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, key: str = "doc_id", radius: int = 3) -> DataFrame:
-    """One row of every group, with all its columns: the smallest key, a missing one last.
-
-    Of rows with this key and different texts the text that hashes lowest stays.  The text
-    meets only the table of the rows to drop, which is the smaller one in most corpora.
-    """
-    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    prints = stored(fingerprints(docs.select(docs[key].alias("_key"), text_hash.alias("_tk"), docs["text"].alias("text")), "_key", "_tk"), "fingerprints")
-    labels = groups(prints, radius)
-    placed = prints.join(labels, F.col("fp") == F.col("_fp")).groupBy("root", "_key", "_tk").agg(F.count("*").alias("_n"))
-    placed = stored(placed.withColumn("_order", F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_tk"))), "placed")
-    best = stored(placed.groupBy(F.col("root").alias("_root")).agg(F.min("_order").alias("_best")), "first")
-    placed = placed.join(best, F.col("root") == F.col("_root"))
-    stays = F.col("_order").eqNullSafe(F.col("_best"))
-    gone = stored(placed.where(~stays).select("_key", "_tk"), "gone")
-    again = stored(placed.where(stays & (F.col("_n") > 1)).select("_key", "_tk"), "again")
-
-    def same(marks: DataFrame):
-        return docs[key].eqNullSafe(marks["_key"]) & (text_hash == marks["_tk"])
-
-    single = docs.join(gone.unionByName(again).alias("m"), docs[key].eqNullSafe(F.col("m._key")) & (text_hash == F.col("m._tk")), "left_anti")
-    return single.unionByName(docs.join(again, same(again), "left_semi").dropDuplicates([key, "text"]))
