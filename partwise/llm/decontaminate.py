@@ -28,6 +28,7 @@ NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 WORD = r"[\p{L}\p{N}⟨⟩]+"
 SLOTS = ("⟨name⟩", "⟨qty⟩", "⟨num⟩")
 WIDTH = 5
+FOUND = ("dk", "tk", "ik", "n_windows", "n_found", "n_slots", "n_consistent", "n_changed")
 #: A table of item windows with at most so many rows is sent to every executor (24 bytes a row); a larger one is joined by shuffle.
 MOST_BROADCAST_ROWS = 2_000_000
 
@@ -103,9 +104,44 @@ def _key_hash(key: Column) -> Column:
     return F.xxhash64(key.isNull(), key.cast("string"))
 
 
+def plain_words(df: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns and ``words``, lower-cased, without placeholders."""
+    return df.select(*keep, F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0).alias("words"))
+
+
+def plain_hashes(words: Column, width: int) -> Column:
+    """One 64-bit hash per run of ``width`` words, seeded by the width."""
+    last = F.size(words) - width
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(
+        F.lit(width), *[F.get(words, i + j) for j in range(width)])))
+
+
+def _plain(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """(doc, item, dk, tk, ik, n_windows, n_found) of pairs found by lower-cased words alone."""
+    words = plain_words(items, "item", "ik")
+    own = F.lit(None)
+    for width in range(1, WIDTH + 1):
+        here = F.size("words") >= width if width == WIDTH else F.size("words") == width
+        own = F.when(here, plain_hashes(F.col("words"), width)).otherwise(own)
+    theirs = stored(words.select("item", "ik", F.least(F.size("words"), F.lit(WIDTH)).alias("width"), F.posexplode(own).alias("ipos", "h")), "plain-windows")
+    totals = theirs.groupBy("ik").agg(F.countDistinct("ipos").alias("n_windows"))
+    widths = sorted(r["width"] for r in theirs.select("width").distinct().collect())
+    if not widths:
+        return docs.join(totals, F.lit(False)).join(items.select("item", F.col("ik").alias("_i")), F.lit(False)).select(
+            "doc", "item", "dk", "tk", "ik", "n_windows", F.lit(0).cast("long").alias("n_found"))
+    every = F.concat(*[F.coalesce(plain_hashes(F.col("words"), w), F.array().cast("array<bigint>")) for w in widths])
+    ours = plain_words(docs, "doc", "dk", "tk").select("doc", "dk", "tk", F.explode(every).alias("g"))
+    small = theirs.count() <= MOST_BROADCAST_ROWS
+    hits = ours.join(F.broadcast(theirs) if small else theirs, F.col("g") == F.col("h"))
+    found = hits.groupBy("doc", "item", "dk", "tk", "ik").agg(F.countDistinct("ipos").alias("n_found"))
+    return found.join(totals, "ik").where(F.col("n_found") >= share * F.col("n_windows")).select(
+        "doc", "item", "dk", "tk", "ik", "n_windows", "n_found")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", share: float = 0.8) -> DataFrame:
     """(doc, item, dk, tk, ik, n_windows, n_found, n_slots, n_consistent, n_changed), one row per pair found.
 
+    A pair found by its template is told by that; one found by its plain form alone has that form's windows and no slots.
     dk is a hash of the document's key, tk of its text, ik of the item's key and text: they have no nulls to join on.
     """
     docs = docs.select(F.col(key).alias("doc"), _key_hash(F.col(key)).alias("dk"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), "text")
@@ -121,7 +157,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     found = hits.groupBy("doc", "item", "dk", "tk", "ik").agg(F.countDistinct("ipos").alias("n_found"))
     found = stored(found.join(totals, "ik").where(F.col("n_found") >= share * F.col("n_windows")), "found")
     out = found.join(_alike(found, docs, items, hits), ["dk", "tk", "ik"], "left").fillna(0, ["n_slots", "n_consistent", "n_changed"])
-    return out.where(F.col("n_consistent") >= share * F.col("n_slots"))
+    out = stored(out.where(F.col("n_consistent") >= share * F.col("n_slots")).select("doc", "item", *FOUND), "by-template")
+    more = _plain(docs, items, share).join(out.select("dk", "tk", "ik"), ["dk", "tk", "ik"], "left_anti")
+    zero = F.lit(0).cast("long")
+    return out.unionByName(more.select("*", zero.alias("n_slots"), zero.alias("n_consistent"), zero.alias("n_changed")))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", share: float = 0.8) -> DataFrame:
