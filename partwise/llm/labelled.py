@@ -26,8 +26,12 @@ def label_sample(labels: DataFrame, label: str, key: str, folds: int, held: int,
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame, key: str) -> list[tuple[str, int]]:
-    """The texts and labels of a sample.  ``sample`` has a fixed bound, so it may be broadcast and collected."""
+    """One text and the label of each key of a sample: of rows of one key, the text that hashes lowest.
+
+    ``sample`` has a fixed bound, so it may be broadcast, and its texts collected.
+    """
     small = F.broadcast(sample)
     rows = docs.select(F.col(key).alias("_doc"), F.coalesce("text", F.lit("")).alias("text")).join(
-        small, F.col("_doc") == F.col("_key")).select("_doc", "label", "text").collect()
+        small, F.col("_doc") == F.col("_key")).groupBy("_doc", "label").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_m")).select("_doc", "label", "_m.text").collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (str(r["_doc"]), r["text"]))]
