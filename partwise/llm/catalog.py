@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm import bpe, classifiers, decontaminate, licenses, quality_rules, secret_scan, simhash, substrings, wordpieces
+from partwise.llm import (bpe, classifiers, decontaminate, licenses, line_dedup, quality_rules, secret_scan, simhash, substrings, vector_codes,
+                          whitening, wordpieces)
 from partwise.llm.common import table
 
 
@@ -54,6 +55,18 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classifiers.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.report(table(spark, folder, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digests(table(spark, folder, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs),
@@ -107,10 +120,56 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM docs LEFT JOIN kept USING (rid)
 """
 
+OP12_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
+  FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM docs)),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS home FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT k.*, home IS NOT NULL AND doc_id <> home AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""
+
+
+def _op13_sql() -> str:
+    """The codebooks round by round; a vector is (part, v) rows, ties go to the lower entry."""
+    def assigned(books: str) -> str:
+        return f"""SELECT r.rid, r.part, any_value(r.v) AS v, arg_min(b.entry, (d, b.entry)) AS entry, min(d) AS d
+          FROM r JOIN {books} b USING (part), LATERAL (SELECT list_sum(list_transform(list_zip(r.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d)
+          GROUP BY r.rid, r.part"""
+
+    def averaged(books: str, marks: str) -> str:
+        return f"""SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM {books} b LEFT JOIN (
+          SELECT part, entry, list(floor_mean ORDER BY p) AS v FROM (
+            SELECT part, entry, p, (s - (s % n + n) % n) // n AS floor_mean FROM (
+              SELECT part, entry, p, sum(x)::BIGINT AS s, count(*) AS n
+              FROM (SELECT part, entry, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS p FROM {marks}) GROUP BY ALL))
+          GROUP BY part, entry) m USING (part, entry)"""
+
+    return f"""
+WITH kept AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS rid FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+x AS (SELECT rid, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM kept),
+r AS (SELECT rid, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS v FROM (SELECT rid, v, unnest(range(0, 16)) AS part FROM x)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM r WHERE rid <= 64),
+a0 AS MATERIALIZED ({assigned("b0")}),
+b1 AS MATERIALIZED ({averaged("b0", "a0")}),
+a1 AS MATERIALIZED ({assigned("b1")}),
+b2 AS MATERIALIZED ({averaged("b1", "a1")}),
+a2 AS MATERIALIZED ({assigned("b2")}),
+c AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN c USING (rid) CROSS JOIN books"""
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_license_scan, op2_simhash_near_duplicates, op3_substring_dedup, op4_byte_bpe, op5_quality_rules, op6_token_counts, op7_secret_scan, op8_decontamination,
-        op9_toxicity, op10_quality_classifier)
+        op9_toxicity, op10_quality_classifier, op11_embedding_whitening, op12_line_dedup, op13_vector_codes)
 }
 OP1_SQL = licenses.sql("""SELECT doc_id, '/' || coalesce(source, '') || '/' || coalesce(lang, '') || '/' ||
   coalesce(doc_id::VARCHAR, '') AS path, text FROM documents""", "doc_id")
@@ -120,4 +179,6 @@ ORACLES = {
     "op3_substring_dedup": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op8_decontamination": OP8_SQL,
+    "op12_line_dedup": OP12_SQL,
+    "op13_vector_codes": _op13_sql(),
 }

@@ -21,7 +21,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert all(any(re.match(rf"op{i}_", n) for n in names) for i in range(1, 11)) and "pipeline" in names
+    assert all(any(re.match(rf"op{i}_", n) for n in names) for i in range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark, duck):
