@@ -10,27 +10,42 @@ from partwise.catalog.columns import aligned
 from partwise.catalog.registry import register
 from partwise.catalog.roles import h32, q, verdict_sql
 from partwise.catalog.statistics import corr_sql, ranks_sql
+from partwise.operators import permute as PM
 from partwise.operators import resample as RS
 from partwise.operators import score as S
 from partwise.operators import stats as ST
 from partwise.session import cut_lineage
 
-DRAWS = 10
+DRAWS = 1000
+WHO = [(m,) for m in R.METHODS]
 
 
 def draws_sql(n: int) -> str:
     return f"(SELECT unnest(range(1, {n + 1})) AS draw)"
 
 
+def moved_sql(rel: str) -> str:
+    """``x`` of rel (x, size, key and more) moved by the keyed bijection of operators.permute, round by round."""
+    p, word = PM.PRIME, PM.WORD
+    for a, b in PM.round_numbers():
+        sq = lambda c: f"((key * {c[0]} + {c[1]}) % {p}) * ((key * {c[0]} + {c[1]}) % {p}) % {p}"
+        rel = f"""(SELECT * EXCLUDE (y, u) REPLACE (CASE WHEN ((xor(u, u >> 15) * {PM.MIX[1]}) & {word}) >> 31 = 1 THEN y ELSE x END AS x) FROM
+          (SELECT *, (((greatest(x, y) + {sq((b, a))}) & {word}) * {PM.MIX[0]}) & {word} AS u FROM
+            (SELECT *, ({sq((a, b))} % size - x + size) % size AS y FROM {rel})))"""
+    return rel
+
+
 def perm_sql(rel: str, groups: str, label: str, ident: str, n: int, seed: str) -> str:
     """(draw, ident, groups, label) with labels shuffled inside groups."""
     part = f"PARTITION BY {groups}" if groups else ""
     gcols = f"{groups}, " if groups else ""
-    using = f"({groups}, pos)" if groups else "(pos)"
-    return f"""(SELECT draw, {gcols}{ident}, {label} FROM
-      (SELECT d.draw, {gcols}{ident}, row_number() OVER (PARTITION BY draw{', ' + groups if groups else ''}
-         ORDER BY {h32(f"'{seed}'", 'd.draw', ident)}, {ident}) AS pos FROM {rel} r, {draws_sql(n)} d)
-      JOIN (SELECT {gcols}{label}, row_number() OVER ({part} ORDER BY {label}) AS pos FROM {rel}) USING {using})"""
+    using = f"({groups}, x)" if groups else "(x)"
+    key = h32(f"'{seed}'", "draw", *groups.split(", ")) if groups else h32(f"'{seed}'", "draw")
+    rows = f"""(SELECT {gcols}{ident}, row_number() OVER ({part} ORDER BY {h32(f"'{seed}'", "'base'", ident)}, {ident}) - 1 AS x,
+        count(*) OVER ({part}) AS size FROM {rel} WHERE {label} IS NOT NULL)"""
+    keys = f"(SELECT *, {key} % {PM.PRIME} AS key FROM (SELECT DISTINCT {groups or '1 AS one'} FROM {rel}), {draws_sql(n)})"
+    return f"""(SELECT draw, {gcols}{ident}, {label} FROM {moved_sql(f"(SELECT r.*, draw, key FROM {rows} r JOIN {keys} k {f'USING ({groups})' if groups else 'ON true'})")}
+      JOIN (SELECT {gcols}{label}, row_number() OVER ({part} ORDER BY {label}) - 1 AS x FROM {rel} WHERE {label} IS NOT NULL) USING {using})"""
 
 
 def boot_sql(rel: str, ident: str, n: int, seed: str) -> str:
@@ -45,15 +60,14 @@ OBS = """obs AS (SELECT method, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(w
 
 @register("res01_within_group_label_permutation", "method n_draws", "observed null_mean p_value", q("verdict", f"""
     WITH {OBS}, p AS {perm_sql('smp', 'tumour', 'structure', 'sample', DRAWS, 'perm')},
-    pm AS (SELECT method, draw, p.tumour, p.structure, part, round(avg(value), 10) AS v FROM est JOIN p USING (sample) WHERE method IN ('price', 'control') GROUP BY ALL),
+    pm AS (SELECT method, draw, p.tumour, p.structure, part, round(avg(value), 10) AS v FROM est JOIN p USING (sample) GROUP BY ALL),
     nv AS ({verdict_sql('pm', 'method, draw, tumour')}),
     ns AS (SELECT method, draw, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS s FROM nv WHERE ok IS NOT NULL GROUP BY 1, 2)
     SELECT method, count(*) AS n_draws, max(obs.s) AS observed, avg(ns.s) AS null_mean, (count(*) FILTER (ns.s >= obs.s - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value
     FROM ns JOIN obs USING (method) GROUP BY 1"""))
 def _(t):
     terms = S.constraint_terms(t.spark, R.CONSTRAINTS)
-    null = RS.score_null(R.estimates(t, "price", "control"), R.samples(t), terms, DRAWS, "perm", digits=10)
-    return RS.p_value(null, S.score(verdict_table(t, "price", "control")), ["method"], "score")
+    return PM.null_p(RS.score_null(R.estimates(t), R.samples(t), terms, DRAWS, "perm", digits=10, who=WHO), ["method"], "score")
 
 
 @register("res02_cluster_bootstrap", "method n_units", "mean ci_low median ci_high", q("verdict", f"""
@@ -90,28 +104,32 @@ def _(t):
     return RS.paired_ties(cut_lineage(err), 2000, "ties")
 
 
-PATIENT_MEANS = """pm AS (SELECT method, patient, round(avg(e), 9) AS x, round(avg(t), 9) AS y FROM et JOIN smp USING (sample)
-    WHERE part = 'PROMO' AND method IN ('price', 'control') GROUP BY 1, 2)"""
+PATIENT_MEANS = """pm AS (SELECT method, part, patient, round(avg(e), 9) AS x, round(avg(t), 9) AS y FROM et JOIN smp USING (sample) GROUP BY ALL)"""
 
 
 def patient_means(t):
-    rows = aligned(t, "price", "control").where("part = 'PROMO'").join(R.samples(t).select("sample", "patient"), "sample")
-    return rows.groupBy("method", "patient").agg(F.round(F.avg("e"), 9).alias("x"), F.round(F.avg("t"), 9).alias("y"))
-
-
-PERM_SPEARMAN = f"""{PATIENT_MEANS}, r AS {ranks_sql('pm', 'method', 'x y')}, n AS (SELECT method, count(*) AS n FROM pm GROUP BY 1),
-    c AS (SELECT method, patient, r_x - (n + 1) / 2.0 AS a, r_y - (n + 1) / 2.0 AS b FROM r JOIN n USING (method)),
-    o AS (SELECT method, count(*) AS n, sqrt(sum(a * a) * sum(b * b)) AS norm, sum(a * b) AS s FROM c GROUP BY 1),
-    base AS (SELECT method, b, row_number() OVER (PARTITION BY method ORDER BY {h32("'track'", "'base'", "patient")}, patient) AS pos FROM c),
-    dr AS (SELECT method, draw, a, row_number() OVER (PARTITION BY method, draw ORDER BY {h32("'track'", "draw", "patient")}, patient) AS pos FROM c, {draws_sql(199)}),
-    z AS (SELECT method, draw, sum(a * b) AS p FROM dr JOIN base USING (method, pos) GROUP BY 1, 2)"""
-
-
-@register("res05_permutation_spearman", "method n", "rho p_value", q("et smp", f"""
-    WITH {PERM_SPEARMAN} SELECT method, max(n) AS n, max(s / norm) AS rho, (count(*) FILTER (abs(p) >= abs(s) - 1e-9 * norm) + 1) / (count(*) + 1)::DOUBLE AS p_value
-    FROM z JOIN o USING (method) GROUP BY 1"""))
+    rows = aligned(t).join(R.samples(t).select("sample", "patient"), "sample")
+    return rows.groupBy("method", "part", "patient").agg(F.round(F.avg("e"), 9).alias("x"), F.round(F.avg("t"), 9).alias("y"))
+
+
+def perm_spearman_sql(rel: str, keys: str, ident: str, draws: int, seed: str) -> str:
+    """o (keys, n, norm, s) and z (keys, draw, p) of rel (keys, ident, x, y); keys of one size share their shuffles."""
+    return f"""r AS {ranks_sql(rel, keys, 'x y')}, nn AS (SELECT {keys}, count(*) AS n FROM {rel} GROUP BY ALL),
+    c AS (SELECT {keys}, n AS size, r_x - (n + 1) / 2.0 AS a, r_y - (n + 1) / 2.0 AS b,
+      row_number() OVER (PARTITION BY {keys} ORDER BY {h32(f"'{seed}'", "'base'", ident)}, {ident}) - 1 AS x FROM r JOIN nn USING ({keys})),
+    o AS (SELECT {keys}, count(*) AS n, sqrt(sum(a * a) * sum(b * b)) AS norm, sum(a * b) AS s FROM c GROUP BY {keys}),
+    sh AS MATERIALIZED (SELECT draw, size, at0, x FROM {moved_sql(f"""(SELECT draw, size, at0, at0 AS x, {h32(f"'{seed}'", "draw")} % {PM.PRIME} AS key
+      FROM (SELECT size, unnest(range(size)) AS at0 FROM (SELECT DISTINCT size FROM c)), {draws_sql(draws)})""")}),
+    z AS (SELECT {keys}, draw, sum(c.a * d.b) AS p FROM c JOIN sh ON sh.size = c.size AND sh.at0 = c.x
+      JOIN (SELECT {keys}, x, b FROM c) d USING ({keys}) WHERE d.x = sh.x GROUP BY ALL)"""
+
+
+@register("res05_permutation_spearman", "method part n", "rho p_value", q("et smp", f"""
+    WITH {PATIENT_MEANS}, {perm_spearman_sql('pm', 'method, part', 'patient', DRAWS, 'track')}
+    SELECT method, part, max(n) AS n, max(s / norm) AS rho, (count(*) FILTER (abs(p) >= abs(s) - 1e-9 * norm) + 1) / (count(*) + 1)::DOUBLE AS p_value
+    FROM z JOIN o USING (method, part) GROUP BY ALL"""))
 def _(t):
-    return RS.permutation_spearman(cut_lineage(patient_means(t)), ["method"], "patient", "x", "y", 199, "track")
+    return RS.permutation_spearman(cut_lineage(patient_means(t)), ["method", "part"], "patient", "x", "y", DRAWS, "track")
 
 
 PERMS6 = """pr AS (SELECT [a, b, c, d, e, f] AS p FROM range(1, 7) ta(a), range(1, 7) tb(b), range(1, 7) tc(c), range(1, 7) td(d), range(1, 7) te(e), range(1, 7) tf(f)

@@ -1,9 +1,9 @@
 """Permutation and bootstrap nulls as ordinary joins on a table of draws.
 
-A draw is a number; what it picks is a hash of (seed, draw, key).  Labels and
-picks are made once per draw on the thin (sample, group, label) table and shared
-by every method and part, and scores are reduced to per-unit sums before they
-meet the draws.
+A draw is a number; what it picks is a hash of (seed, draw, key).  Labels are moved by a
+keyed bijection, and the nulls that need only sums per label are summed for all draws
+inside the tasks (``permute``).  Picks are made once per draw and shared by every method
+and part, and scores are reduced to per-unit sums before they meet the draws.
 """
 
 from __future__ import annotations
@@ -15,43 +15,11 @@ from pyspark.sql import functions as F
 
 from partwise.functions.draws import hash32, pick, unit, with_draws
 from partwise.functions.guards import ratio
+from partwise.operators.permute import (DENSE_UNITS, array_products, null_p, permute_labels, permuted_means, permuted_sums, place,
+                                        rank_arrays, roster, row_products, score_draws, widened)
 from partwise.operators.ranks import attach_rank, hash_positions, prefix_sums
-from partwise.operators.score import verdicts, weigh
 from partwise.operators.stats import spearman
-
-
-def permute_labels(samples: DataFrame, groups: Sequence[str], label: str, ident: str, n_draws: int, seed: str) -> DataFrame:
-    """(draw, ident, groups, label): labels shuffled inside each group, once per draw.
-
-    The samples of a group are numbered by a hash of (seed, draw, ident); number k
-    takes the label whose cumulated count first reaches k.  Group sizes and label
-    counts are kept by construction.  Numbering cuts big groups into hash ranges,
-    so a group of any size is spread over tasks.
-    """
-    groups = list(groups)
-    thin = samples.select(*groups, label, ident).where(F.col(label).isNotNull())
-    counts = thin.groupBy(*groups, label).agg(F.count("*").alias("_n"))
-    sized = counts.groupBy(*groups).agg(
-        F.sum("_n").alias("_size"), F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("_n").alias("n")))).alias("_by"))
-    # Cumulated label counts: one entry per label of the roster.
-    step = F.aggregate(
-        "_by", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<struct<upto:bigint,label:{_type(samples, label)}>>").alias("cuts")),
-        lambda acc, x: F.struct(
-            (acc.at + x.n).alias("at"),
-            F.concat(acc.cuts, F.array(F.struct((acc.at + x.n).alias("upto"), x.label.alias("label")))).alias("cuts")),
-        lambda acc: acc.cuts)
-    sized = sized.select(*groups, "_size", step.alias("_cuts"))
-    ids = thin.select(*groups, ident)
-    rows = ids.join(sized.select(*groups, "_size"), groups) if groups else ids.withColumn("_size", sized.select("_size").scalar())
-    placed = hash_positions(with_draws(rows, n_draws), ["draw", *groups], ident, hash32(F.lit(seed), "draw", ident), "_size")
-    cuts = sized.select(*groups, "_cuts")
-    placed = placed.join(cuts, groups) if groups else placed.withColumn("_cuts", cuts.scalar())
-    first = F.get(F.filter("_cuts", lambda c: c.upto >= F.col("pos")), F.lit(0)).getField("label")
-    return placed.select("draw", ident, *groups, first.alias(label))
-
-
-def _type(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
+from partwise.session import cut_lineage
 
 
 def p_value(null: DataFrame, observed: DataFrame, keys: Sequence[str], stat: str, tol: float = 1e-9,
@@ -70,18 +38,15 @@ def p_value(null: DataFrame, observed: DataFrame, keys: Sequence[str], stat: str
 
 
 def score_null(est: DataFrame, samples: DataFrame, terms: DataFrame, n_draws: int, seed: str,
-               digits: int | None = None, keys: Sequence[str] = ("method",), per_group: bool = False) -> DataFrame:
-    """Constraint score of every method under each shuffle of structures inside tumours.
+               digits: int | None = None, keys: Sequence[str] = ("method",), per_group: bool = False,
+               who: Sequence[tuple] | None = None) -> DataFrame:
+    """Constraint score of every method under each shuffle of structures inside tumours; draw 0 is the observed one.
 
     Only parts some constraint reads take part.
     """
-    used = est.join(terms.select("part").distinct(), "part", "left_semi")
-    shuffled = permute_labels(samples, ["tumour"], "structure", "sample", n_draws, seed)
-    mean = F.avg("value") if digits is None else F.round(F.avg("value"), digits)
-    means = used.join(shuffled, "sample").groupBy(*keys, "draw", "tumour", "structure", "part").agg(mean.alias("v"))
-    table = verdicts(means, terms, [*keys, "draw", "tumour"])
     by = [*keys, "draw", "tumour"] if per_group else [*keys, "draw"]
-    return weigh(table, by).select(*by, ratio("num", "den").alias("score"))
+    return score_draws(est, samples, terms, n_draws, seed, digits, keys, who=who).groupBy(*by).agg(
+        ratio(F.sum("num"), F.sum("den")).alias("score"))
 
 
 def resampled_units(units: DataFrame, keys: Sequence[str], ident: str, n_draws: int, seed: str) -> DataFrame:
@@ -159,24 +124,33 @@ def paired_ties(errors: DataFrame, n_draws: int, seed: str) -> DataFrame:
         (few | ((F.col("ci_low") <= 0) & (F.col("ci_high") >= 0))).alias("tied"))
 
 
-def permutation_spearman(df: DataFrame, keys: Sequence[str], ident: str, x: str, y: str, n_draws: int, seed: str) -> DataFrame:
-    """Two-sided permutation p of Spearman: ranks are made once, then shuffled."""
+def permutation_spearman(df: DataFrame, keys: Sequence[str], ident: str, x: str, y: str, n_draws: int, seed: str,
+                         dense_units: int = DENSE_UNITS) -> DataFrame:
+    """Two-sided permutation p of Spearman: ranks are made once, then moved by a keyed bijection.
+
+    A key of at most ``dense_units`` units is one array of ranks; a larger one stays rows,
+    ranked in value ranges and joined by moved position.  Both give the same result.
+    """
     keys = list(keys)
-    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ident, x, y)
-    size = full.groupBy(*keys).agg(F.count("*").alias("_size"))
-    r = attach_rank(attach_rank(full, keys, x, "_rx"), keys, y, "_ry").join(size, keys)
-    mid = (F.col("_size") + 1) / F.lit(2.0)
-    r = r.select(*keys, ident, "_size", (F.col("_rx") - mid).alias("_rx"), (F.col("_ry") - mid).alias("_ry"))
-    norm = r.groupBy(*keys).agg(
-        F.sqrt(F.sum(F.col("_rx") ** 2) * F.sum(F.col("_ry") ** 2)).alias("_norm"), F.sum(F.col("_rx") * F.col("_ry")).alias("_s"),
-        F.count("*").alias("n"))
-    base = hash_positions(r.select(*keys, ident, "_size", "_ry"), keys, ident, hash32(F.lit(seed), F.lit("base"), ident), "_size")
-    draws = hash_positions(with_draws(r.select(*keys, ident, "_size", "_rx"), n_draws), ["draw", *keys], ident,
-                           hash32(F.lit(seed), "draw", ident), "_size")
-    null = draws.join(base.select(*keys, "pos", "_ry"), [*keys, "pos"]).groupBy(*keys, "draw").agg(
-        F.sum(F.col("_rx") * F.col("_ry")).alias("_p"))
-    j = null.join(norm, keys)
-    hit = F.abs(F.col("_p")) >= F.abs(F.col("_s")) - 1e-9 * F.col("_norm")
+    full = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ident, x, y))
+    size = cut_lineage(full.groupBy(*keys).agg(F.count("*").alias("_size")))
+    big = size.where(F.col("_size") > dense_units)
+    some_big = not big.isEmpty()
+    few = full.join(big, keys, "left_anti") if some_big else full
+    arrays = cut_lineage(rank_arrays(few, keys, ident, x, y, seed))
+    products = array_products(arrays, keys, n_draws, seed)
+    norm = arrays.select(*keys, F.col("_size").alias("n"), "_norm", "_s")
+    if some_big:
+        rows = full.join(big, keys)
+        r = attach_rank(attach_rank(rows, keys, x, "_rx"), keys, y, "_ry")
+        mid = (F.col("_size") + 1) / F.lit(2.0)
+        r = cut_lineage(r.select(*keys, ident, "_size", (F.col("_rx") - mid).alias("_rx"), (F.col("_ry") - mid).alias("_ry")))
+        products = products.union(row_products(r, keys, ident, n_draws, seed))
+        norm = norm.union(r.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.sqrt(F.sum(F.col("_rx") ** 2) * F.sum(F.col("_ry") ** 2)).alias("_norm"),
+            F.sum(F.col("_rx") * F.col("_ry")).alias("_s")))
+    j = products.join(norm, keys)
+    hit = F.abs(F.col("p")) >= F.abs(F.col("_s")) - 1e-9 * F.col("_norm")
     return j.groupBy(*keys).agg(
         F.max("n").alias("n"), F.max(ratio("_s", "_norm")).alias("rho"), ratio(F.count_if(hit) + 1, F.count("*") + 1).alias("p_value"))
 
@@ -213,12 +187,13 @@ def exact_permutation(df: DataFrame, keys: Sequence[str], ident: str, x: str, y:
 def mean_difference_null(df: DataFrame, groups: Sequence[str], flag: str, ident: str, value: str, n_draws: int, seed: str,
                          keys: Sequence[str] = ()) -> DataFrame:
     """One-sided p of mean(flagged) - mean(others) under shuffles of the flag inside groups."""
-    diff = F.avg(F.when(F.col(flag), F.col(value))) - F.avg(F.when(~F.col(flag), F.col(value)))
-    observed = df.groupBy(*keys).agg(diff.alias("stat"))
-    labels = df.select(*groups, flag, ident).distinct()
-    null = df.drop(flag).join(permute_labels(labels, groups, flag, ident, n_draws, seed).drop(*groups), ident).groupBy(
-        *keys, "draw").agg(diff.alias("stat"))
-    return p_value(null, observed, keys, "stat")
+    groups, keys = list(groups), list(keys)
+    columns = roster(df, keys)
+    placed = place(df.select(*groups, flag, ident).distinct(), groups, flag, ident, seed)
+    sums = permuted_sums(placed.join(widened(df, keys, columns, ident, value), ident), groups, len(columns), n_draws, seed)
+    means = permuted_means(sums, groups, keys, columns, [df.schema[k].dataType for k in keys])
+    side = lambda on: ratio(F.sum(F.when(on, F.col("v") * F.col("n"))), F.sum(F.when(on, F.col("n"))))
+    return null_p(means.groupBy(*keys, "draw").agg((side(F.col("label")) - side(~F.col("label"))).alias("stat")), keys, "stat")
 
 
 def sign_flip(df: DataFrame, keys: Sequence[str], ident: str, value: str, n_draws: int, seed: str) -> DataFrame:
