@@ -9,11 +9,11 @@ from partwise.catalog.aggregates import scored, verdict_table
 from partwise.catalog.columns import aligned
 from partwise.catalog.registry import register
 from partwise.catalog.roles import h32, q, verdict_sql
-from partwise.catalog.statistics import corr_sql, ranks_sql
+from partwise.catalog.statistics import corr_sql, pair_values, ranks_sql
+from partwise.operators import auc_null as AN
 from partwise.operators import permute as PM
 from partwise.operators import resample as RS
 from partwise.operators import score as S
-from partwise.operators import stats as ST
 from partwise.session import cut_lineage
 
 DRAWS = 1000
@@ -147,50 +147,46 @@ def _(t):
     return RS.exact_permutation(cut_lineage(x), ["method"], "part", "x", "y", 6)
 
 
-AUC_OF = """avg(CASE WHEN h.value > l.value THEN 1.0 WHEN h.value = l.value THEN 0.5 ELSE 0 END)"""
-
-
 @register("res07_auc_permutation", "method n_draws", "observed null_mean p_value", q("est smp", f"""
-    WITH pp AS (SELECT * FROM est WHERE part = 'PROMO' AND method IN ('price', 'control')),
-    x AS (SELECT method, 0 AS draw, tumour, structure, value FROM pp JOIN smp USING (sample) UNION ALL
-      SELECT method, draw, tumour, structure, value FROM pp JOIN {perm_sql('smp', 'tumour', 'structure', 'sample', 5, 'auc')} USING (sample)),
-    a AS (SELECT h.method, h.draw, h.tumour, {AUC_OF} AS auc FROM x h JOIN x l ON h.method = l.method AND h.draw = l.draw AND h.tumour = l.tumour
-      WHERE h.structure = '1-URGENT' AND l.structure = '5-LOW' GROUP BY ALL),
-    s AS (SELECT method, draw, round(avg(auc), 9) AS auc FROM a GROUP BY 1, 2)
+    WITH c0(id, weight, part, least, pair, hi, lo) AS (VALUES {pair_values()}), c AS (SELECT *, row_number() OVER () AS k FROM c0),
+    p AS MATERIALIZED (SELECT draw, sample, structure FROM {perm_sql('smp', 'tumour', 'structure', 'sample', DRAWS, 'auc')} UNION ALL SELECT 0, sample, structure FROM smp),
+    v AS MATERIALIZED (SELECT sample, part, ((CASE method {" ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(R.METHODS))} END * 64 + tumour)::BIGINT << 36)
+      + dense_rank() OVER (PARTITION BY method, part, tumour ORDER BY value) AS code FROM est JOIN smp USING (sample) WHERE value IS NOT NULL),
+    -- One number holds method, tumour, draw, pair and rank, as there is a row for each of them.
+    g AS (SELECT ((code >> 36) << 36) + (draw::BIGINT << 24) + (k::BIGINT << 20) + (code & 1048575) AS spot, count(*) FILTER (structure = hi) AS h, count(*) FILTER (structure = lo) AS l
+      FROM v JOIN p USING (sample) JOIN c ON c.part = v.part AND structure IN (hi, lo) GROUP BY 1),
+    rw AS (SELECT spot >> 20 AS cell, h, l, sum(l) OVER (PARTITION BY spot >> 20 ORDER BY spot) - l AS below FROM g),
+    a AS (SELECT cell, sum(h * (below + 0.5 * l)) / (sum(h) * sum(l)) AS auc FROM rw GROUP BY cell HAVING sum(h) > 0 AND sum(l) > 0),
+    t AS (SELECT cell >> 22 AS m, (cell >> 4) & 4095 AS draw, weight, avg(auc) AS auc FROM a JOIN c ON k = cell & 15 GROUP BY cell >> 16, m, (cell >> 4) & 4095, id, weight, least HAVING count(*) >= least),
+    s AS (SELECT CASE m {" ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(R.METHODS))} END AS method, draw, sum(weight * auc) / sum(weight) AS auc FROM t GROUP BY 1, 2)
     SELECT n.method, count(*) AS n_draws, max(o.auc) AS observed, avg(n.auc) AS null_mean, (count(*) FILTER (n.auc >= o.auc - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value
     FROM s n JOIN s o ON n.method = o.method AND o.draw = 0 AND n.draw > 0 GROUP BY 1"""))
 def _(t):
-    est = R.estimates(t, "price", "control").where("part = 'PROMO'").select("method", "sample", "value")
-    smp = R.samples(t)
-    auc = lambda rows, keys: ST.label_pair_counts(rows, [*keys, "tumour"], "structure", "value", "1-URGENT", "5-LOW").groupBy(
-        *keys).agg(F.round(F.avg("auc"), 9).alias("stat"))
-    observed = auc(est.join(smp, "sample"), ["method"])
-    null = auc(est.join(RS.permute_labels(smp, ["tumour"], "structure", "sample", 5, "auc"), "sample"), ["method", "draw"])
-    return RS.p_value(null, observed, ["method"], "stat")
-
-
-@register("res08_block_label_permutation", "n_draws", "observed null_mean p_value", q("truth smp", f"""
-    WITH b AS (SELECT sample, tumour, patient % 2 AS block, structure, value FROM truth JOIN smp USING (sample) WHERE part = 'LARGE' AND sample % 10 <> 0),
-    bs AS (SELECT sample, concat(tumour, '#', block) AS tb, structure FROM b), p AS {perm_sql('bs', 'tb', 'structure', 'sample', DRAWS, 'block')},
-    x AS (SELECT 0 AS draw, tumour, block, structure, value FROM b UNION ALL SELECT draw, tumour, block, p.structure, value FROM b JOIN p USING (sample)),
-    m AS (SELECT draw, tumour, block, round(avg(value) FILTER (structure = '3-MEDIUM'), 10) AS hi, round(avg(value) FILTER (structure = '1-URGENT'), 10) AS lo FROM x GROUP BY ALL),
-    d AS (SELECT draw, tumour, avg(CASE WHEN hi > lo THEN 1.0 ELSE 0 END) AS r FROM m WHERE hi IS NOT NULL AND lo IS NOT NULL GROUP BY 1, 2),
-    s AS (SELECT draw, avg(r) AS r FROM d GROUP BY 1)
-    SELECT count(*) AS n_draws, max(o.r) AS observed, avg(n.r) AS null_mean, (count(*) FILTER (n.r >= o.r - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value
-    FROM s n JOIN s o ON o.draw = 0 AND n.draw > 0"""))
+    return PM.null_p(AN.auc_draws(R.estimates(t), R.samples(t), R.CONSTRAINTS, DRAWS, "auc"), ["method"], "stat")
+
+
+@register("res08_block_label_permutation", "part n_draws n_labelled", "observed null_mean p_value", q("truth smp", f"""
+    WITH bs AS (SELECT sample, tumour, concat(tumour, '#', patient % 2) AS tb, CASE WHEN sample % 10 <> 0 THEN structure END AS structure FROM smp WHERE sample IN (SELECT sample FROM truth)),
+    p AS {perm_sql('bs', 'tb', 'structure', 'sample', DRAWS, 'block')},
+    x AS (SELECT 0 AS draw, sample, tb, structure FROM bs WHERE structure IS NOT NULL UNION ALL SELECT draw, sample, tb, structure FROM p),
+    m AS (SELECT draw, part, tb, round(avg(value) FILTER (structure = '3-MEDIUM'), 10) AS hi, round(avg(value) FILTER (structure = '1-URGENT'), 10) AS lo FROM x JOIN truth USING (sample) GROUP BY ALL),
+    d AS (SELECT draw, part, split_part(tb, '#', 1) AS tumour, avg(CASE WHEN hi > lo THEN 1.0 ELSE 0 END) AS r FROM m WHERE hi IS NOT NULL AND lo IS NOT NULL GROUP BY ALL),
+    s AS (SELECT draw, part, avg(r) AS r FROM d GROUP BY 1, 2)
+    SELECT n.part, count(*) AS n_draws, (SELECT count(structure) FROM bs) AS n_labelled, max(o.r) AS observed, avg(n.r) AS null_mean, (count(*) FILTER (n.r >= o.r - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value
+    FROM s n JOIN s o ON o.part = n.part AND o.draw = 0 AND n.draw > 0 GROUP BY 1"""))
 def _(t):
-    rows = R.truth(t).where("part = 'LARGE' AND sample % 10 <> 0").join(R.samples(t), "sample").select(
-        "sample", F.concat_ws("#", "tumour", F.col("patient") % 2).alias("tb"), "structure", "value")
-
-    def rate(d, keys):
-        mean = lambda s: F.round(F.avg(F.when(F.col("structure") == s, F.col("value"))), 10)
-        m = d.groupBy(*keys, "tb").agg(mean("3-MEDIUM").alias("hi"), mean("1-URGENT").alias("lo")).where("hi IS NOT NULL AND lo IS NOT NULL")
-        donor = m.groupBy(*keys, F.substring_index("tb", "#", 1).alias("tumour")).agg(F.avg((F.col("hi") > F.col("lo")).cast("double")).alias("r"))
-        return donor.groupBy(*keys).agg(F.avg("r").alias("stat"))
-
-    shuffled = RS.permute_labels(rows, ["tb"], "structure", "sample", DRAWS, "block").drop("tb")
-    null = rate(rows.drop("structure").join(shuffled, "sample"), ["draw"])
-    return RS.p_value(null, rate(rows, []), [], "stat")
+    """Every tenth sample has no label: it takes no part, as in a study whose blocks are not all annotated."""
+    smp = cut_lineage(R.samples(t).join(R.truth(t).select("sample").distinct(), "sample", "left_semi").select(
+        "sample", F.concat_ws("#", "tumour", F.col("patient") % 2).alias("tb"), F.when(F.col("sample") % 10 != 0, F.col("structure")).alias("structure")))
+    columns = [(p,) for p in R.PARTS]
+    placed = PM.place(smp, ["tb"], "structure", "sample", "block")
+    sums = PM.permuted_sums(placed.join(PM.widened(R.truth(t), ["part"], columns, "sample"), "sample"), ["tb"], len(columns), DRAWS, "block")
+    means = PM.permuted_means(sums, ["tb"], ["part"], columns, ["string"], digits=10)
+    of = lambda s: F.max(F.when(F.col("label") == s, F.col("v")))
+    m = means.groupBy("part", "draw", "tb").agg(of("3-MEDIUM").alias("hi"), of("1-URGENT").alias("lo")).where("hi IS NOT NULL AND lo IS NOT NULL")
+    donor = m.groupBy("part", "draw", F.substring_index("tb", "#", 1).alias("tumour")).agg(F.avg((F.col("hi") > F.col("lo")).cast("double")).alias("r"))
+    null = PM.null_p(donor.groupBy("part", "draw").agg(F.avg("r").alias("stat")), ["part"], "stat")
+    return null.withColumn("n_labelled", smp.agg(F.count("structure")).scalar())
 
 
 @register("res09_two_sample_permutation", "part n_draws", "observed null_mean p_value", q("truth smp", f"""

@@ -10,7 +10,7 @@ from partwise.catalog.columns import TRIO, aligned
 from partwise.catalog.fits import SIG_B, fit_sql, nnls_ctes, problem, second_reference
 from partwise.catalog.joins import NEW_ORDERS, new_orders
 from partwise.catalog.registry import register
-from partwise.catalog.resampling import OBS, boot_sql, draws_sql, perm_sql
+from partwise.catalog.resampling import DRAWS, OBS, WHO, boot_sql, perm_spearman_sql, perm_sql
 from partwise.catalog.roles import PARTS, h32, q, verdict_sql
 from partwise.catalog.statistics import beta_sql, corr_sql, ranks_sql
 from partwise.functions.draws import hash32
@@ -26,22 +26,22 @@ def terms(t):
     return S.constraint_terms(t.spark, R.CONSTRAINTS)
 
 
-def null_sql(methods: str, draws: int, seed: str, by: str) -> str:
+def null_sql(draws: int, seed: str, by: str) -> str:
     return f"""pm AS (SELECT method, draw, p.tumour, p.structure, part, round(avg(value), 10) AS v FROM est JOIN {perm_sql('smp', 'tumour', 'structure', 'sample', draws, seed)} p USING (sample)
-      WHERE method IN ({methods}) GROUP BY ALL), nv AS ({verdict_sql('pm', 'method, draw, tumour')}),
+      GROUP BY ALL), nv AS ({verdict_sql('pm', 'method, draw, tumour')}),
     ns AS (SELECT {by}, draw, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS s FROM nv WHERE ok IS NOT NULL GROUP BY ALL)"""
 
 
 @register("qry01_constraint_leaderboard", "method n_pairs comparable tie_size", "score ci_low ci_high null_mean p_value", q("verdict", f"""
     WITH {BOARD_SQL}, {OBS}, u AS (SELECT method, tumour, sum(CASE WHEN ok THEN weight ELSE 0 END) AS num, sum(weight) AS den FROM verdict GROUP BY 1, 2),
-    b AS {boot_sql('u', 'tumour', 100, 'board-boot')}, bs AS (SELECT method, draw, sum(num * times) / sum(den * times) AS s FROM u JOIN b USING (tumour) GROUP BY 1, 2),
+    b AS {boot_sql('u', 'tumour', DRAWS, 'board-boot')}, bs AS (SELECT method, draw, sum(num * times) / sum(den * times) AS s FROM u JOIN b USING (tumour) GROUP BY 1, 2),
     ci AS (SELECT method, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high FROM bs GROUP BY 1),
-    {null_sql("'price', 'lines', 'net', 'control'", 5, 'board-perm', 'method')},
+    {null_sql(DRAWS, 'board-perm', 'method')},
     pv AS (SELECT method, avg(ns.s) AS null_mean, (count(*) FILTER (ns.s >= obs.s - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM ns JOIN obs USING (method) GROUP BY 1)
     SELECT method, n_pairs, n_pairs >= (SELECT max(n_pairs) FROM board WHERE method <> 'control') AS comparable, count(*) OVER (PARTITION BY score) AS tie_size, score, ci_low, ci_high, null_mean, p_value
     FROM board JOIN ci USING (method) JOIN pv USING (method)"""))
 def _(t):
-    return P.constraint_leaderboard(R.estimates(t), R.samples(t), terms(t), ["control"], 5, 100, "board", digits=10)
+    return P.constraint_leaderboard(R.estimates(t), R.samples(t), terms(t), ["control"], DRAWS, DRAWS, "board", digits=10, who=WHO)
 
 
 @register("qry02_accuracy_benchmark", "method n_samples n_groups comparable tied", "mae_primary rmse_primary mean_r delta ci_low ci_high")
@@ -118,26 +118,22 @@ def _(t):
     return P.truth_ordering(R.estimates(t), R.truth(t), TRIO, "LARGE", "SMALL")
 
 
-TRACK = """rw AS (SELECT method, part, patient, round(avg(e), 9) AS e, round(avg(t), 9) AS t FROM et JOIN smp USING (sample) WHERE part IN ('SMALL', 'LARGE') AND method IN ('price', 'control') GROUP BY 1, 2, 3)"""
+TRACK = """rw AS (SELECT method, part, patient, round(avg(e), 9) AS e, round(avg(t), 9) AS t FROM et JOIN smp USING (sample) GROUP BY 1, 2, 3)"""
 
 
 @register("qry06_tracking", "method part n", "rho p_value low_rho high_rho", q("et smp", f"""
-    WITH {TRACK}, g AS (SELECT *, concat(method, part) AS mp FROM rw), r AS {ranks_sql('g', 'mp', 'e t')}, nn AS (SELECT mp, count(*) AS n FROM g GROUP BY 1),
-    c AS (SELECT mp, method, part, patient, r_e - (n + 1) / 2.0 AS a, r_t - (n + 1) / 2.0 AS b FROM r JOIN nn USING (mp)),
-    o AS (SELECT mp, method, part, count(*) AS n, sqrt(sum(a * a) * sum(b * b)) AS norm, sum(a * b) AS s FROM c GROUP BY 1, 2, 3),
-    base AS (SELECT mp, b, row_number() OVER (PARTITION BY mp ORDER BY {h32("'trk'", "'base'", "patient")}, patient) AS pos FROM c),
-    dr AS (SELECT mp, draw, a, row_number() OVER (PARTITION BY mp, draw ORDER BY {h32("'trk'", "draw", "patient")}, patient) AS pos FROM c, {draws_sql(9)}),
-    z AS (SELECT mp, draw, sum(a * b) AS p FROM dr JOIN base USING (mp, pos) GROUP BY 1, 2),
+    WITH {TRACK}, g AS (SELECT *, concat(method, part) AS mp FROM rw), gx AS (SELECT mp, patient, e AS x, t AS y FROM g),
+    {perm_spearman_sql('gx', 'mp', 'patient', DRAWS, 'trk')}, mp AS (SELECT DISTINCT mp, method, part FROM g),
     pv AS (SELECT mp, (count(*) FILTER (abs(p) >= abs(s) - 1e-9 * norm) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM z JOIN o USING (mp) GROUP BY 1),
     ed AS (SELECT mp, list_sort(list_distinct(quantile_cont(t, [0, 1/3.0, 2/3.0, 1]))) AS edges FROM g GROUP BY 1),
     bn AS (SELECT g.mp, e, t, greatest(len(list_filter(edges, lambda y: y < t)) - 1, 0) AS bin FROM g JOIN ed USING (mp)),
     st AS (SELECT mp, bin, {corr_sql('r_e', 'r_t')} AS rho FROM {ranks_sql('bn', 'mp, bin', 'e t')} GROUP BY 1, 2)
     SELECT method, part, n, s / norm AS rho, p_value, (SELECT rho FROM st WHERE st.mp = o.mp AND bin = 0) AS low_rho,
-    (SELECT arg_max(rho, bin) FROM st WHERE st.mp = o.mp) AS high_rho FROM o JOIN pv USING (mp)"""))
+    (SELECT arg_max(rho, bin) FROM st WHERE st.mp = o.mp) AS high_rho FROM o JOIN pv USING (mp) JOIN mp USING (mp)"""))
 def _(t):
-    rows = aligned(t, "price", "control").where("part IN ('SMALL', 'LARGE')").join(R.samples(t).select("sample", F.col("patient").alias("unit")), "sample")
+    rows = aligned(t).join(R.samples(t).select("sample", F.col("patient").alias("unit")), "sample")
     rows = rows.groupBy("method", "part", "unit").agg(F.round(F.avg("e"), 9).alias("e"), F.round(F.avg("t"), 9).alias("t"))
-    whole, strata = P.tracking(rows, 9, "trk")
+    whole, strata = P.tracking(rows, DRAWS, "trk")
     ends = strata.groupBy("method", "part").agg(F.max(F.when(F.col("bin") == 0, F.col("rho"))).alias("low_rho"),
                                                 F.max_by("rho", "bin").alias("high_rho"))
     return whole.join(ends, ["method", "part"])
@@ -179,30 +175,26 @@ def _(t):
 
 @register("qry09_group_score_factors", "method n", "rho p_value holm_p", q("verdict", f"""
     WITH ow AS (SELECT method, tumour, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS s FROM verdict GROUP BY 1, 2),
-    {null_sql("'price', 'control'", 5, 'grp', 'method, tumour')}, nm AS (SELECT method, tumour, avg(s) AS nu FROM ns GROUP BY 1, 2),
+    {null_sql(DRAWS, 'grp', 'method, tumour')}, nm AS (SELECT method, tumour, avg(s) AS nu FROM ns GROUP BY 1, 2),
     pr AS (SELECT c_nationkey AS tumour, round(avg(c_acctbal), 6) AS prop FROM customer GROUP BY 1),
     pm2 AS (SELECT method, tumour, round(s - nu, 9) AS x, prop AS y FROM ow JOIN nm USING (method, tumour) JOIN pr USING (tumour)),
-    r AS {ranks_sql('pm2', 'method', 'x y')}, n AS (SELECT method, count(*) AS n FROM pm2 GROUP BY 1), c AS (SELECT method, tumour, r_x - (n + 1) / 2.0 AS a, r_y - (n + 1) / 2.0 AS b FROM r JOIN n USING (method)),
-    o AS (SELECT method, count(*) AS n, sqrt(sum(a * a) * sum(b * b)) AS norm, sum(a * b) AS s FROM c GROUP BY 1),
-    base AS (SELECT method, b, row_number() OVER (PARTITION BY method ORDER BY {h32("'grp'", "'base'", "tumour")}, tumour) AS pos FROM c),
-    dr AS (SELECT method, draw, a, row_number() OVER (PARTITION BY method, draw ORDER BY {h32("'grp'", "draw", "tumour")}, tumour) AS pos FROM c, {draws_sql(5)}),
-    z AS (SELECT method, draw, sum(a * b) AS p FROM dr JOIN base USING (method, pos) GROUP BY 1, 2),
+    {perm_spearman_sql('pm2', 'method', 'tumour', DRAWS, 'grp')},
     f AS (SELECT method, max(o.n) AS n, max(s / norm) AS rho, (count(*) FILTER (abs(p) >= abs(s) - 1e-9 * norm) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM z JOIN o USING (method) GROUP BY 1),
     h AS (SELECT *, row_number() OVER (ORDER BY p_value, method) AS i, count(*) OVER () AS k FROM f)
     SELECT method, n, rho, p_value, max(least(1, (k - i + 1) * p_value)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS holm_p FROM h"""))
 def _(t):
     prop = t.customer.groupBy(F.col("c_nationkey").alias("tumour")).agg(F.round(F.avg("c_acctbal"), 6).alias("property"))
-    return P.group_score_factors(R.estimates(t, "price", "control"), R.samples(t), terms(t), prop, 5, "grp", digits=10)
+    return P.group_score_factors(R.estimates(t), R.samples(t), terms(t), prop, DRAWS, "grp", digits=10, who=WHO)
 
 
 @register("qry10_marker_constraint_check", "id n_draws", "observed null_mean p_value", q("truth smp con", f"""
     WITH m0 AS (SELECT 0 AS draw, tumour, structure, part, round(avg(value), 10) AS v FROM truth JOIN smp USING (sample) GROUP BY ALL
-      UNION ALL SELECT draw, p.tumour, p.structure, part, round(avg(value), 10) FROM truth JOIN {perm_sql('smp', 'tumour', 'structure', 'sample', 5, 'ish')} p USING (sample) GROUP BY 1, 2, 3, 4),
+      UNION ALL SELECT draw, p.tumour, p.structure, part, round(avg(value), 10) FROM truth JOIN {perm_sql('smp', 'tumour', 'structure', 'sample', DRAWS, 'ish')} p USING (sample) GROUP BY 1, 2, 3, 4),
     v AS ({verdict_sql('m0', 'draw, tumour')}), r AS (SELECT draw, id, avg(CASE WHEN ok THEN 1.0 ELSE 0 END) AS rate FROM v WHERE ok IS NOT NULL GROUP BY 1, 2)
     SELECT a.id, count(*) AS n_draws, max(o.rate) AS observed, avg(a.rate) AS null_mean, (count(*) FILTER (a.rate >= o.rate - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value
     FROM r a JOIN r o ON o.id = a.id AND o.draw = 0 AND a.draw > 0 GROUP BY 1"""))
 def _(t):
-    return P.marker_check(R.truth(t), R.samples(t), terms(t), 5, "ish", digits=10)
+    return P.marker_check(R.truth(t), R.samples(t), terms(t), DRAWS, "ish", digits=10)
 
 
 @register("qry11_identifiability", "part n_orderings", "agreement truth_rho p_one_sided", q("et", f"""

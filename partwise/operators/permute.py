@@ -518,7 +518,7 @@ def _joined_products(placed: DataFrame, keys: list[str], n_draws: int, seed: str
                     each = pa.array(np.repeat(np.arange(part.num_rows), n_draws))
                     yield pa.RecordBatch.from_arrays(
                         [*[part.column(k).take(each) for k in keys], pa.array(np.tile(np.arange(1, n_draws + 1), part.num_rows), pa.int32()),
-                         pa.array(permuted(part.column("_at").to_numpy(), int(size), numbers).ravel()), part.column("_rx").take(each)],
+                         pa.array(permuted(part.column("_at").to_numpy(), int(size), numbers).ravel(), pa.int64()), part.column("_rx").take(each)],
                         names=schema.names)
 
     moved = placed.select(*keys, "_at", "_size", "_rx").mapInArrow(work, schema)

@@ -23,14 +23,17 @@ from partwise.session import cut_lineage
 
 def constraint_leaderboard(est: DataFrame, samples: DataFrame, terms: DataFrame, controls: Sequence[str],
                            n_permutations: int = 10_000, n_boot: int = 2_000, seed: str = "board",
-                           digits: int | None = None) -> DataFrame:
-    """Score, interval, null p, tie size and comparable flag of every method, best first."""
+                           digits: int | None = None, who: Sequence[tuple] | None = None) -> DataFrame:
+    """Score, interval, null p, tie size and comparable flag of every method, best first.
+
+    ``who`` lists the methods, each as a tuple, if they are known.
+    """
     means = S.group_means(est, samples, digits=digits)
     table = cut_lineage(S.verdicts(means, terms, ["method", "tumour"]))
     board = S.score(table).withColumn("score", F.round("score", 12))
     ci = RS.cluster_bootstrap(S.weigh(table, ["method", "tumour"]), ["method"], "tumour", n_boot, seed + "-boot")
-    null = RS.score_null(est, samples, terms, n_permutations, seed + "-perm", digits)
-    p = RS.p_value(null, board, ["method"], "score").select("method", "null_mean", "p_value")
+    p = RS.null_p(RS.score_null(est, samples, terms, n_permutations, seed + "-perm", digits, who=who), ["method"], "score").select(
+        "method", "null_mean", "p_value")
     ties = M.tie_groups(board, "score").select("score", F.col("n").alias("tie_size"))
     out = M.mark_comparable(board, F.col("method").isin(list(controls))).join(ci.select("method", "ci_low", "ci_high"), "method")
     out = out.join(p, "method", "left").join(ties, "score", "left")
@@ -136,13 +139,13 @@ def error_factors(rows: DataFrame, covariates: Sequence[str], outcome: str) -> D
 
 
 def group_score_factors(est: DataFrame, samples: DataFrame, terms: DataFrame, properties: DataFrame, n_draws: int, seed: str,
-                        digits: int | None = None) -> DataFrame:
+                        digits: int | None = None, who: Sequence[tuple] | None = None) -> DataFrame:
     """Per-tumour score minus its own shuffled mean, correlated with a tumour property."""
-    table = S.verdicts(S.group_means(est, samples, digits=digits), terms, ["method", "tumour"])
-    own = S.weigh(table, ["method", "tumour"]).select("method", "tumour", ratio("num", "den").alias("score"))
-    null = RS.score_null(est, samples, terms, n_draws, seed, digits, per_group=True).groupBy("method", "tumour").agg(
-        F.avg("score").alias("null_mean"))
-    excess = own.join(null, ["method", "tumour"]).join(properties, "tumour").withColumn(
+    draws = RS.score_null(est, samples, terms, n_draws, seed, digits, per_group=True, who=who)
+    first = F.col("draw") == 0
+    both = cut_lineage(draws.groupBy("method", "tumour").agg(
+        F.max(F.when(first, F.col("score"))).alias("score"), F.avg(F.when(~first, F.col("score"))).alias("null_mean")))
+    excess = both.where("score IS NOT NULL AND null_mean IS NOT NULL").join(properties, "tumour").withColumn(
         "excess", F.round(F.col("score") - F.col("null_mean"), 9))
     out = RS.permutation_spearman(cut_lineage(excess), ["method"], "tumour", "excess", "property", n_draws, seed)
     return ST.holm(out.withColumn("family", F.lit(1)), ["family"], "p_value", "method").drop("family")
@@ -150,15 +153,8 @@ def group_score_factors(est: DataFrame, samples: DataFrame, terms: DataFrame, pr
 
 def marker_check(measured: DataFrame, samples: DataFrame, terms: DataFrame, n_draws: int, seed: str, digits: int | None = None) -> DataFrame:
     """The constraints on a measured table: share of tumours that satisfy each, with a shuffled null."""
-    def rates(smp: DataFrame, keys: Sequence[str]) -> DataFrame:
-        mean = F.avg("value") if digits is None else F.round(F.avg("value"), digits)
-        m = measured.join(smp, "sample").groupBy(*keys, "tumour", "structure", "part").agg(mean.alias("v"))
-        v = S.verdicts(m, terms, [*keys, "tumour"], min_others=1)
-        return v.groupBy(*keys, "id").agg(F.avg(F.col("ok").cast("double")).alias("rate"))
-
-    observed = rates(samples, [])
-    shuffled = RS.permute_labels(samples, ["tumour"], "structure", "sample", n_draws, seed)
-    return RS.p_value(rates(shuffled, ["draw"]), observed, ["id"], "rate")
+    table = RS.score_draws(measured, samples, terms, n_draws, seed, digits, keys=(), min_others=1, by_id=True)
+    return RS.null_p(table.groupBy("id", "draw").agg(F.avg(ratio("num", "den")).alias("rate")), ["id"], "rate")
 
 
 def identifiability(est: DataFrame, truth: DataFrame, methods: Sequence[str]) -> tuple[DataFrame, DataFrame]:
