@@ -5,8 +5,8 @@ numbers or names has the same template.  Windows of five template words meet in
 join; an item is found in a document that holds at least the given share of its windows
 and whose slot values map consistently from the item's.
 
-Defined results: a missing or empty text has no windows, nor has one of fewer than five
-words, so it is never found; items that are equal are found together; rows of the same key
+Defined results: a missing or empty text has no windows, so it is never found; an item of
+fewer than five words is found by all of its lower-cased words in a row; items that are equal are found together; rows of the same key
 and text count once; rows without a key are compared like others; an empty table gives no
 pairs; only keys and texts are read, so other columns may have any name.
 """
@@ -26,6 +26,13 @@ UNITS = ("km|cm|mm|kg|mg|ml|min|hours|hour|days|day|weeks|week|years|year|percen
 QUANTITY = rf"(\p{{N}}+(?:[.,]\p{{N}}+)*[ \t]?(?:{UNITS}))([^\p{{L}}]|\z)"
 NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
 WORD = r"[\p{L}\p{N}⟨⟩]+"
+
+# The same three for the JVM.  It calls itself once more for each round of a repeated group unless the repeat never
+# gives back, and it would read a long number again from each of its digits; nothing that these repeats could give
+# back would match, so the forms find the same.
+JVM_NAME = NAME.replace("]+)(", "]++)(").replace("Ll}+", "Ll}++").replace(r"[ \t]+\p", r"[ \t]++\p").replace(")*)", ")*+)")
+JVM_NUMBER = NUMBER.replace("N}+", "N}++").replace(")*", ")*+")
+JVM_QUANTITY = r"(?:\G|(?<=\G[.,])|(?<!\p{N})(?<!\p{N}[.,]))" + QUANTITY.replace(NUMBER, JVM_NUMBER)
 SLOTS = ("⟨name⟩", "⟨qty⟩", "⟨num⟩")
 WIDTH = 5
 FOUND = ("dk", "tk", "ik", "n_windows", "n_found", "n_slots", "n_consistent", "n_changed")
@@ -36,13 +43,13 @@ MOST_BROADCAST_ROWS = 2_000_000
 def canonical(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``words`` (template words) and ``values`` (per slot type, the texts replaced, in order)."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_t0", raw).withColumn("_t1", F.regexp_replace("_t0", NAME, "$1⟨name⟩"))
-    df = df.withColumn("_t2", F.regexp_replace("_t1", QUANTITY, " ⟨qty⟩ $2"))
+    df = df.withColumn("_t0", raw).withColumn("_t1", F.regexp_replace("_t0", JVM_NAME, "$1⟨name⟩"))
+    df = df.withColumn("_t2", F.regexp_replace("_t1", JVM_QUANTITY, " ⟨qty⟩ $2"))
     return df.select(
         *[c for c in df.columns if not c.startswith("_t")],
-        F.regexp_extract_all(F.lower(F.regexp_replace("_t2", NUMBER, " ⟨num⟩ ")), F.lit(WORD), 0).alias("words"),
-        F.struct(F.regexp_extract_all("_t0", F.lit(NAME), 2).alias("v0"), F.regexp_extract_all("_t1", F.lit(QUANTITY), 1).alias("v1"),
-                 F.regexp_extract_all("_t2", F.lit(NUMBER), 0).alias("v2")).alias("values"))
+        F.regexp_extract_all(F.lower(F.regexp_replace("_t2", JVM_NUMBER, " ⟨num⟩ ")), F.lit(WORD), 0).alias("words"),
+        F.struct(F.regexp_extract_all("_t0", F.lit(JVM_NAME), 2).alias("v0"), F.regexp_extract_all("_t1", F.lit(JVM_QUANTITY), 1).alias("v1"),
+                 F.regexp_extract_all("_t2", F.lit(JVM_NUMBER), 0).alias("v2")).alias("values"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:

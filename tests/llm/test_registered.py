@@ -5,7 +5,8 @@ import re
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
-from test_brute_force import plain_fingerprint, plain_groups, plain_spans
+from test_brute_force import plain_spans
+from test_near_copies import plain_first
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -28,8 +29,8 @@ def test_pipeline(spark, duck):
     docs = {i: t for i, t in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
     good = {r[0] for r in duck.sql(f"SELECT doc_id FROM ({catalog.OP5_SQL}) WHERE kept").fetchall()}
     docs = {k: t for k, t in docs.items() if k in good}
-    group = plain_groups({k: plain_fingerprint(t) for k, t in docs.items()})
-    docs = {k: t for k, t in docs.items() if group[k] == k}
+    first = plain_first(docs)
+    docs = {k: t for k, t in docs.items() if k in first}
 
     def grams(t):
         w = re.findall(r"\w+", t.lower())
