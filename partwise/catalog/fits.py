@@ -129,20 +129,32 @@ def _(t):
 SIG_B = "fb AS (SELECT feature, part, mean * (0.7 + 0.6 * ({h} + 1) / 4294967296.0::DOUBLE) AS mean FROM fsig)".format(h=h32("'refb'", "feature", "part"))
 
 
+def third_reference(sig):
+    return sig.select("feature", "part", (F.col("mean") * (0.5 + unit(F.lit("refc"), "feature", "part"))).alias("mean"))
+
+
 def second_reference(sig):
     return sig.withColumn("mean", F.col("mean") * (0.7 + 0.6 * unit(F.lit("refb"), "feature", "part")))
 
 
-@register("fit06_reference_ensemble", "sample part", "weight_a value", fit_sql("fsig bulk", f"""
-    WITH {SIG_B}, {nnls_ctes('xa', 'fsig', 'bulk', 6)}, {nnls_ctes('xb', 'fb', 'bulk', 6)},
-    ra AS (SELECT feature, sample, sum(mean * value) AS a FROM fsig JOIN xa USING (part) GROUP BY 1, 2), rb AS (SELECT feature, sample, sum(mean * value) AS c FROM fb JOIN xb USING (part) GROUP BY 1, 2),
-    e AS (SELECT s, sample, sqrt(sum((value - s / 10.0 * a - (1 - s / 10.0) * c) ** 2) / sum(value * value)) AS e FROM bulk JOIN ra USING (feature, sample) JOIN rb USING (feature, sample), (SELECT unnest(range(11)) AS s) GROUP BY 1, 2),
-    w AS (SELECT s / 10.0::DOUBLE AS wa FROM (SELECT s, round(sum(e), 9) AS e FROM e GROUP BY 1) ORDER BY e, s LIMIT 1)
-    SELECT sample, part, wa AS weight_a, wa * xa.value + (1 - wa) * xb.value AS value FROM xa JOIN xb USING (sample, part), w""".replace(", w AS", ", wq AS").replace(
-        "w AS (SELECT s", "wq AS (SELECT s").replace("USING (sample, part), w", "USING (sample, part), wq")))
+SIG_C = "fc AS (SELECT feature, part, mean * (0.5 + 1.0 * ({h} + 1) / 4294967296.0::DOUBLE) AS mean FROM fsig)".format(h=h32("'refc'", "feature", "part"))
+
+
+@register("fit06_reference_ensemble", "sample part", "weight_a weight_b weight_c value", fit_sql("fsig bulk", f"""
+    WITH {SIG_B}, {SIG_C}, {nnls_ctes('xa', 'fsig', 'bulk', 6)}, {nnls_ctes('xb', 'fb', 'bulk', 6)}, {nnls_ctes('xc', 'fc', 'bulk', 6)},
+    ra AS (SELECT feature, sample, sum(mean * value) AS a FROM fsig JOIN xa USING (part) GROUP BY 1, 2), rb AS (SELECT feature, sample, sum(mean * value) AS b FROM fb JOIN xb USING (part) GROUP BY 1, 2),
+    rc AS (SELECT feature, sample, sum(mean * value) AS c FROM fc JOIN xc USING (part) GROUP BY 1, 2),
+    st AS (SELECT s, u FROM range(11) p(s), range(11) r(u) WHERE s + u <= 10),
+    e AS (SELECT s, u, sample, sqrt(sum((value - s / 10.0 * a - u / 10.0 * b - (10 - s - u) / 10.0 * c) ** 2) / sum(value * value)) AS e
+      FROM bulk JOIN ra USING (feature, sample) JOIN rb USING (feature, sample) JOIN rc USING (feature, sample), st GROUP BY 1, 2, 3),
+    best AS (SELECT s / 10.0::DOUBLE AS wa, u / 10.0::DOUBLE AS wb, (10 - s - u) / 10.0::DOUBLE AS wc FROM (SELECT s, u, round(sum(e), 9) AS e FROM e GROUP BY 1, 2) ORDER BY e, s, u LIMIT 1)
+    SELECT sample, part, wa AS weight_a, wb AS weight_b, wc AS weight_c, wa * xa.value + wb * xb.value + wc * xc.value AS value
+    FROM xa JOIN xb USING (sample, part) JOIN xc USING (sample, part), best"""))
 def _(t):
     sig, bulk = problem(t)
-    return FT.ensemble(bulk, sig, cut_lineage(second_reference(sig)), PARTS)
+    refs = [sig, cut_lineage(second_reference(sig)), cut_lineage(third_reference(sig))]
+    return FT.ensemble(bulk, refs, PARTS).select(
+        "sample", "part", *[F.get("weights", F.lit(i)).alias(f"weight_{c}") for i, c in enumerate("abc")], "value")
 
 
 @register("fit07_batch_adjust", "feature sample", "value", q("bulk", """

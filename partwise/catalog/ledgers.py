@@ -15,11 +15,14 @@ from partwise.session import scratch_dir
 from partwise.sources import scans, sinks
 
 
-@register("agg50_content_hash", "priority n_rows hash_hi hash_lo hash_xor", "", f"""
-    SELECT priority, count(*) AS n_rows, CAST(sum(h >> 16) AS BIGINT) AS hash_hi, CAST(sum(h & 65535) AS BIGINT) AS hash_lo, bit_xor(h) AS hash_xor FROM
-    (SELECT o_orderpriority AS priority, {h32("o_orderkey", "o_custkey", "o_orderstatus")} AS h FROM orders) GROUP BY 1""")
+@register("agg50_content_hash", "priority n_rows hash_hi hash_lo hash_xor hash_ordered", "", f"""
+    SELECT priority, count(*) AS n_rows, CAST(sum(h >> 16) AS BIGINT) AS hash_hi, CAST(sum(h & 65535) AS BIGINT) AS hash_lo, bit_xor(h) AS hash_xor,
+    CAST(list_reduce(list(h % {D.ORDER_PRIME} ORDER BY day, id), lambda a, x: (a * {D.ORDER_BASE} + x) % {D.ORDER_PRIME}) AS BIGINT) AS hash_ordered FROM
+    (SELECT o_orderpriority AS priority, o_orderdate AS day, o_orderkey AS id, {h32("o_orderkey", "o_custkey", "o_orderstatus")} AS h FROM orders) GROUP BY 1""")
 def _(t):
-    return D.content_hash(t.orders.withColumnRenamed("o_orderpriority", "priority"), ["priority"], ["o_orderkey", "o_custkey", "o_orderstatus"])
+    rows, columns = t.orders.withColumnRenamed("o_orderpriority", "priority"), ["o_orderkey", "o_custkey", "o_orderstatus"]
+    return D.content_hash(rows, ["priority"], columns).join(
+        D.ordered_hash(rows, ["priority"], ["o_orderdate", "o_orderkey"], columns).drop("n_rows"), "priority")
 
 
 @register("agg51_file_manifest", "file change", "", """

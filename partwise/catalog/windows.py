@@ -148,9 +148,12 @@ def _(t):
     return P.eligible_donors(R.cells(t), 50, 15, [2, 4, 6, 8], "elig")
 
 
-@register("win13_fold_assignment", "patient n fold", "", q("smp", f"""
-    WITH s AS (SELECT patient, count(*) AS n FROM smp GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, {h32("'fold'", "patient")}) - 1 AS i FROM s)
-    SELECT patient, n, CAST(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS INTEGER) AS fold FROM r"""))
+@register("win13_fold_assignment", "patient n fold", "", f"WITH RECURSIVE " + q("smp", f"""
+    WITH s AS (SELECT patient, count(*) AS n FROM smp GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, {h32("'fold'", "patient")}, patient) AS i FROM s),
+    g AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0 AS fold
+      UNION ALL SELECT i, [CASE WHEN j = f THEN loads[j] + n ELSE loads[j] END for j in range(1, 6)], f::INTEGER
+      FROM (SELECT r.i, r.n, g.loads, list_position(g.loads, list_min(g.loads)) AS f FROM g JOIN r ON r.i = g.i + 1))
+    SELECT patient, n, fold - 1 AS fold FROM r JOIN g USING (i)""").removeprefix("WITH "))
 def _(t):
     return P.assign_folds(R.samples(t).groupBy("patient").agg(F.count("*").alias("n")), 5, "fold")
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from partwise.functions.guards import ratio
+from partwise.session import parallelism
 
 
 def keyed_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], tol: float) -> DataFrame:
@@ -43,6 +49,79 @@ def content_hash(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) ->
                                 F.sum(h.bitwiseAND(F.lit(65535))).alias("hash_lo"), F.bit_xor(h).alias("hash_xor"))
 
 
+#: Fixed values of the ordered hash: a prime modulus and a base below it.
+ORDER_PRIME, ORDER_BASE = 2**31 - 1, 1_000_003
+
+
+def chained(first: tuple[int, int], then: tuple[int, int]) -> tuple[int, int]:
+    """(rows, hash) of one run of rows followed by another; associative, so runs may be cut anywhere."""
+    return first[0] + then[0], (first[1] * pow(ORDER_BASE, then[0], ORDER_PRIME) + then[1]) % ORDER_PRIME
+
+
+def ordered_hash(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, n_rows, hash_ordered): a certificate of the rows in the order of ``order``, ties by their hash.
+
+    Rows are dealt by ranges of (keys, order), so no task sorts them all; a task reduces the
+    rows that it holds of a key to a length and a polynomial, and the few runs of a key are
+    chained in order.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.struct(*order).alias("_o"), row_hash(columns).alias("_h"))
+    ranged = rows.repartitionByRange(parallelism(df.sparkSession), *keys, "_o", "_h").sortWithinPartitions(*keys, "_o", "_h")
+    own = [rows.schema[k] for k in keys]
+    schema = T.StructType([*own, T.StructField("_part", T.IntegerType()), T.StructField("n_rows", T.LongType()), T.StructField("hash_ordered", T.LongType())])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.ones(8192, np.int64)
+        for i in range(1, len(powers)):
+            powers[i] = powers[i - 1] * ORDER_BASE % ORDER_PRIME
+        part = TaskContext.get().partitionId()
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            change = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                change[1:] |= codes[1:] != codes[:-1]
+            h = batch.column("_h").to_numpy() % ORDER_PRIME
+            for run in np.split(np.arange(batch.num_rows), np.flatnonzero(change)):
+                if not len(run):
+                    continue
+                name = tuple(batch.column(k)[int(run[0])].as_py() for k in keys)
+                for lo in range(0, len(run), len(powers)):
+                    piece = h[run[lo:lo + len(powers)]]
+                    value = int((piece * powers[:len(piece)][::-1] % ORDER_PRIME).sum() % ORDER_PRIME)
+                    held[name] = chained(held.get(name, (0, 0)), (len(piece), value))
+            if len(held) > 10_000:
+                # Sorted rows: only the last key can go on.
+                last = list(held)[-1]
+                yield out(part, {k: v for k, v in held.items() if k != last})
+                held = {last: held[last]}
+        if held:
+            yield out(part, held)
+
+    kinds = [to_arrow_type(f.dataType) for f in own]
+
+    def out(part: int, held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([k[i] for k in held], kinds[i]) for i in range(len(keys))], pa.array([part] * len(held), pa.int32()),
+             pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=schema.names)
+
+    # One row per key and task; a run's place is its task's number, as tasks hold ascending ranges.
+    runs = ranged.mapInArrow(reduce, schema)
+    chain = T.StructType([*own, T.StructField("n_rows", T.LongType()), T.StructField("hash_ordered", T.LongType())])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = (0, 0)
+        for _, n, h in sorted(zip(*(table.column(c).to_pylist() for c in ("_part", "n_rows", "hash_ordered")))):
+            total = chained(total, (n, h))
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "n_rows": pa.array([total[0]], pa.int64()),
+                         "hash_ordered": pa.array([total[1]], pa.int64())})
+
+    return runs.groupBy(*keys).applyInArrow(join, chain)
+
+
 def distinct_settings(df: DataFrame, setting: str, pos: str, columns: Sequence[str]) -> DataFrame:
     """Settings with identical output collapse onto the first of them."""
     cert = content_hash(df, [setting, pos], columns)

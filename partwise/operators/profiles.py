@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from partwise.functions.draws import hash32
 from partwise.functions.guards import pearson, ratio
@@ -137,19 +140,65 @@ def eligible_donors(cells: DataFrame, min_cells: int, min_per_part: int, sizes:
     return order.where(F.col("rank") <= best).select("donor", "rank", "total")
 
 
+def nth_fill(loads: np.ndarray, size: int, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fold that takes the nth (from 0) of many equal patients, each going to the lightest fold, and the load it finds.
+
+    Fold f is chosen at the loads loads[f] + i * size in turn, so the nth choice is the nth
+    smallest of these numbers, ties to the first fold; the number is found by halving.
+    """
+    taken = lambda v: np.maximum((v[:, None] - loads) // size + 1, 0).sum(axis=1)
+    low = np.full(len(nth), loads.min(), np.int64)
+    high = low + (nth + 1) * size
+    while (low < high).any():
+        mid = (low + high) // 2
+        enough = taken(mid) > nth
+        high = np.where(enough, mid, high)
+        low = np.where(enough, low, mid + 1)
+    here = (low[:, None] >= loads) & ((low[:, None] - loads) % size == 0)
+    order = np.cumsum(here, axis=1) - 1
+    want = nth - taken(low - 1)
+    return np.argmax(here & (order == want[:, None]), axis=1), low
+
+
+def fold_loads(classes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, list[int]]]:
+    """(size, loads of the folds before its class) for (size, number of patients) in falling size."""
+    loads, out = np.zeros(k, np.int64), []
+    for size, count in classes:
+        out.append((size, [int(x) for x in loads]))
+        if size > 0:
+            fold, found = nth_fill(loads, size, np.array([count - 1]))
+            full = np.maximum((found[0] - 1 - loads) // size + 1, 0)
+            tied = (found[0] >= loads) & ((found[0] - loads) % size == 0) & (np.arange(k) <= fold[0])
+            loads = loads + size * (full + tied)
+    return out
+
+
 def assign_folds(sizes: DataFrame, k: int, seed: str) -> DataFrame:
-    """Whole patients to k folds, largest first in snake order, seeded within a size.
+    """Whole patients to k folds: the largest first, each to the lightest fold, seeded within a size.
 
-    Snake order over patients sorted by size keeps fold loads within one patient
-    of each other per sweep and needs no sequential pass.
+    Patients of one size are interchangeable for the loads, so the rule runs one step per
+    distinct size (few, as n samples have at most sqrt(2 n) of them); a patient then finds
+    its fold from its place inside its size and the loads before it.
     """
-    tagged = sizes.withColumn("_key", -(F.col("n") * F.lit(2.0**32)) + hash32(F.lit(seed), "patient"))
-    run = prefix_sums(tagged.select("_key", F.lit(1).alias("_one")), [], "_key", ["_one"])
-    i = F.col("before__one")
-    sweep, at = F.floor(i / k), F.pmod(i, F.lit(k))
-    fold = F.when(sweep % 2 == 0, at).otherwise(k - 1 - at)
-    placed = tagged.join(run.select("_key", fold.cast("int").alias("fold")), "_key").drop("_key")
-    return placed
+    counts = sizes.groupBy("n").agg(F.count("*").alias("_c"))
+    classes = [(int(r["n"]), int(r["_c"])) for r in counts.orderBy(F.desc("n")).collect()]
+    before = sizes.sparkSession.createDataFrame(fold_loads(classes, k), "n long, _loads array<long>")
+    placed = hash_positions(sizes.join(counts, "n"), ["n"], "patient", hash32(F.lit(seed), "patient"), "_c", "_nth").drop("_c")
+    rows = placed.join(before, "n").select(*[F.col(f"`{c}`") for c in sizes.columns], (F.col("_nth") - 1).alias("_nth"), "_loads")
+    names = sizes.columns
+    schema = T.StructType([*sizes.schema.fields, T.StructField("fold", T.IntegerType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, nth = batch.column("n").to_numpy(), batch.column("_nth").to_numpy()
+            fold = np.zeros(batch.num_rows, np.int32)
+            for size in np.unique(n):
+                at = np.flatnonzero(n == size)
+                if size > 0:
+                    fold[at] = nth_fill(np.array(batch.column("_loads")[int(at[0])].as_py()), int(size), nth[at])[0]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(fold)], names=schema.names)
+
+    return rows.mapInArrow(work, schema)
 
 
 def label_by_profile(estimated: DataFrame, reference: DataFrame, parts: Sequence[str]) -> DataFrame:
