@@ -139,3 +139,19 @@ def test_a_planted_difference_is_found(spark):
     got = {r["c"]: r for r in RS.mean_difference_null(long, ["g"], "flag", "i", "x", 400, "s", ["c"]).collect()}
     assert got["real"]["p_value"] == pytest.approx(1 / 401) and abs(got["real"]["null_mean"]) < 0.05
     assert got["none"]["p_value"] == 1.0 and got["none"]["observed"] == 0
+
+
+def test_ranks_in_arrays_and_in_ranges_agree(spark):
+    from partwise.operators import stats as ST
+
+    rng = random.Random(11)
+    rows = [(k, rng.choice([0.0, 0.0, rng.random()]), rng.choice([1.0, rng.random()])) for k, n in (("u", 300), ("v", 40), (None, 9), ("w", 2)) for _ in range(n)]
+    frame = spark.createDataFrame(rows + [("u", None, 1.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("flat", 1.0, 4.0)], "k string, x double, y double").repartition(4)
+    got = {r["k"]: (r["n"], r["rho"]) for r in ST.spearman(frame, ["k"], "x", "y").collect()}
+    mixed = {r["k"]: (r["n"], r["rho"]) for r in ST.spearman(frame.where("k IS NOT NULL"), ["k"], "x", "y", dense_points=50).collect()}
+    assert got["flat"] == (3, None) and got["w"] == (2, None) and got[None][0] == 9
+    assert set(mixed) == {k for k in got if k is not None}
+    assert all(mixed[k][0] == got[k][0] and mixed[k][1] == (got[k][1] if got[k][1] is None else pytest.approx(got[k][1], abs=1e-12)) for k in mixed)
+    for k, n in (("u", 300), ("v", 40)):
+        x, y = (PM.average_ranks(np.array([r[i] for r in rows if r[0] == k])) for i in (1, 2))
+        assert got[k] == (n, pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12))
