@@ -200,21 +200,21 @@ def _(t):
     return RS.mean_difference_null(rows, [], "flag", "sample", "value", DRAWS, "two", ["part"])
 
 
-DIFF_SQL = """df AS (SELECT method, patient, avg(e - t) AS d FROM et JOIN smp USING (sample) WHERE part = 'SMALL' GROUP BY 1, 2)"""
+DIFF_SQL = """df AS (SELECT concat_ws('/', method, part) AS mp, patient, avg(e - t) AS d FROM et JOIN smp USING (sample) GROUP BY 1, 2)"""
 
 
 def patient_differences(t):
-    rows = aligned(t).where("part = 'SMALL'").join(R.samples(t).select("sample", "patient"), "sample")
-    return rows.groupBy("method", "patient").agg(F.avg(F.col("e") - F.col("t")).alias("d"))
+    rows = aligned(t).join(R.samples(t).select("sample", "patient"), "sample")
+    return rows.groupBy(F.concat_ws("/", "method", "part").alias("mp"), "patient").agg(F.avg(F.col("e") - F.col("t")).alias("d"))
 
 
-@register("res10_sign_flip_test", "method n_draws", "observed null_mean p_value", q("et smp", f"""
-    WITH {DIFF_SQL}, o AS (SELECT method, avg(d) AS s FROM df GROUP BY 1),
-    n AS (SELECT method, draw, avg(CASE WHEN {h32("'flip'", "draw", "patient")} % 2 = 0 THEN abs(d) ELSE -abs(d) END) AS s FROM df, {draws_sql(1000)} GROUP BY 1, 2)
-    SELECT method, count(*) AS n_draws, max(o.s) AS observed, avg(n.s) AS null_mean, count(*) FILTER (n.s >= o.s - 1e-9) / count(*)::DOUBLE AS p_value
-    FROM n JOIN o USING (method) GROUP BY 1"""))
+@register("res10_sign_flip_test", "mp n_draws", "observed null_mean p_value", q("et smp", f"""
+    WITH {DIFF_SQL}, o AS (SELECT mp, avg(d) AS s FROM df GROUP BY 1),
+    n AS (SELECT mp, draw, avg(CASE WHEN {h32("'flip'", "draw", "patient")} % 2 = 0 THEN abs(d) ELSE -abs(d) END) AS s FROM df, {draws_sql(1000)} GROUP BY 1, 2)
+    SELECT mp, count(*) AS n_draws, max(o.s) AS observed, avg(n.s) AS null_mean, count(*) FILTER (n.s >= o.s - 1e-9) / count(*)::DOUBLE AS p_value
+    FROM n JOIN o USING (mp) GROUP BY 1"""))
 def _(t):
-    return RS.sign_flip(cut_lineage(patient_differences(t)), ["method"], "patient", "d", 1000, "flip")
+    return RS.sign_flip(cut_lineage(patient_differences(t)), ["mp"], "patient", "d", 1000, "flip")
 
 
 @register("res11_argmax_permutation", "method structure n_max", "observed share", q("m", f"""
@@ -229,13 +229,13 @@ def _(t):
     return RS.argmax_null(cut_lineage(means), ["method"], "tumour", "structure", "v", 1000, "arg")
 
 
-@register("res12_paired_bootstrap_difference", "method n", "mean ci_low ci_high p_value", q("et smp", f"""
-    WITH {DIFF_SQL}, b AS {boot_sql('df', 'patient', 400, 'diff')}, s AS (SELECT method, draw, sum(d * times) / sum(times) AS s FROM df JOIN b USING (patient) GROUP BY 1, 2),
-    c AS (SELECT method, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high,
+@register("res12_paired_bootstrap_difference", "mp n", "mean ci_low ci_high p_value", q("et smp", f"""
+    WITH {DIFF_SQL}, b AS {boot_sql('df', 'patient', DRAWS, 'diff')}, s AS (SELECT mp, draw, sum(d * times) / sum(times) AS s FROM df JOIN b USING (patient) GROUP BY 1, 2),
+    c AS (SELECT mp, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high,
       2 * least(avg(CASE WHEN s <= 0 THEN 1.0 ELSE 0 END), avg(CASE WHEN s >= 0 THEN 1.0 ELSE 0 END)) AS p_value FROM s GROUP BY 1)
-    SELECT method, n, mean, ci_low, ci_high, p_value FROM c JOIN (SELECT method, count(*) AS n, avg(d) AS mean FROM df GROUP BY 1) USING (method)"""))
+    SELECT mp, n, mean, ci_low, ci_high, p_value FROM c JOIN (SELECT mp, count(*) AS n, avg(d) AS mean FROM df GROUP BY 1) USING (mp)"""))
 def _(t):
-    return RS.paired_difference(cut_lineage(patient_differences(t)), ["method"], "patient", "d", 400, "diff")
+    return RS.paired_difference(cut_lineage(patient_differences(t)), ["mp"], "patient", "d", DRAWS, "diff")
 
 
 @register("res13_control_band", "method indistinguishable", "observed percentile mean sd p05 p95", q("verdict", f"""
@@ -255,28 +255,34 @@ def _(t):
     return RS.control_band(cut_lineage(scores), S.score(verdict_table(t)))
 
 
-ENS_SQL = f"""wide AS (SELECT tumour, structure, max(a) FILTER (method = 'price') AS price, max(a) FILTER (method = 'lines') AS lines, max(a) FILTER (method = 'net') AS net,
-      max(a) FILTER (method = 'control') AS control, max(b) AS t FROM (SELECT method, tumour, structure, avg(e) AS a, avg(t) AS b FROM et JOIN smp USING (sample) WHERE part = 'PROMO' GROUP BY ALL) GROUP BY 1, 2),
-    pairs AS (SELECT * FROM (VALUES ('control', 'lines'), ('control', 'net'), ('control', 'price'), ('lines', 'net'), ('lines', 'price'), ('net', 'price')) AS p(m1, m2)),
-    lv AS (SELECT tumour, structure, t, unnest(['price', 'lines', 'net', 'control']) AS method, unnest([price, lines, net, control]) AS v FROM wide),
-    cc AS (SELECT m1, m2, {corr_sql('a.v', 'b.v')} AS r FROM pairs JOIN lv a ON a.method = m1 JOIN lv b ON b.method = m2 AND a.tumour = b.tumour AND a.structure = b.structure GROUP BY 1, 2),
-    rk AS (SELECT m1, m2, row_number() OVER (ORDER BY r DESC, m1, m2) AS best FROM cc),
-    pk AS (SELECT 0 AS draw, m1, m2 FROM rk WHERE best <= 2 UNION ALL SELECT draw, m1, m2 FROM (SELECT draw, m1, m2, row_number() OVER (PARTITION BY draw
-      ORDER BY {h32("'ens'", "draw", "m1", "m2")}, m1, m2) AS k FROM rk, {draws_sql(25)}) WHERE k <= 2),
-    wt AS (SELECT draw, method, 0.25 * count(*) AS w FROM (SELECT draw, m1 AS method FROM pk UNION ALL SELECT draw, m2 FROM pk) GROUP BY 1, 2),
-    en AS (SELECT draw, tumour, structure, round(sum(w * v)::DOUBLE, 9) AS ens, round(max(t), 9) AS t FROM lv JOIN wt USING (method) GROUP BY 1, 2, 3),
-    rho AS (SELECT draw, {corr_sql('r_ens', 'r_t')} AS rho FROM {ranks_sql('en', 'draw', 'ens t')} GROUP BY 1)"""
-
-
-@register("res14_random_pair_null", "n_draws beats_median", "observed null_median null_percentile", q("et smp", f"""
-    WITH {ENS_SQL}, o AS (SELECT rho AS ob FROM rho WHERE draw = 0)
-    SELECT count(*) AS n_draws, max(ob) > quantile_cont(rho, 0.5) AS beats_median, max(ob) AS observed, quantile_cont(rho, 0.5) AS null_median,
-    avg(CASE WHEN rho < ob - 1e-12 THEN 1.0 ELSE 0 END) AS null_percentile FROM rho, o WHERE draw > 0"""))
+ENS_SQL = f"""lv AS (SELECT method, part, tumour, structure, concat_ws('#', tumour, structure) AS unit, avg(e) AS v, avg(t) AS t FROM et JOIN smp USING (sample) GROUP BY ALL),
+    cc AS (SELECT a.part, a.method AS m1, b.method AS m2, {corr_sql('a.v', 'b.v')} AS r FROM lv a JOIN lv b ON a.part = b.part AND a.unit = b.unit AND a.method < b.method GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY r DESC, m1, m2) AS best FROM cc WHERE r IS NOT NULL),
+    pk AS (SELECT part, 0 AS draw, m1, m2 FROM rk WHERE best <= 2 UNION ALL SELECT part, draw, m1, m2 FROM (SELECT part, draw, m1, m2, row_number() OVER (PARTITION BY part, draw
+      ORDER BY {h32("'ens'", "draw", "m1", "m2")}, m1, m2) AS k FROM rk, {draws_sql(DRAWS)}) WHERE k <= 2),
+    wt AS (SELECT part, draw, method, 0.25 * count(*) AS w FROM (SELECT part, draw, m1 AS method FROM pk UNION ALL SELECT part, draw, m2 FROM pk) GROUP BY ALL),
+    en AS (SELECT part, draw, unit, round(sum(w * v)::DOUBLE, 9) AS ens, round(max(t), 9) AS t FROM lv JOIN wt USING (part, method) GROUP BY ALL),
+    rho AS (SELECT part, draw, {corr_sql('r_ens', 'r_t')} AS rho FROM {ranks_sql('en', 'part, draw', 'ens t')} GROUP BY ALL),
+    chosen AS (SELECT part, unit, ens AS x, t AS y FROM en WHERE draw = 0),
+    ce AS (SELECT part, method, round(avg(r), 9) AS c FROM (SELECT part, m1 AS method, r FROM cc UNION ALL SELECT part, m2, r FROM cc) GROUP BY ALL),
+    ow AS (SELECT part, method, round({corr_sql('r_v', 'r_t')}, 9) AS o FROM {ranks_sql('lv', 'part, method', 'v t')} GROUP BY ALL),
+    co AS (SELECT * FROM ce JOIN ow USING (part, method)),
+    cr AS (SELECT part, {corr_sql('r_c', 'r_o')} AS centrality_rho FROM {ranks_sql('co', 'part', 'c o')} GROUP BY 1)"""
+
+
+@register("res14_random_pair_null", "part n_draws beats_median", "observed null_median null_percentile p_shuffled centrality_rho", q("et smp", f"""
+    WITH {ENS_SQL}, {perm_spearman_sql('chosen', 'part', 'unit', DRAWS, 'ens')}, ob AS (SELECT part, rho AS ob FROM rho WHERE draw = 0),
+    nl AS (SELECT part, count(*) AS n_draws, max(ob) AS observed, quantile_cont(rho, 0.5) AS null_median, avg(CASE WHEN rho < ob - 1e-12 THEN 1.0 ELSE 0 END) AS null_percentile
+      FROM rho JOIN ob USING (part) WHERE draw > 0 AND rho IS NOT NULL GROUP BY 1),
+    sp AS (SELECT part, (count(*) FILTER (abs(p) >= abs(s) - 1e-9 * norm) + 1) / (count(*) + 1)::DOUBLE AS p_shuffled FROM z JOIN o USING (part) GROUP BY 1)
+    SELECT part, n_draws, observed > null_median AS beats_median, observed, null_median, null_percentile, p_shuffled, centrality_rho FROM nl JOIN sp USING (part) JOIN cr USING (part)"""))
 def _(t):
     from partwise.operators import ensembles as E
 
-    cells = scored(t).where("part = 'PROMO'").groupBy("method", "group", "structure").agg(F.avg("e").alias("value"), F.avg("t").alias("t"))
-    return E.random_pair_null(cut_lineage(cells), R.METHODS, ["group", "structure"], 25, "ens")
+    cells = cut_lineage(scored(t).groupBy("method", "part", "group", "structure").agg(F.avg("e").alias("value"), F.avg("t").alias("t")))
+    unit = ["group", "structure"]
+    null = E.random_pair_null(cells, R.METHODS, unit, DRAWS, "ens", ["part"])
+    return null.join(E.centrality_vs_truth(cells, R.METHODS, unit, ["part"]).drop("n"), "part")
 
 
 @register("res17_mixture_from_cells", "mixture part", "share first_value", q("expr cells", f"""
@@ -303,7 +309,7 @@ def mixture_tables(t):
 
 
 @register("res18_row_bootstrap_units", "n_usable", "mean ci_low median ci_high", q("et smp", f"""
-    WITH pm AS (SELECT method, part, patient, avg(e) AS x, avg(t) AS y FROM et JOIN smp USING (sample) GROUP BY ALL), b AS {boot_sql('pm', 'patient', 20, 'rows')},
+    WITH pm AS (SELECT method, part, patient, avg(e) AS x, avg(t) AS y FROM et JOIN smp USING (sample) GROUP BY ALL), b AS {boot_sql('pm', 'patient', 200, 'rows')},
     j AS (SELECT draw, method, part, sum(times) AS n, sum(times * x) AS sx, sum(times * y) AS sy, sum(times * x * x) AS sxx, sum(times * y * y) AS syy, sum(times * x * y) AS sxy
       FROM pm JOIN b USING (patient) GROUP BY ALL),
     u AS (SELECT draw, method || part AS u, round((sxy - sx * sy / n) / nullif(sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)), 0), 9) AS r, round(sx / n, 9) AS level FROM j),
@@ -314,4 +320,4 @@ def _(t):
         F.avg("e").alias("x"), F.avg("t").alias("y"))
     from partwise.operators import ensembles as E
 
-    return RS.interval(E.row_bootstrap(cut_lineage(rows), ["method", "part"], "patient", "x", "y", 20, "rows"), [], "rho")
+    return RS.interval(E.row_bootstrap(cut_lineage(rows), ["method", "part"], "patient", "x", "y", 200, "rows"), [], "rho")

@@ -61,7 +61,7 @@ AGREE = """sa AS (SELECT method || part AS method, round(1 - avg(abs(e - t)), 12
 
 
 @register("qry03_ranking_agreement", "yardstick n n_distinct verdict", "rho ci_low ci_high", q("et", f"""
-    WITH {AGREE}, b AS {boot_sql('j', 'method', 120, 'agree')}, x AS (SELECT yardstick, draw, a, t FROM j JOIN b USING (method), unnest(range(times)) AS _u(k)),
+    WITH {AGREE}, b AS {boot_sql('j', 'method', DRAWS, 'agree')}, x AS (SELECT yardstick, draw, a, t FROM j JOIN b USING (method), unnest(range(times)) AS _u(k)),
     r AS (SELECT yardstick, draw, {corr_sql('r_a', 'r_t')} AS rho FROM {ranks_sql('x', 'yardstick, draw', 'a t')} GROUP BY 1, 2),
     ci AS (SELECT yardstick, quantile_cont(rho, 0.025) AS ci_low, quantile_cont(rho, 0.975) AS ci_high FROM r GROUP BY 1),
     o AS (SELECT yardstick, count(*) AS n, count(DISTINCT (a, t)) AS n_distinct, {corr_sql('r_a', 'r_t')} AS rho FROM {ranks_sql('j', 'yardstick', 'a t')} GROUP BY 1)
@@ -75,7 +75,7 @@ def _(t):
     y = et.groupBy(F.col("m").alias("method")).agg(F.avg(err * err).alias("mae"), F.avg(F.col("t") * F.col("e")).alias("level")).unpivot(
         ["method"], ["mae", "level"], "yardstick", "score")
     d = t.spark.createDataFrame([("mae", False), ("level", True), ("absent", True)], "yardstick STRING, higher_is_better BOOLEAN")
-    return P.ranking_agreement(cut_lineage(a), cut_lineage(y), d, ["controlLARGE"], 120, "agree")
+    return P.ranking_agreement(cut_lineage(a), cut_lineage(y), d, ["controlLARGE"], DRAWS, "agree")
 
 
 @register("qry04_purity_yardstick", "method n", "mean_e mean_t bias ratio rho r", fit_sql("fsig bulk truth", f"""

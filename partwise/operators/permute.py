@@ -524,3 +524,43 @@ def _joined_products(placed: DataFrame, keys: list[str], n_draws: int, seed: str
     moved = placed.select(*keys, "_at", "_size", "_rx").mapInArrow(work, schema)
     return moved.join(placed.select(*keys, "_at", "_ry"), [*keys, "_at"]).groupBy(*keys, "draw").agg(
         F.sum(F.col("_rx") * F.col("_ry")).alias("p"))
+
+
+def picked(size: int, seed: str, draws: Sequence[int]) -> np.ndarray:
+    """Units drawn with replacement: draws x slots, slot i of a draw being a hash of (seed, draw, i) modulo the size."""
+    return np.array([[int(hashlib.md5(f"{seed}|{d}|{i}".encode()).hexdigest()[:8], 16) % size for i in range(size)] for d in draws], np.int64)
+
+
+def resampled_means(df: DataFrame, keys: Sequence[str], ident: str, value: str, n_draws: int, seed: str) -> DataFrame:
+    """(keys, draw, stat): the mean over units drawn with replacement, for keys of at most DENSE_UNITS units, one row per unit.
+
+    Units are numbered in the order of a hash of their id.  Keys of one size have the same
+    picks, made once by the task that holds a block of draws.  A missing value adds nothing.
+    """
+    keys = list(keys)
+    unit = F.struct(hash32(F.lit("index"), ident).alias("h"), F.col(ident).alias("i"), F.col(value).cast("double").alias("v"))
+    arrays = df.groupBy(*keys).agg(F.array_sort(F.collect_list(unit)).alias("_u")).select(
+        *keys, F.size("_u").alias("_size"), F.transform("_u", lambda u: F.coalesce(u.v, F.lit(0.0))).alias("_v"))
+    own = [arrays.schema[k] for k in keys]
+    schema = StructType([*own, StructField("draw", IntegerType()), StructField("stat", DoubleType())])
+    spread = arrays.withColumn("_first", F.explode(F.sequence(F.lit(1), F.lit(n_draws), F.lit(BLOCK)))).repartition(
+        "_first", "_size").sortWithinPartitions("_first", "_size")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple = (None, None)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, first = batch.column("_size")[i].as_py(), batch.column("_first")[i].as_py()
+                draws = range(first, min(first + BLOCK, n_draws + 1))
+                v = batch.column("_v")[i].values.to_numpy()
+                if size * len(draws) * 8 > TABLE_BYTES:
+                    stat = np.array([v[picked(size, seed, [d])[0]].mean() for d in draws])
+                else:
+                    if kept[0] != (size, first):
+                        kept = ((size, first), picked(size, seed, draws))
+                    stat = v[kept[1]].mean(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(k).take(pa.array(np.full(len(draws), i))) for k in keys], pa.array(np.array(draws), pa.int32()), pa.array(stat)],
+                    names=schema.names)
+
+    return spread.mapInArrow(work, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from partwise.functions.draws import hash32, pick, unit, with_draws
 from partwise.functions.guards import ratio
 from partwise.operators.permute import (DENSE_UNITS, array_products, null_p, permute_labels, permuted_means, permuted_sums, place,
-                                        rank_arrays, roster, row_products, score_draws, widened)
+                                        rank_arrays, resampled_means, roster, row_products, score_draws, widened)
 from partwise.operators.ranks import attach_rank, hash_positions, prefix_sums
 from partwise.operators.stats import spearman
 from partwise.session import cut_lineage
@@ -219,15 +219,26 @@ def argmax_null(means: DataFrame, keys: Sequence[str], group: str, label: str, v
     return seen.join(hits, [*keys, label], "left").na.fill(0, ["n_max"]).withColumn("share", F.col("n_max") / F.lit(float(n_draws)))
 
 
-def paired_difference(df: DataFrame, keys: Sequence[str], ident: str, value: str, n_draws: int, seed: str) -> DataFrame:
-    """Interval and two-sided p of a mean paired difference over resampled units."""
+def paired_difference(df: DataFrame, keys: Sequence[str], ident: str, value: str, n_draws: int, seed: str,
+                      dense_units: int = DENSE_UNITS) -> DataFrame:
+    """Interval and two-sided p of a mean paired difference over resampled units, one row per key and unit.
+
+    A key of at most ``dense_units`` units is one array; a larger one is joined with its picks.
+    """
     keys = list(keys)
-    times = resampled_units(df, keys, ident, n_draws, seed)
-    draw = df.join(times, [*keys, ident]).groupBy(*keys, "draw").agg(
-        ratio(F.sum(F.col(value) * F.col("times")), F.sum("times")).alias("stat"))
+    rows = cut_lineage(df.select(*keys, ident, value))
+    big = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > dense_units))
+    if big.isEmpty():
+        draw = resampled_means(rows, keys, ident, value, n_draws, seed)
+    else:
+        many = rows.join(big.select(*keys), keys, "left_semi")
+        times = resampled_units(many, keys, ident, n_draws, seed)
+        draw = resampled_means(rows.join(big.select(*keys), keys, "left_anti"), keys, ident, value, n_draws, seed).unionByName(
+            many.join(times, [*keys, ident]).groupBy(*keys, "draw").agg(ratio(F.sum(F.col(value) * F.col("times")), F.sum("times")).alias("stat")))
+    draw = cut_lineage(draw)
     ci = interval(draw, keys, "stat").select(*keys, "ci_low", "ci_high")
     p = draw.groupBy(*keys).agg((2 * F.least(F.avg((F.col("stat") <= 0).cast("double")), F.avg((F.col("stat") >= 0).cast("double")))).alias("p_value"))
-    seen = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    seen = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
     return seen.join(ci, keys).join(p, keys)
 
 

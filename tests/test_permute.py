@@ -155,3 +155,18 @@ def test_ranks_in_arrays_and_in_ranges_agree(spark):
     for k, n in (("u", 300), ("v", 40)):
         x, y = (PM.average_ranks(np.array([r[i] for r in rows if r[0] == k])) for i in (1, 2))
         assert got[k] == (n, pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12))
+
+
+def test_resampled_means_of_rows_and_arrays_agree(spark):
+    rng = random.Random(6)
+    rows = [(k, i, rng.gauss(0.4, 1)) for k, n in (("u", 50), ("v", 20), ("w", 50)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "k string, i long, d double").repartition(3)
+    got = {r["k"]: r.asDict() for r in RS.paired_difference(frame, ["k"], "i", "d", 120, "s").collect()}
+    mixed = {r["k"]: r.asDict() for r in RS.paired_difference(frame, ["k"], "i", "d", 120, "s", dense_units=30).collect()}
+    for k in "uvw":
+        assert all(got[k][c] == pytest.approx(mixed[k][c], abs=1e-12) for c in ("mean", "n", "ci_low", "ci_high", "p_value"))
+    for k, n in (("u", 50), ("v", 20)):
+        order = sorted((int(PM.hashlib.md5(f"index|{i}".encode()).hexdigest()[:8], 16), i, d) for kk, i, d in rows if kk == k)
+        stats = [np.mean([order[p][2] for p in PM.picked(n, "s", [d])[0]]) for d in range(1, 121)]
+        assert got[k]["ci_low"] == pytest.approx(np.quantile(stats, 0.025), abs=1e-12)
+        assert got[k]["p_value"] == pytest.approx(2 * min(np.mean(np.array(stats) <= 0), np.mean(np.array(stats) >= 0)))
