@@ -17,6 +17,8 @@ from partwise.operators import score as S
 from partwise.session import cut_lineage
 
 DRAWS = 1000
+#: A draw of the control makes a new share for every sample and part.
+CONTROL_DRAWS = 100
 WHO = [(m,) for m in R.METHODS]
 
 
@@ -239,7 +241,7 @@ def _(t):
 
 
 @register("res13_control_band", "method indistinguishable", "observed percentile mean sd p05 p95", q("verdict", f"""
-    WITH {OBS}, u AS (SELECT draw, sample, part, ({h32("'band'", "draw", "sample", "part")} + 1) / 4294967296.0::DOUBLE AS u FROM smp, roster, {draws_sql(DRAWS)}),
+    WITH {OBS}, u AS (SELECT draw, sample, part, ({h32("'band'", "draw", "sample", "part")} + 1) / 4294967296.0::DOUBLE AS u FROM smp, roster, {draws_sql(CONTROL_DRAWS)}),
     ce AS (SELECT draw, sample, part, round(u / sum(u) OVER (PARTITION BY draw, sample), 10) AS value FROM u),
     cm AS (SELECT draw, tumour, structure, part, round(avg(value), 10) AS v FROM ce JOIN smp USING (sample) GROUP BY ALL),
     cv AS ({verdict_sql('cm', 'draw, tumour')}), cs AS (SELECT draw, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS s FROM cv WHERE ok IS NOT NULL GROUP BY 1),
@@ -249,7 +251,7 @@ def _(t):
 def _(t):
     terms = S.constraint_terms(t.spark, R.CONSTRAINTS)
     smp = R.samples(t)
-    draws = RS.control_estimates(smp, R.PARTS, DRAWS, "band").join(terms.select("part").distinct(), "part", "left_semi")
+    draws = RS.control_estimates(smp, R.PARTS, CONTROL_DRAWS, "band").join(terms.select("part").distinct(), "part", "left_semi")
     means = S.group_means(draws, smp, ["draw", "tumour", "structure", "part"], digits=10)
     scores = S.weigh(S.verdicts(means, terms, ["draw", "tumour"]), ["draw"]).selectExpr("draw", "num / den AS score")
     return RS.control_band(cut_lineage(scores), S.score(verdict_table(t)))
