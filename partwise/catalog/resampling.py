@@ -69,7 +69,7 @@ OBS = """obs AS (SELECT method, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(w
     FROM ns JOIN obs USING (method) GROUP BY 1"""))
 def _(t):
     terms = S.constraint_terms(t.spark, R.CONSTRAINTS)
-    return PM.null_p(RS.score_null(R.estimates(t), R.samples(t), terms, DRAWS, "perm", digits=10, who=WHO), ["method"], "score")
+    return PM.null_p(RS.scores_by_draw(R.estimates(t), R.samples(t), terms, DRAWS, "perm", digits=10, who=WHO), ["method"], "score")
 
 
 @register("res02_cluster_bootstrap", "method n_units", "mean ci_low median ci_high", q("verdict", f"""
@@ -284,7 +284,7 @@ def _(t):
     cells = cut_lineage(scored(t).groupBy("method", "part", "group", "structure").agg(F.avg("e").alias("value"), F.avg("t").alias("t")))
     unit = ["group", "structure"]
     null = E.random_pair_null(cells, R.METHODS, unit, DRAWS, "ens", ["part"])
-    return null.join(E.centrality_vs_truth(cells, R.METHODS, unit, ["part"]).drop("n"), "part")
+    return null.join(E.centrality_vs_truth(cells, R.METHODS, unit, ["part"]).select("part", F.col("rho").alias("centrality_rho")), "part")
 
 
 @register("res17_mixture_from_cells", "mixture part", "share first_value", q("expr cells", f"""

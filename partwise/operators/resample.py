@@ -37,9 +37,9 @@ def p_value(null: DataFrame, observed: DataFrame, keys: Sequence[str], stat: str
         ratio(F.count_if(ok & (a >= b - tol)) + add, F.count_if(ok) + add).alias("p_value"))
 
 
-def score_null(est: DataFrame, samples: DataFrame, terms: DataFrame, n_draws: int, seed: str,
-               digits: int | None = None, keys: Sequence[str] = ("method",), per_group: bool = False,
-               who: Sequence[tuple] | None = None) -> DataFrame:
+def scores_by_draw(est: DataFrame, samples: DataFrame, terms: DataFrame, n_draws: int, seed: str,
+                   digits: int | None = None, keys: Sequence[str] = ("method",), per_group: bool = False,
+                   who: Sequence[tuple] | None = None) -> DataFrame:
     """Constraint score of every method under each shuffle of structures inside tumours; draw 0 is the observed one.
 
     Only parts some constraint reads take part.
@@ -49,6 +49,12 @@ def score_null(est: DataFrame, samples: DataFrame, terms: DataFrame, n_draws: in
         ratio(F.sum("num"), F.sum("den")).alias("score"))
 
 
+def score_null(est: DataFrame, samples: DataFrame, terms: DataFrame, n_draws: int, seed: str,
+               digits: int | None = None, keys: Sequence[str] = ("method",), per_group: bool = False) -> DataFrame:
+    """The scores of the shuffles alone."""
+    return scores_by_draw(est, samples, terms, n_draws, seed, digits, keys, per_group).where("draw > 0")
+
+
 def resampled_units(units: DataFrame, keys: Sequence[str], ident: str, n_draws: int, seed: str) -> DataFrame:
     """(keys, draw, ident, times): units drawn with replacement, as many as there are.
 

@@ -32,7 +32,7 @@ def constraint_leaderboard(est: DataFrame, samples: DataFrame, terms: DataFrame,
     table = cut_lineage(S.verdicts(means, terms, ["method", "tumour"]))
     board = S.score(table).withColumn("score", F.round("score", 12))
     ci = RS.cluster_bootstrap(S.weigh(table, ["method", "tumour"]), ["method"], "tumour", n_boot, seed + "-boot")
-    p = RS.null_p(RS.score_null(est, samples, terms, n_permutations, seed + "-perm", digits, who=who), ["method"], "score").select(
+    p = RS.null_p(RS.scores_by_draw(est, samples, terms, n_permutations, seed + "-perm", digits, who=who), ["method"], "score").select(
         "method", "null_mean", "p_value")
     ties = M.tie_groups(board, "score").select("score", F.col("n").alias("tie_size"))
     out = M.mark_comparable(board, F.col("method").isin(list(controls))).join(ci.select("method", "ci_low", "ci_high"), "method")
@@ -141,7 +141,7 @@ def error_factors(rows: DataFrame, covariates: Sequence[str], outcome: str) -> D
 def group_score_factors(est: DataFrame, samples: DataFrame, terms: DataFrame, properties: DataFrame, n_draws: int, seed: str,
                         digits: int | None = None, who: Sequence[tuple] | None = None) -> DataFrame:
     """Per-tumour score minus its own shuffled mean, correlated with a tumour property."""
-    draws = RS.score_null(est, samples, terms, n_draws, seed, digits, per_group=True, who=who)
+    draws = RS.scores_by_draw(est, samples, terms, n_draws, seed, digits, per_group=True, who=who)
     first = F.col("draw") == 0
     both = cut_lineage(draws.groupBy("method", "tumour").agg(
         F.max(F.when(first, F.col("score"))).alias("score"), F.avg(F.when(~first, F.col("score"))).alias("null_mean")))
