@@ -443,14 +443,6 @@ def _(t):
     return M.mark_comparable(board(t), is_control())
 
 
-@register("agg47_control_audit", "n_real_at_or_below", "best_control worst_real median_real", q("verdict", f"""
-    WITH {BOARD_SQL}, b AS (SELECT max(score) FILTER (method = 'control') AS bc FROM board)
-    SELECT count(*) FILTER (method <> 'control' AND score <= bc) AS n_real_at_or_below, max(bc) AS best_control,
-    min(score) FILTER (method <> 'control') AS worst_real, quantile_cont(score, 0.5) FILTER (method <> 'control') AS median_real FROM board, b"""))
-def _(t):
-    return M.control_audit(board(t), is_control())
-
-
 @register("agg48_constraint_spread", "id unanimous", "mean lowest highest control_mean spread", q("verdict", """
     WITH p AS (SELECT method, id, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS f FROM verdict GROUP BY 1, 2)
     SELECT id, avg(f) FILTER (method <> 'control') AS mean, min(f) FILTER (method <> 'control') AS lowest, max(f) FILTER (method <> 'control') AS highest,

@@ -11,7 +11,7 @@ from partwise.catalog.registry import register
 from partwise.catalog.roles import h32, q
 from partwise.operators import diff as D
 from partwise.operators import ledgers as L
-from partwise.session import scratch_dir
+from partwise.session import cut_lineage, scratch_dir
 from partwise.sources import scans, sinks
 
 
@@ -92,15 +92,27 @@ def outcomes(t):
     return aligned(t).groupBy("method", F.col("part").alias("outcome")).agg(F.avg(F.abs(F.col("e") - F.col("t"))).alias("value"))
 
 
-@register("agg55_design_contrast", "a b n_outcomes n_improved", "mean_change", q("et", f"""
-    WITH {OUTCOMES}, p AS (SELECT * FROM (VALUES ('control', 'lines'), ('price', 'net'), ('price', 'lines')) AS p(a, b))
-    SELECT p.a, p.b, count(*) AS n_outcomes, count(*) FILTER (CASE WHEN x.outcome = 'SMALL' THEN y.value > x.value ELSE y.value < x.value END) AS n_improved, avg(y.value - x.value) AS mean_change
-    FROM p JOIN oc x ON x.method = p.a JOIN oc y ON y.method = p.b AND y.outcome = x.outcome GROUP BY 1, 2"""))
+@register("agg55_design_contrast", "kind name outcome n_outcomes n_improved", "mean_change with_it without_it", q("et", f"""
+    WITH {OUTCOMES}, p AS (SELECT * FROM (VALUES ('control', 'lines'), ('price', 'net'), ('price', 'lines')) AS p(a, b)),
+    fl AS (SELECT * FROM (VALUES ('money', 'price', true), ('money', 'net', true), ('money', 'lines', false), ('money', 'control', false),
+      ('data', 'price', true), ('data', 'net', true), ('data', 'lines', true), ('data', 'control', false)) AS f(name, method, flag))
+    SELECT 'pair' AS kind, concat(p.a, ' to ', p.b) AS name, NULL AS outcome, count(*) AS n_outcomes,
+      count(*) FILTER (CASE WHEN x.outcome = 'SMALL' THEN y.value > x.value ELSE y.value < x.value END) AS n_improved,
+      avg(y.value - x.value) AS mean_change, NULL::DOUBLE AS with_it, NULL::DOUBLE AS without_it
+    FROM p JOIN oc x ON x.method = p.a JOIN oc y ON y.method = p.b AND y.outcome = x.outcome GROUP BY 2
+    UNION ALL SELECT 'attribute', name, outcome, NULL, NULL, NULL, avg(value) FILTER (flag), avg(value) FILTER (NOT flag) FROM oc JOIN fl USING (method) GROUP BY 2, 3"""))
 def _(t):
-    r = outcomes(t)
+    r = cut_lineage(outcomes(t))
     pairs = t.spark.createDataFrame([("control", "lines"), ("price", "net"), ("price", "lines")], "a STRING, b STRING")
+    flags = t.spark.createDataFrame([("price", True, True), ("net", True, True), ("lines", False, True), ("control", False, False)],
+                                    "method STRING, money BOOLEAN, data BOOLEAN")
     d = r.select("outcome").distinct().withColumn("higher_is_better", F.col("outcome") == "SMALL")
-    return L.paired_contrast(r, pairs, d)
+    one = L.paired_contrast(r, pairs, d).select(
+        F.lit("pair").alias("kind"), F.concat_ws(" to ", "a", "b").alias("name"), "n_outcomes", "n_improved", "mean_change")
+    for flag in ("money", "data"):
+        two = L.with_and_without(r, flags, flag).select(F.lit("attribute").alias("kind"), F.lit(flag).alias("name"), "outcome", "with_it", "without_it")
+        one = one.unionByName(two, allowMissingColumns=True)
+    return one
 
 
 COHORTS = """fc AS (SELECT method, part AS factor, patient % 2 AS cohort, avg(e - t) AS beta FROM et JOIN smp USING (sample) WHERE method <> 'control' GROUP BY ALL),

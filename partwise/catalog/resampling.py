@@ -17,8 +17,6 @@ from partwise.operators import score as S
 from partwise.session import cut_lineage
 
 DRAWS = 1000
-#: A draw of the control makes a new share for every sample and part.
-CONTROL_DRAWS = 100
 WHO = [(m,) for m in R.METHODS]
 
 
@@ -240,21 +238,45 @@ def _(t):
     return RS.paired_difference(cut_lineage(patient_differences(t)), ["mp"], "patient", "d", DRAWS, "diff")
 
 
-@register("res13_control_band", "method indistinguishable", "observed percentile mean sd p05 p95", q("verdict", f"""
-    WITH {OBS}, u AS (SELECT draw, sample, part, ({h32("'band'", "draw", "sample", "part")} + 1) / 4294967296.0::DOUBLE AS u FROM smp, roster, {draws_sql(CONTROL_DRAWS)}),
-    ce AS (SELECT draw, sample, part, round(u / sum(u) OVER (PARTITION BY draw, sample), 10) AS value FROM u),
-    cm AS (SELECT draw, tumour, structure, part, round(avg(value), 10) AS v FROM ce JOIN smp USING (sample) GROUP BY ALL),
-    cv AS ({verdict_sql('cm', 'draw, tumour')}), cs AS (SELECT draw, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS s FROM cv WHERE ok IS NOT NULL GROUP BY 1),
-    b AS (SELECT avg(s) AS mean, stddev_samp(s) AS sd, quantile_cont(s, 0.05) AS p05, quantile_cont(s, 0.95) AS p95 FROM cs)
-    SELECT method, obs.s <= p95 AS indistinguishable, obs.s AS observed, (SELECT avg(CASE WHEN cs.s <= obs.s + 1e-12 THEN 1.0 ELSE 0 END) FROM cs) AS percentile,
-    mean, sd, p05, p95 FROM obs, b"""))
+def control_number_sql(place: int) -> str:
+    x = f"(((k * a) % 2147483647 + b + {place * RS.CONTROL_STEP}) & 2147483647)"
+    return f"({x})"
+
+
+def control_sql() -> str:
+    """cm(generator, draw, tumour, structure, part, v): the controls of resample.control_means."""
+    n = len(R.PARTS)
+    cols = lambda f: ", ".join(f(i) + f" AS x{i}" for i in range(n))
+    rel = f"SELECT draw, tumour, structure, {cols(control_number_sql)} FROM ck, cd"
+    for shift, times in RS.CONTROL_MIX:
+        rel = f"SELECT draw, tumour, structure, {cols(lambda i: f'(xor(x{i}, x{i} >> {shift}) * {times}) & 2147483647')} FROM ({rel})"  # noqa: B023
+    rel = f"SELECT draw, tumour, structure, {cols(lambda i: f'(xor(x{i}, x{i} >> 16) + 1) / 2147483648.0::DOUBLE')} FROM ({rel})"
+    weights = {"uniform": "x{i}", "dirichlet": "-ln(x{i})", "spiked": "x{i} * x{i} * x{i} * x{i}"}
+    total = lambda w: " + ".join(f"({w.format(i=i)})" for i in range(n))
+    shown = [p for p in R.PARTS if any(c[2] == p for c in R.CONSTRAINTS)]
+    sums = ", ".join(f"avg(({w.format(i=R.PARTS.index(p))}) / t_{g}) AS {g}_{p}" for g, w in weights.items() for p in shown)
+    rel = f"SELECT draw, tumour, structure, {sums} FROM (SELECT *, {', '.join(f'{total(w)} AS t_{g}' for g, w in weights.items())} FROM ({rel})) GROUP BY ALL"
+    flat = " UNION ALL ".join(f"SELECT '{g}' AS generator, draw, tumour, structure, '{p}' AS part, round({g}_{p}, 10) AS v FROM cw" for g in weights for p in shown)
+    return f"""ck AS (SELECT tumour, structure, {h32("'band'", "sample")} & 2147483647 AS k FROM smp),
+    cd AS (SELECT draw, ({h32("'band'", "'a'", "draw")} & 2147483647) % 2147483646 + 1 AS a, {h32("'band'", "'b'", "draw")} & 2147483647 AS b FROM {draws_sql(DRAWS)}),
+    cw AS MATERIALIZED ({rel}), cm AS ({flat})"""
+
+
+@register("res13_control_band", "generator method hardest indistinguishable", "observed percentile mean sd p05 p95", q("verdict", f"""
+    WITH {OBS}, {control_sql()}, cv AS ({verdict_sql('cm', 'generator, draw, tumour')}),
+    cs AS (SELECT generator, draw, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS s FROM cv WHERE ok IS NOT NULL GROUP BY 1, 2),
+    b AS (SELECT generator, avg(s) AS mean, stddev_samp(s) AS sd, quantile_cont(s, 0.05) AS p05, quantile_cont(s, 0.95) AS p95 FROM cs GROUP BY 1),
+    hd AS (SELECT generator AS top FROM b ORDER BY round(p95, 12) DESC, round(mean, 12) DESC, generator DESC LIMIT 1),
+    pl AS (SELECT generator, method, avg(CASE WHEN cs.s <= obs.s + 1e-12 THEN 1.0 ELSE 0 END) AS percentile FROM cs, obs GROUP BY 1, 2)
+    SELECT generator, method, generator = top AS hardest, obs.s <= p95 AS indistinguishable, obs.s AS observed, percentile, mean, sd, p05, p95
+    FROM b JOIN pl USING (generator) JOIN obs USING (method), hd"""))
 def _(t):
+    """Three generators on the same numbers; a method must clear the hardest of them."""
     terms = S.constraint_terms(t.spark, R.CONSTRAINTS)
-    smp = R.samples(t)
-    draws = RS.control_estimates(smp, R.PARTS, CONTROL_DRAWS, "band").join(terms.select("part").distinct(), "part", "left_semi")
-    means = S.group_means(draws, smp, ["draw", "tumour", "structure", "part"], digits=10)
-    scores = S.weigh(S.verdicts(means, terms, ["draw", "tumour"]), ["draw"]).selectExpr("draw", "num / den AS score")
-    return RS.control_band(cut_lineage(scores), S.score(verdict_table(t)))
+    shown = [p for p in R.PARTS if any(c[2] == p for c in R.CONSTRAINTS)]
+    means = RS.control_means(R.samples(t), R.PARTS, shown, DRAWS, "band", digits=10)
+    scores = S.weigh(S.verdicts(means, terms, ["generator", "draw", "tumour"]), ["generator", "draw"]).selectExpr("generator", "draw", "num / den AS score")
+    return RS.hardest_control(cut_lineage(RS.control_band(cut_lineage(scores), S.score(verdict_table(t)), ["generator"])))
 
 
 ENS_SQL = f"""lv AS (SELECT method, part, tumour, structure, concat_ws('#', tumour, structure) AS unit, avg(e) AS v, avg(t) AS t FROM et JOIN smp USING (sample) GROUP BY ALL),

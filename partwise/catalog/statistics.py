@@ -76,11 +76,20 @@ def beta_sql(a: str, b: str, y: str) -> str:
     return f"{raw} * stddev_pop({a})"
 
 
-@register("agg22_multi_regression", "method n factor", "intercept beta", q("et", f"""
-    WITH {FACTOR_SQL} SELECT method, count(*) AS n, 'total' AS factor, avg(err) AS intercept, {beta_sql('total', 'age', 'err')} AS beta FROM j GROUP BY 1
-    UNION ALL SELECT method, count(*) AS n, 'age' AS factor, avg(err) AS intercept, {beta_sql('age', 'total', 'err')} AS beta FROM j GROUP BY 1"""))
+ARMS_SQL = """f AS (SELECT o_orderkey AS sample, o_totalprice AS total, CAST(date_diff('day', DATE '1995-01-01', o_orderdate) AS DOUBLE) AS age FROM orders),
+    y AS (SELECT method, 'all' AS part, 'absolute' AS arm, sample, avg(abs(e - t)) AS err FROM et GROUP BY ALL
+      UNION ALL SELECT method, part, 'absolute', sample, abs(e - t) FROM et UNION ALL SELECT method, part, 'signed', sample, e - t FROM et),
+    j AS (SELECT * FROM y JOIN f USING (sample) WHERE err IS NOT NULL)"""
+
+
+@register("agg22_multi_regression", "method part arm n factor", "intercept beta", q("et", f"""
+    WITH {ARMS_SQL} SELECT method, part, arm, count(*) AS n, 'total' AS factor, avg(err) AS intercept, {beta_sql('total', 'age', 'err')} AS beta FROM j GROUP BY 1, 2, 3
+    UNION ALL SELECT method, part, arm, count(*) AS n, 'age' AS factor, avg(err) AS intercept, {beta_sql('age', 'total', 'err')} AS beta FROM j GROUP BY 1, 2, 3"""))
 def _(t):
-    return ST.regression(error_factors(t), ["method"], ["total", "age"], "err")
+    """Absolute error over all parts, and absolute and signed error of each part: over all parts the signed ones cancel."""
+    f = t.orders.select(F.col("o_orderkey").alias("sample"), F.col("o_totalprice").alias("total"),
+                        F.date_diff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double").alias("age"))
+    return ST.error_arms(aligned(t), f, ["total", "age"])
 
 
 SIGN_SQL = """s AS (SELECT part, tumour, avg(e) > avg(t) AS up FROM et JOIN smp USING (sample) WHERE method = 'price' GROUP BY 1, 2),
@@ -116,18 +125,29 @@ def _(t):
     return ST.partial_spearman(x, ["method"], "e", "t", "z")
 
 
-@register("agg26_rank_sum_test", "quality n1 n2", "u p_value auc", f"""
-    WITH x AS (SELECT quality, toxic = 1 AS g, n_chars AS v FROM labels JOIN documents USING (doc_id)),
-    r AS {ranks_sql('x', 'quality', 'v')},
-    s AS (SELECT quality, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(r_v) FILTER (g) AS rs FROM r GROUP BY 1),
-    ties AS (SELECT quality, sum(c * c * c - c) AS t FROM (SELECT quality, v, count(*)::DOUBLE AS c FROM x GROUP BY 1, 2) GROUP BY 1),
-    u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u FROM s JOIN ties USING (quality)),
-    z AS (SELECT *, greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)::DOUBLE))) AS z FROM u)
-    SELECT quality, n1, n2, u, {tail_sql('z')} AS p_value, u / (n1 * n2)::DOUBLE AS auc FROM z""")
+@register("agg26_rank_sum_test", "family n1 n2 exact", "u p_value p_greater auc", f"""
+    WITH RECURSIVE d AS (SELECT quality, source, toxic = 1 AS g, n_chars AS v FROM labels JOIN documents USING (doc_id)),
+    x AS (SELECT concat('quality ', quality) AS family, g, v FROM d UNION ALL SELECT concat('source ', source), g, v FROM d),
+    r AS {ranks_sql('x', 'family', 'v')},
+    s AS (SELECT family, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, coalesce(sum(r_v) FILTER (g), 0) AS rs FROM r GROUP BY 1),
+    ties AS (SELECT family, sum(c * c * c - c) AS t FROM (SELECT family, v, count(*)::DOUBLE AS c FROM x GROUP BY 1, 2) GROUP BY 1),
+    u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, least(n1, n2) <= 8 AND t = 0 AND n1 * n2 <= 10000 AS exact FROM s JOIN ties USING (family)),
+    ways(n, m, i, c, s, w) AS (SELECT n1 + n2, least(n1, n2), 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::DOUBLE FROM u WHERE exact GROUP BY 1, 2
+      UNION ALL SELECT n, m, i + 1, c + k, s + k * (i + 1), sum(w) FROM ways, (VALUES (0), (1)) AS k(k) WHERE i < n AND c + k <= m GROUP BY ALL),
+    law AS (SELECT n, m, s - m * (m + 1) / 2 AS us, w / sum(w) OVER (PARTITION BY n, m) AS p FROM ways WHERE i = n AND c = m),
+    pe AS (SELECT family, sum(p) FILTER (us >= greatest(u, n1 * n2 - u) - 1e-9) AS far, sum(p) FILTER (us >= u - 1e-9) AS up
+      FROM u JOIN law ON exact AND n = n1 + n2 AND m = least(n1, n2) GROUP BY 1),
+    z AS (SELECT *, u - n1 * n2 / 2.0 AS off, sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)::DOUBLE))) AS sd FROM u LEFT JOIN pe USING (family)),
+    zz AS (SELECT *, greatest(abs(off) - 0.5, 0) / nullif(sd, 0) AS z, (off - 0.5) / nullif(sd, 0) AS zu FROM z)
+    SELECT family, n1, n2, exact, u, CASE WHEN n1 > 0 AND n2 > 0 THEN CASE WHEN exact THEN least(1, 2 * far) ELSE {tail_sql('z')} END END AS p_value,
+    CASE WHEN n1 > 0 AND n2 > 0 THEN CASE WHEN exact THEN up WHEN zu >= 0 THEN {tail_sql('zu')} / 2 ELSE 1 - {tail_sql('zu')} / 2 END END AS p_greater,
+    u / nullif(n1 * n2, 0)::DOUBLE AS auc FROM zz""")
 def _(t):
-    x = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select(
-        "quality", (F.col("toxic") == 1).alias("g"), F.col("n_chars").alias("v"))
-    return ST.rank_sum(x, ["quality"], "g", "v")
+    """Toxic against clean lengths per quality (large groups) and per source (small ones, exact if without ties)."""
+    x = t.labels.join(t.documents.select("doc_id", "source", "n_chars"), "doc_id")
+    names = F.array(F.concat(F.lit("quality "), F.col("quality").cast("string")), F.concat(F.lit("source "), F.col("source")))
+    x = x.select(F.explode(names).alias("family"), (F.col("toxic") == 1).alias("g"), F.col("n_chars").alias("v"))
+    return ST.rank_sum(x, ["family"], "g", "v")
 
 
 def pair_values() -> str:

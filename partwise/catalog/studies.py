@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partwise.catalog import roles as R
-from partwise.catalog.aggregates import BOARD_SQL
+from partwise.catalog.aggregates import BOARD_SQL, verdict_table
 from partwise.catalog.columns import TRIO, aligned
 from partwise.catalog.fits import SIG_B, fit_sql, nnls_ctes, problem, second_reference
 from partwise.catalog.joins import NEW_ORDERS, new_orders
@@ -17,6 +17,7 @@ from partwise.functions.draws import hash32
 from partwise.operators import diff as D
 from partwise.operators import fit as FT
 from partwise.operators import ledgers as L
+from partwise.operators import metrics as M
 from partwise.operators import score as S
 from partwise.plans import studies as P
 from partwise.session import cut_lineage
@@ -32,18 +33,35 @@ def null_sql(draws: int, seed: str, by: str) -> str:
     ns AS (SELECT {by}, draw, sum(CASE WHEN ok THEN weight ELSE 0 END) / sum(weight) AS s FROM nv WHERE ok IS NOT NULL GROUP BY ALL)"""
 
 
-@register("qry01_constraint_leaderboard", "method n_pairs comparable tie_size", "score ci_low ci_high null_mean p_value", q("verdict", f"""
-    WITH {BOARD_SQL}, {OBS}, u AS (SELECT method, tumour, sum(CASE WHEN ok THEN weight ELSE 0 END) AS num, sum(weight) AS den FROM verdict GROUP BY 1, 2),
+LEAD_SQL = f"""{BOARD_SQL}, {OBS}, u AS (SELECT method, tumour, sum(CASE WHEN ok THEN weight ELSE 0 END) AS num, sum(weight) AS den FROM verdict GROUP BY 1, 2),
     b AS {boot_sql('u', 'tumour', DRAWS, 'board-boot')}, bs AS (SELECT method, draw, sum(num * times) / sum(den * times) AS s FROM u JOIN b USING (tumour) GROUP BY 1, 2),
     ci AS (SELECT method, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high FROM bs GROUP BY 1),
     {null_sql(DRAWS, 'board-perm', 'method')},
-    pv AS (SELECT method, avg(ns.s) AS null_mean, (count(*) FILTER (ns.s >= obs.s - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM ns JOIN obs USING (method) GROUP BY 1)
-    SELECT method, n_pairs, n_pairs >= (SELECT max(n_pairs) FROM board WHERE method <> 'control') AS comparable, count(*) OVER (PARTITION BY score) AS tie_size, score, ci_low, ci_high, null_mean, p_value
-    FROM board JOIN ci USING (method) JOIN pv USING (method)"""))
+    pv AS (SELECT method, avg(ns.s) AS null_mean, (count(*) FILTER (ns.s >= obs.s - 1e-9) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM ns JOIN obs USING (method) GROUP BY 1),
+    lead AS (SELECT method, n_pairs, n_pairs >= (SELECT max(n_pairs) FROM board WHERE method <> 'control') AS comparable, count(*) OVER (PARTITION BY score) AS tie_size, score, ci_low, ci_high, null_mean, p_value
+    FROM board JOIN ci USING (method) JOIN pv USING (method))"""
+
+
+@register("qry01_constraint_leaderboard", "method n_pairs comparable tie_size", "score ci_low ci_high null_mean p_value", q("verdict", f"""
+    WITH {LEAD_SQL}
+    SELECT * FROM lead"""))
 def _(t):
     return P.constraint_leaderboard(R.estimates(t), R.samples(t), terms(t), ["control"], DRAWS, DRAWS, "board", digits=10, who=WHO)
 
 
+@register("agg47_control_audit", "best_control worst_real_method n_real_at_or_below real_at_or_below controls_above_null perfect", "best_control_score worst_real median_real perfect_share", q("verdict", f"""
+    WITH {LEAD_SQL}, rl AS (SELECT * FROM lead WHERE method <> 'control' AND comparable), bc AS (SELECT method AS bm, score AS bs FROM lead WHERE method = 'control'),
+    pc AS (SELECT id, count(*) * max(weight) AS w, bool_and(ok) AS whole FROM verdict JOIN bc ON method = bm GROUP BY 1)
+    SELECT bm AS best_control, bs AS best_control_score, (SELECT method FROM rl ORDER BY score, method LIMIT 1) AS worst_real_method, (SELECT min(score) FROM rl) AS worst_real,
+    (SELECT quantile_cont(score, 0.5) FROM rl) AS median_real, (SELECT count(*) FROM rl WHERE score <= bs) AS n_real_at_or_below,
+    coalesce((SELECT string_agg(method, ',' ORDER BY method) FROM rl WHERE score <= bs), '') AS real_at_or_below,
+    coalesce((SELECT string_agg(method, ',' ORDER BY method) FROM lead WHERE method = 'control' AND p_value < 0.05 AND score > null_mean), '') AS controls_above_null,
+    coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM pc WHERE whole), '') AS perfect, (SELECT coalesce(sum(w) FILTER (whole), 0) / sum(w) FROM pc) AS perfect_share FROM bc"""))
+def _(t):
+    lead = P.constraint_leaderboard(R.estimates(t), R.samples(t), terms(t), ["control"], DRAWS, DRAWS, "board", digits=10, who=WHO)
+    return M.control_audit(cut_lineage(lead), F.col("method") == "control", verdict=cut_lineage(verdict_table(t)))
+
+
 @register("qry02_accuracy_benchmark", "method n_samples n_groups comparable tied", "mae_primary rmse_primary mean_r delta ci_low ci_high")
 def _(t):
     x, c = cut_lineage(R.cell_expr(t).where("value > 1.05").withColumn("value", F.col("value") - 1.05)), R.cells(t)

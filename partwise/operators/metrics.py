@@ -289,14 +289,33 @@ def mark_comparable(board: DataFrame, control: Column, pairs: str = "n_pairs") -
     return board.withColumn("comparable", F.col(pairs) >= full)
 
 
-def control_audit(board: DataFrame, control: Column, score: str = "score") -> DataFrame:
-    """Best control against the real methods: one row; the board has one row per method."""
-    s = F.col(score)
-    best = board.agg(F.max(F.when(control, s))).scalar()
-    return board.withColumn("_best", best).agg(
-        F.max("_best").alias("best_control"), F.min(F.when(~control, s)).alias("worst_real"),
-        F.percentile(F.when(~control, s), F.lit(0.5)).alias("median_real"),
-        F.count_if(~control & (s <= F.col("_best"))).alias("n_real_at_or_below"))
+def control_audit(board: DataFrame, control: Column, verdict: DataFrame | None = None, score: str = "score", alpha: float = 0.05) -> DataFrame:
+    """The best control against the comparable real methods: one row.
+
+    The board has one row per method with its score, null_mean, p_value and comparable;
+    non-comparable methods are left out, since their scores have another denominator.
+    ``verdict`` (method, id, weight, ok) adds the constraints that the best control
+    satisfies in every group, and their share of the weight it could earn.  Ties go to the
+    lower name; without a control its columns are missing and the lists are empty.
+    """
+    s, real = F.col(score), ~control & F.col("comparable")
+    marked = board.withColumn("_best", board.agg(F.max(F.when(control, s))).scalar())
+    names = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("method")))), ",")
+    got = marked.agg(
+        F.min(F.when(control, F.struct((-s).alias("s"), "method"))).getField("method").alias("best_control"),
+        F.max("_best").alias("best_control_score"),
+        F.min(F.when(real, F.struct(s.alias("s"), "method"))).getField("method").alias("worst_real_method"),
+        F.min(F.when(real, s)).alias("worst_real"), F.percentile(F.when(real, s), F.lit(0.5)).alias("median_real"),
+        F.count_if(real & (s <= F.col("_best"))).alias("n_real_at_or_below"), names(real & (s <= F.col("_best"))).alias("real_at_or_below"),
+        names(control & (F.col("p_value") < alpha) & (s > F.col("null_mean"))).alias("controls_above_null"))
+    if verdict is None:
+        return got
+    best = board.where(control).agg(F.min(F.struct((-s).alias("s"), "method")).getField("method")).scalar()
+    per = verdict.where(F.col("method") == best).groupBy("id").agg(
+        (F.count("*") * F.max("weight")).alias("w"), F.bool_and("ok").alias("whole"))
+    share = per.agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("whole"), F.col("id")))), ",").alias("perfect"),
+                    ratio(F.sum(F.when(F.col("whole"), F.col("w")).otherwise(0.0)), F.sum("w")).alias("perfect_share"))
+    return got.withColumn("_s", share.select(F.struct("perfect", "perfect_share")).scalar()).select(*got.columns, "_s.*")
 
 
 def constraint_spread(per: DataFrame, control: Column) -> DataFrame:

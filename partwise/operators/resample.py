@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions.draws import hash32, pick, unit, with_draws
@@ -248,14 +248,52 @@ def paired_difference(df: DataFrame, keys: Sequence[str], ident: str, value: str
     return seen.join(ci, keys).join(p, keys)
 
 
-def control_estimates(samples: DataFrame, parts: Sequence[str], n_draws: int, seed: str, digits: int = 10) -> DataFrame:
-    """Random compositions per (draw, sample): hash-uniform shares that ignore the data."""
-    u = with_draws(samples.select("sample"), n_draws).withColumns(
-        {f"_u{i}": unit(F.lit(seed), "draw", "sample", F.lit(p)) for i, p in enumerate(parts)})
-    total = sum((F.col(f"_u{i}") for i in range(1, len(parts))), F.col("_u0"))
-    cells = F.array(*[F.struct(F.lit(p).alias("part"), F.round(F.col(f"_u{i}") / total, digits).alias("value"))
-                      for i, p in enumerate(parts)])
-    return u.select("draw", "sample", F.inline(cells))
+#: Shares of a control from hash-uniform numbers: name -> weight of a part, before closing.
+GENERATORS = {"uniform": lambda u: u, "dirichlet": lambda u: -F.log(u), "spiked": lambda u: u * u * u * u}
+#: Multipliers and shifts of the generators' integer mixing; products stay below 2^62 in both engines.
+CONTROL_MIX = [(16, 73244475), (15, 1103515245), (16, 12820163)]
+CONTROL_STEP = 668265263
+
+
+def control_uniform(sample: Column, draw_a: Column, draw_b: Column, place: int) -> Column:
+    """A number in (0, 1] from three 31-bit keys and a part's place, by integer steps alone."""
+    word = 2147483647
+    x = ((sample * draw_a) % word + draw_b + place * CONTROL_STEP).bitwiseAND(word)
+    for shift, times in CONTROL_MIX:
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * times).bitwiseAND(word)
+    return (x.bitwiseXOR(F.shiftright(x, 16)) + 1) / F.lit(2147483648.0)
+
+
+def control_means(manifest: DataFrame, parts: Sequence[str], shown: Sequence[str], n_draws: int, seed: str,
+                  generators: Sequence[str] = tuple(GENERATORS), digits: int | None = None) -> DataFrame:
+    """(generator, draw, tumour, structure, part, v): group means of controls that ignore the data.
+
+    Every generator reads the same numbers.  A sample's draws are made and averaged in its
+    task, as columns and not as rows per part: what is shuffled is one row per (draw,
+    tumour, structure) and task, whatever the number of samples.
+    """
+    word = 2147483647
+    keys = manifest.select("sample", "tumour", "structure", hash32(F.lit(seed), "sample").bitwiseAND(word).alias("_k"))
+    draws = keys.sparkSession.range(1, n_draws + 1).select(
+        F.col("id").alias("draw"), (hash32(F.lit(seed), F.lit("a"), "id").bitwiseAND(word) % (word - 1) + 1).alias("_a"),
+        hash32(F.lit(seed), F.lit("b"), "id").bitwiseAND(word).alias("_b"))
+    roster = draws.agg(F.collect_list(F.struct("draw", "_a", "_b"))).scalar()
+    rows = keys.withColumn("_d", F.explode(roster)).select("tumour", "structure", "_k", "_d.*")
+    rows = rows.select("draw", "tumour", "structure", *[control_uniform(F.col("_k"), F.col("_a"), F.col("_b"), i).alias(f"_u{i}") for i in range(len(parts))])
+    for g in generators:
+        rows = rows.withColumns({f"_{g}{i}": GENERATORS[g](F.col(f"_u{i}")) for i in range(len(parts))})
+        rows = rows.withColumn(f"_{g}", sum((F.col(f"_{g}{i}") for i in range(1, len(parts))), F.col(f"_{g}0")))
+    cells = [(g, p, F.avg(ratio(f"_{g}{list(parts).index(p)}", f"_{g}"))) for g in generators for p in shown]
+    got = rows.groupBy("draw", "tumour", "structure").agg(*[
+        (m if digits is None else F.round(m, digits)).alias(f"m{i}") for i, (_, _, m) in enumerate(cells)])
+    flat = F.array(*[F.struct(F.lit(g).alias("generator"), F.lit(p).alias("part"), F.col(f"m{i}").alias("v")) for i, (g, p, _) in enumerate(cells)])
+    return got.select("draw", "tumour", "structure", F.inline(flat)).select("generator", "draw", "tumour", "structure", "part", "v")
+
+
+def hardest_control(bands: DataFrame, digits: int = 12) -> DataFrame:
+    """``bands`` (generator, method, ...) with ``hardest``: the highest p95, then the highest mean, then the last name."""
+    rank = F.struct(F.round("p95", digits), F.round("mean", digits), F.col("generator"))
+    return bands.withColumn("hardest", F.col("generator") == bands.agg(F.max(rank).getField("generator")).scalar())
 
 
 def control_band(control_scores: DataFrame, board: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

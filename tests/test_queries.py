@@ -18,13 +18,13 @@ FAST = [
     "prj02_canonical_label", "prj04_barcode_keys", "prj16_simplex_close", "prj22_unique_names", "joi05_tiered_key_join",
     "joi10_within_group_pairs", "joi13_constraint_cross_join", "joi14_keyed_full_outer_diff", "set05_version_changes",
     "agg06_constraint_score", "agg09_profile_and_variance", "agg17_spearman", "agg19_kendall_tau",
+    "agg22_multi_regression", "agg26_rank_sum_test", "agg47_control_audit", "agg55_design_contrast", "res13_control_band",
     "agg28_concordance_index", "agg30_conformal_quantile", "agg50_content_hash", "win02_average_rank", "win05_balanced_sample",
     "win13_fold_assignment", "res01_within_group_label_permutation", "res02_cluster_bootstrap", "res09_two_sample_permutation",
     "fit01_nnls_batch", "fit07_batch_adjust", "qry13_atlas_counts",
 ]
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-LARGE_SAMPLE_SQL = {"agg26_rank_sum_test"}
-NAMES = sorted(set(ORACLES) - LARGE_SAMPLE_SQL) if os.environ.get("PARTWISE_ALL") else FAST
+NAMES = sorted(ORACLES) if os.environ.get("PARTWISE_ALL") else FAST
 
 
 @pytest.mark.parametrize("name", NAMES)
