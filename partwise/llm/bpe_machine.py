@@ -13,6 +13,7 @@ token, so tokens are certain, and emitted, after a lookahead of one longest toke
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 from partwise.llm.common import Memo
@@ -30,36 +31,56 @@ def merge(piece: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[int]:
 
 
 class Transducer:
-    """Encodes byte strings; the pair and piece tables are emptied at ``most`` entries."""
+    """Encodes byte strings.
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
+    The pieces' table holds at most ``most`` entries of at most ``longest_kept`` characters,
+    the pair tables together at most ``most_pairs``; full tables are emptied and filled again.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 400_000, most_pairs: int = 600_000, longest_kept: int = 64):
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
-        self.proper = Memo(lambda t: merge(t, ranks) == [ranks[t]], most)
-        self.halves = Memo(self._halves, most)
-        self.apart = Memo(self._apart, most)
-        self.pieces = Memo(lambda piece: self.encode_bytes(piece.encode()), most)
+        self.ordered = sorted(ranks)
+        self.proper = Memo(lambda t: merge(t, ranks) == [ranks[t]])
+        self.halves = Memo(self._halves)
+        self.pieces = Memo(lambda piece: self.encode_bytes(piece.encode()), most, longest_kept)
+        self.most_pairs, self.n_pairs = most_pairs, 0
+        self.pairs: dict[int, dict[int, bool]] = {}
         self.names, self.numbers = [b""], {b"": 0}
-        self.ends: list[list[tuple[int, int]]] = [[]]
+        self.ends: list[list[tuple[int, int, dict[int, bool]]]] = [[]]
         self.steps: dict[int, int] = {}
 
+    def _opens(self, name: bytes) -> bool:
+        """Whether a token starts with ``name``."""
+        at = bisect_left(self.ordered, name)
+        return at < len(self.ordered) and self.ordered[at].startswith(name)
+
     def _halves(self, token: int) -> tuple[int, int]:
         """The two tokens of the last merge that makes a token; a single byte is its own half."""
         parts = merge(self.tokens[token], self.ranks, stop=2)
         return (parts[0], parts[-1])
 
-    def _apart(self, pair: int) -> bool:
+    def _meet(self, left: int, right: int) -> bool:
+        """``_apart``, kept in the table of the token on the right."""
+        if self.n_pairs >= self.most_pairs:
+            for kept in self.pairs.values():
+                kept.clear()
+                kept[-1] = True
+            self.n_pairs = 0
+        self.n_pairs += 1
+        ok = self.pairs[right][left] = self._apart(left, right)
+        return ok
+
+    def _apart(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens gives the two tokens.
 
         Undo merges from the latest to the earliest: the two pieces that face each other
         must at no time have had a merge of their own that came before the one undone.
         """
-        left, right = pair >> 32, pair & 0xFFFFFFFF
         undone = 1 << 60
         while True:
             joined = self.ranks.get(self.tokens[left] + self.tokens[right])
@@ -76,30 +97,36 @@ class Transducer:
     def _step(self, key: int) -> int:
         """Determinise one step: the longest suffix that is a prefix of a token, and the tokens that end there."""
         name = self.names[key >> 8] + bytes([key & 0xFF])
-        while name not in self.prefixes:
+        while not self._opens(name):
             name = name[1:]
         number = self.numbers.get(name)
         if number is None:
             number = self.numbers[name] = len(self.names)
             self.names.append(name)
             tails = [name[i:] for i in range(len(name))]
-            self.ends.append([(self.ranks[t], len(t)) for t in tails if t in self.ranks and self.proper[t]])
+            found = [(self.ranks[t], len(t)) for t in tails if t in self.ranks and self.proper[t]]
+            # Nothing comes before the first token, so the pair with -1 stands.
+            self.ends.append([(i, n, self.pairs.setdefault(i, {-1: True})) for i, n in found])
         self.steps[key] = number
         return number
 
     def _last(self, state: int, at: int, last: list[int]) -> int:
         """The token that ends here in the one run that may end a token here."""
-        for token, size in self.ends[state]:
+        for token, size, pairs in self.ends[state]:
             before = last[at - size]
-            if before < 0 or self.apart[before << 32 | token]:
+            ok = pairs.get(before)
+            if self._meet(before, token) if ok is None else ok:
                 return token
         raise ValueError("no run ends here")
 
     def encode_bytes(self, piece: bytes) -> tuple[int, ...]:
+        """The ids of a piece; a long one goes through ``stream``, which holds a bounded number of registers."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, last, steps, ends, apart = 0, [-1], self.steps, self.ends, self.apart
+        if len(piece) > 4 * self.longest:
+            return tuple(self.stream(piece))
+        state, last, steps, ends = 0, [-1], self.steps, self.ends
         at = 0
         for byte in piece:
             key = state << 8 | byte
@@ -107,9 +134,12 @@ class Transducer:
             if state < 0:
                 state = self._step(key)
             at += 1
-            for token, size in ends[state]:
+            for token, size, pairs in ends[state]:
                 before = last[at - size]
-                if before < 0 or apart[before << 32 | token]:
+                ok = pairs.get(before)
+                if ok is None:
+                    ok = self._meet(before, token)
+                if ok:
                     last.append(token)
                     break
         return tuple(self._path(last, at, 0))

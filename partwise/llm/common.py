@@ -65,14 +65,17 @@ class Memo(dict):
     """A table filled on demand, of at most ``most`` entries.
 
     When half of them are used, the table starts anew and the former one serves only to
-    refill it, so what is in steady use stays and the rest goes.
+    refill it, so what is in steady use stays and the rest goes.  With ``longest``, longer
+    keys are made anew each time, which bounds the table in bytes as well.
     """
 
-    def __init__(self, make: Callable, most: int = 400_000):
+    def __init__(self, make: Callable, most: int = 400_000, longest: int | None = None):
         super().__init__()
-        self.make, self.most, self.former = make, most, {}
+        self.make, self.most, self.longest, self.former = make, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         if 2 * len(self) >= self.most:
             self.former = dict(self)
             self.clear()
