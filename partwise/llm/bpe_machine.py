@@ -48,6 +48,8 @@ class Transducer:
         self.proper = Memo(lambda t: merge(t, ranks) == [ranks[t]])
         self.halves = Memo(self._halves)
         self.pieces = Memo(lambda piece: self.encode_bytes(piece.encode()), most, longest_kept)
+        #: The pair rule for single pairs, (left << 32 | right); encoding reads ``pairs``.
+        self.apart = Memo(lambda pair: self._apart(pair >> 32, pair & 0xFFFFFFFF), most)
         self.most_pairs, self.n_pairs = most_pairs, 0
         self.pairs: dict[int, dict[int, bool]] = {}
         self.names, self.numbers = [b""], {b"": 0}

@@ -14,7 +14,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from partwise.llm import bpe, components, decontaminate, grammar, hamming, licenses, secret_scan, simhash, substrings, suffixes, wordpieces
-from partwise.llm.bpe_machine import merge
+from partwise.llm.bpe_machine import Transducer, merge
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -182,6 +182,17 @@ def test_bpe_pairs_and_streams(codec):
         assert list(machine.stream(data, 64)) == list(machine.encode_bytes(data)) or data in machine.ranks
 
 
+def test_bpe_long_pieces_and_full_tables():
+    """Long pieces go through the emitter; tables that are emptied all the time change nothing."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, bpe.read_ranks(RANKS).splitlines())}
+    rng = random.Random(6)
+    small = Transducer(ranks, most=8, most_pairs=5, longest_kept=4)
+    for n in (1, 20, 130, 140, 900):
+        data = b"".join(rng.choice([b"the", b"tion", b"a", b"\xc3\xa9", b"ing", b"zq", b"0"]) for _ in range(n))
+        assert list(small.encode_bytes(data)) == merge(data, ranks)
+        assert all(list(small.pieces[w]) == merge(w.encode(), ranks) for w in ("ab", "length", "Grundsatz") * 3)
+
+
 def test_utf8_machine_on_any_bytes(codec):
     rng = random.Random(4)
     single = {t[0]: i for i, t in codec.machine.tokens.items() if len(t) == 1}
