@@ -215,19 +215,38 @@ def _(t):
     return P.marker_check(R.truth(t), R.samples(t), terms(t), DRAWS, "ish", digits=10)
 
 
-@register("qry11_identifiability", "part n_orderings", "agreement truth_rho p_one_sided", q("et", f"""
-    WITH pr AS (SELECT a.part, {corr_sql('a.e', 'b.e')} AS r FROM et a JOIN et b ON a.sample = b.sample AND a.part = b.part AND a.method < b.method GROUP BY a.part, a.method, b.method),
+SETTINGS = """sv AS (SELECT part, sample, CASE method WHEN 'price' THEN 0 WHEN 'lines' THEN 1 ELSE 2 END AS setting, e AS v FROM et WHERE method <> 'control'
+      UNION ALL SELECT part, sample, 3, floor(e * 20) FROM et WHERE method = 'price' UNION ALL SELECT part, sample, 4, e FROM et WHERE method = 'price'
+      UNION ALL SELECT part, sample, 5, CASE WHEN part = 'SMALL' THEN 0 ELSE e END FROM et WHERE method = 'control'),
+    tw AS (SELECT a.setting, min(b.setting) AS twin FROM (SELECT setting, list(v ORDER BY part, sample) AS l FROM sv GROUP BY 1) a
+      JOIN (SELECT setting, list(v ORDER BY part, sample) AS l FROM sv GROUP BY 1) b ON a.l = b.l GROUP BY 1),
+    sk AS MATERIALIZED (SELECT part, setting, sample, rank() OVER (PARTITION BY part, setting ORDER BY v) + (count(*) OVER (PARTITION BY part, setting, v) - 1) / 2.0 AS r
+      FROM sv JOIN tw USING (setting) WHERE setting = twin AND v IS NOT NULL),
+    sc AS (SELECT a.part, a.setting AS s1, b.setting AS s2, count(*) AS n, covar_pop(a.r, b.r) / nullif(stddev_pop(a.r) * stddev_pop(b.r), 0) AS rho
+      FROM sk a JOIN sk b ON a.part = b.part AND a.sample = b.sample AND a.setting < b.setting GROUP BY ALL),
+    st AS (SELECT part, len(list_distinct(flatten(list([s1, s2]) FILTER (rho IS NOT NULL)))) AS n_settings, avg(rho) AS stability FROM sc GROUP BY 1)"""
+
+
+@register("qry11_identifiability", "part n_orderings n_settings", "agreement truth_rho p_one_sided stability", q("et", f"""
+    WITH {SETTINGS}, pr AS (SELECT a.part, {corr_sql('a.e', 'b.e')} AS r FROM et a JOIN et b ON a.sample = b.sample AND a.part = b.part AND a.method < b.method GROUP BY a.part, a.method, b.method),
     ag AS (SELECT part, round(avg(r), 9) AS agreement FROM pr GROUP BY 1),
     tr AS (SELECT part, round(quantile_cont(rho, 0.5), 9) AS truth_rho FROM (SELECT method, part, {corr_sql('r_e', 'r_t')} AS rho FROM {ranks_sql('et', 'method, part', 'e t')} GROUP BY 1, 2) GROUP BY 1),
     un AS (SELECT 1 AS k, * FROM ag JOIN tr USING (part)), rk AS {ranks_sql('un', 'k', 'agreement truth_rho')},
     l AS (SELECT list(r_agreement::DOUBLE - 3.5 ORDER BY part) AS a, list(r_truth_rho::DOUBLE - 3.5 ORDER BY part) AS b FROM rk),
     pe AS (SELECT [a, b, c, d, e, f] AS p FROM range(1, 7) ta(a), range(1, 7) tb(b), range(1, 7) tc(c), range(1, 7) td(d), range(1, 7) te(e), range(1, 7) tf(f) WHERE len(list_distinct([a, b, c, d, e, f])) = 6),
     z AS (SELECT count(*) AS n_orderings, avg(CASE WHEN list_dot_product(a, [b[i] for i in p]) >= list_dot_product(a, b) - 1e-9 THEN 1.0 ELSE 0 END) AS p_one_sided FROM l, pe)
-    SELECT part, n_orderings, agreement, truth_rho, p_one_sided FROM un, z"""))
+    SELECT part, n_orderings, n_settings, agreement, truth_rho, p_one_sided, stability FROM un JOIN st USING (part), z"""))
 def _(t):
+    """Agreement of methods and stability of six settings (one repeats another, one is constant in a part) beside the truth."""
     est = cut_lineage(R.estimates(t))
+    v = F.col("value")
+    one = lambda i, m, c: F.when(F.col("method") == m, F.struct(F.lit(i).alias("setting"), c.alias("v")))
+    settings = F.array(one(0, "price", v), one(1, "lines", v), one(2, "net", v), one(3, "price", F.floor(v * 20).cast("double")), one(4, "price", v),
+                       one(5, "control", F.when(F.col("part") == "SMALL", 0.0).otherwise(v)))
+    stable = P.setting_stability(est.select("part", "sample", F.inline(F.array_compact(settings))), "setting", ["sample"], "v")
     units, test = P.identifiability(est, R.truth(t), R.METHODS)
-    return units.withColumn("_t", test.select(F.struct("n_orderings", "p_one_sided")).scalar()).select("part", "agreement", "truth_rho", "_t.*")
+    return units.withColumn("_t", test.select(F.struct("n_orderings", "p_one_sided")).scalar()).select("part", "agreement", "truth_rho", "_t.*").join(
+        stable.select("part", "n_settings", "stability"), "part")
 
 
 @register("qry12_reference_sensitivity", "part rank_old rank_new change status", "delta", fit_sql("fsig bulk", f"""

@@ -249,6 +249,27 @@ def rank_sum(df: DataFrame, keys: Sequence[str], flag: str, value: str, min_grou
                       small.alias("exact"), ratio("u", n1 * n2).alias("auc"))
 
 
+def mean_pairwise_rank_r(df: DataFrame, keys: Sequence[str], setting: str, unit: Sequence[str], value: str) -> DataFrame:
+    """(keys, n_settings, n_units, stability): the mean rank correlation over all pairs of settings.
+
+    No pair is formed: with ranks standardised inside a setting, the mean square of a
+    unit's sum over R settings is R + R (R - 1) times the mean correlation.  Units that
+    lack a value in one setting are left out; a constant setting has no correlation and
+    does not count; fewer than two settings have no stability.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, setting, *unit, value)
+    per = cut_lineage(known.groupBy(*keys, *unit).agg(F.count("*").alias("_n")))
+    full = per.groupBy(*keys).agg(F.max("_n").alias("_full"))
+    whole = per.join(full, list(keys)).where("_n = _full").select(*keys, *unit)
+    ranked = cut_lineage(attach_rank(known.join(whole, [*keys, *unit], "left_semi"), [*keys, setting], value, "_r"))
+    spread = ranked.groupBy(*keys, setting).agg(F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_sd")).where("_sd > 0")
+    sums = ranked.join(spread, [*keys, setting]).groupBy(*keys, *unit).agg(
+        F.sum((F.col("_r") - F.col("_m")) / F.col("_sd")).alias("_z"), F.count("*").alias("_k"))
+    got = sums.groupBy(*keys).agg(F.max("_k").alias("n_settings"), F.count("*").alias("n_units"), F.avg(F.col("_z") * F.col("_z")).alias("_q"))
+    n = F.col("n_settings")
+    return got.select(*keys, "n_settings", "n_units", ratio(F.col("_q") - n, n * (n - 1)).alias("stability"))
+
+
 def method_pair_correlation(est: DataFrame, methods: Sequence[str], unit: Sequence[str], keys: Sequence[str],
                             value: str = "value") -> DataFrame:
     """Pearson r of every pair of methods on shared units.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from partwise.functions.guards import pearson, ratio
 from partwise.operators import compose as C
+from partwise.operators import diff as D
 from partwise.operators import fit as FT
 from partwise.operators import keys as K
 from partwise.operators import ledgers as L
@@ -167,6 +168,13 @@ def identifiability(est: DataFrame, truth: DataFrame, methods: Sequence[str]) ->
     return units, test
 
 
+def setting_stability(rows: DataFrame, setting: str, unit: Sequence[str], value: str) -> DataFrame:
+    """(part, n_settings, n_units, stability) over the settings with different output; of equal ones the least counts."""
+    rows = cut_lineage(rows)
+    kept = D.distinct_settings(rows.withColumn("_pos", F.col(setting)), setting, "_pos", [*unit, "part", value]).select(F.col("kept").alias(setting))
+    return ST.mean_pairwise_rank_r(rows.join(kept, setting, "left_semi"), ["part"], setting, unit, value)
+
+
 def reference_sensitivity(bulk: DataFrame, sig_a: DataFrame, sig_b: DataFrame, parts: Sequence[str]) -> DataFrame:
     """The same data under two references on their shared features: rank of each part's mean and its move."""
     shared = K.shared_features(bulk.select("feature").distinct().withColumn("pos", F.col("feature")), [sig_a, sig_b], "feature", "pos").select("feature")

@@ -7,6 +7,7 @@ from conftest import SMALL
 
 import __spark_entry__ as entry
 from partwise.operators import ensembles as E
+from partwise.plans import studies
 
 
 @pytest.mark.parametrize("name", ["joi13_constraint_cross_join", "agg07_per_group_breakdown", "agg17_spearman", "agg27_pair_auc",
@@ -29,3 +30,25 @@ def test_central_method_tracks_truth_when_planted(spark):
     df = spark.createDataFrame(pd.DataFrame(rows, columns=["key", "method", "unit", "value", "t"]))
     row = E.centrality_vs_truth(df, ["a", "b", "c", "d"], ["unit"], ["key"]).first()
     assert row["n"] == 4 and row["rho"] > 0.7
+
+
+def test_stability_equals_the_mean_over_pairs(spark):
+    """Five settings with ties, missing values, a constant and a repeated one."""
+    rng = np.random.default_rng(4)
+    rows, tables = [], {}
+    for part in ("A", "B"):
+        base = rng.normal(size=60)
+        table = np.stack([base, np.round(base, 1), base + rng.normal(size=60), -base + rng.normal(size=60), np.ones(60) if part == "B" else rng.normal(size=60)])
+        table[2, :5] = np.nan
+        tables[part] = table
+        for s, values in enumerate(np.concatenate([table, table[:1]])):
+            rows += [(part, s, u, None if np.isnan(x) else float(x)) for u, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "part STRING, setting INT, unit INT, v DOUBLE")
+    got = {r["part"]: r for r in studies.setting_stability(df, "setting", ["unit"], "v").collect()}
+    for part, table in tables.items():
+        whole = pd.DataFrame(table[:, 5:].T)
+        whole = whole.loc[:, whole.nunique() > 1].rank()
+        r = whole.corr().to_numpy()
+        n = len(r)
+        assert got[part]["n_settings"] == n and got[part]["n_units"] == 55
+        assert abs(got[part]["stability"] - (r.sum() - n) / (n * (n - 1))) < 1e-9
