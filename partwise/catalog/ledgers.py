@@ -11,6 +11,7 @@ from partwise.catalog.registry import register
 from partwise.catalog.roles import h32, q
 from partwise.operators import diff as D
 from partwise.operators import ledgers as L
+from partwise.operators import stats as ST
 from partwise.session import cut_lineage, scratch_dir
 from partwise.sources import scans, sinks
 
@@ -117,22 +118,25 @@ def _(t):
 
 COHORTS = """fc AS (SELECT method, part AS factor, patient % 2 AS cohort, avg(e - t) AS beta FROM et JOIN smp USING (sample) WHERE method <> 'control' GROUP BY ALL),
     f1 AS (SELECT factor, quantile_cont(beta, 0.5) AS beta, abs(quantile_cont(beta, 0.5)) > 2e-4 AS supported FROM fc WHERE cohort = 0 GROUP BY 1),
-    f2 AS (SELECT factor, quantile_cont(beta, 0.5) AS beta, count(*) FILTER (beta > 0) AS n_agree, count(*) AS n_methods, CAST(0.01 AS DOUBLE) AS p FROM fc WHERE cohort = 1 AND factor <> 'LARGE' GROUP BY 1)"""
+    f2 AS (SELECT factor, quantile_cont(beta, 0.5) AS beta, count(*) FILTER (beta > 0) AS n_agree, count(*) AS n_methods,
+      least(1, 2 * list_sum([factorial(CAST(count(*) AS INTEGER))::DOUBLE / factorial(i::INTEGER)::DOUBLE / factorial(CAST(count(*) - i AS INTEGER))::DOUBLE / pow(2.0, count(*))
+        for i in range(0, least(count(*) FILTER (beta > 0), count(*) FILTER (beta <= 0)) + 1)])) AS p FROM fc WHERE cohort = 1 AND factor <> 'LARGE' GROUP BY 1)"""
 
 
 @register("agg56_cross_cohort_replication", "factor same_direction verdict", "beta_1 beta_2", q("et smp", f"""
     WITH {COHORTS}, j AS (SELECT coalesce(f1.factor, f2.factor) AS factor, f1.beta AS beta_1, f2.beta AS beta_2, supported, sign(f1.beta) = sign(f2.beta) AND sign(f1.beta) <> 0 AS same_direction,
-      n_agree >= 0.75 * n_methods AS steady FROM f1 FULL JOIN f2 ON f1.factor = f2.factor)
-    SELECT factor, same_direction, beta_1, beta_2, CASE WHEN beta_1 IS NULL OR beta_2 IS NULL THEN 'NOT TESTABLE' WHEN supported AND same_direction AND steady THEN 'REPLICATED'
-    WHEN supported AND same_direction THEN 'direction agrees, inconsistent' WHEN supported THEN 'REVERSED' WHEN steady THEN 'null first, SUPPORTED second' ELSE 'null in both' END AS verdict FROM j"""))
+      n_agree >= 0.75 * n_methods AS steady, coalesce(p < 0.3, false) AS sig FROM f1 FULL JOIN f2 ON f1.factor = f2.factor)
+    SELECT factor, same_direction, beta_1, beta_2, CASE WHEN beta_1 IS NULL OR beta_2 IS NULL THEN 'NOT TESTABLE' WHEN supported AND same_direction AND steady AND sig THEN 'REPLICATED'
+    WHEN supported AND same_direction AND steady THEN 'direction agrees, not significant' WHEN supported AND same_direction THEN 'direction agrees, inconsistent' WHEN supported THEN 'REVERSED' WHEN steady AND sig THEN 'null first, SUPPORTED second' ELSE 'null in both' END AS verdict FROM j"""))
 def _(t):
     fc = aligned(t, "price", "lines", "net").join(R.samples(t).select("sample", (F.col("patient") % 2).alias("cohort")), "sample").groupBy(
         "method", F.col("part").alias("factor"), "cohort").agg(F.avg(F.col("e") - F.col("t")).alias("beta"))
     mid = F.percentile("beta", F.lit(0.5))  # over the roster of methods
     first = fc.where("cohort = 0").groupBy("factor").agg(mid.alias("beta")).withColumn("supported", F.abs("beta") > 2e-4)
     second = fc.where("cohort = 1 AND factor <> 'LARGE'").groupBy("factor").agg(
-        mid.alias("beta"), F.count_if(F.col("beta") > 0).alias("n_agree"), F.count("*").alias("n_methods"), F.lit(0.01).alias("p"))
-    return L.replication(first, second)
+        mid.alias("beta"), F.count_if(F.col("beta") > 0).alias("n_agree"), F.count("*").alias("n_methods"))
+    second = second.withColumn("p", ST.binomial_two_sided(F.col("n_agree"), F.col("n_methods")))
+    return L.replication(first, second, alpha=0.3)  # three methods: the least p is 0.25
 
 
 @register("agg57_ledger_gaps", "method truth status n", "value", q("et smp", """
@@ -184,7 +188,9 @@ def _(t):
 
 
 @register("agg61_distinct_settings", "kept n_settings n_rows", "", """
-    SELECT kept, n_settings, n_rows FROM (SELECT CASE WHEN d = 0 THEN 0 ELSE d END AS kept, CASE WHEN d = 0 THEN 3 ELSE 1 END AS n_settings FROM (SELECT unnest([0, 1, 3]) AS d)), (SELECT count(*) AS n_rows FROM part)""")
+    WITH s AS (SELECT * FROM (VALUES (0, 10), (1, 20), (2, 10), (3, 30), (4, 10)) AS s(setting, cut)),
+    l AS (SELECT setting, count(*) AS n_rows, list(p_size > cut ORDER BY p_partkey) AS flags FROM s, part GROUP BY 1)
+    SELECT min(setting) AS kept, count(*) AS n_settings, max(n_rows) AS n_rows FROM l GROUP BY flags""")
 def _(t):
     """Five settings of one threshold; 0, 2 and 4 give the same table."""
     s = t.part.withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(4))))

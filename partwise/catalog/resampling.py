@@ -309,27 +309,31 @@ def _(t):
     return null.join(E.centrality_vs_truth(cells, R.METHODS, unit, ["part"]).select("part", F.col("rho").alias("centrality_rho")), "part")
 
 
-@register("res17_mixture_from_cells", "mixture part", "share first_value", q("expr cells", f"""
+@register("res17_mixture_from_cells", "mixture part feature", "share amount_share value", q("expr cells", f"""
     WITH tg AS (SELECT mixture, mixture % 8 AS donor, part, 1 + {h32("'tgt'", "mixture", "part")} % 5 AS n FROM (SELECT DISTINCT vec_id // 10 AS mixture FROM embeddings), (SELECT DISTINCT part FROM cells)),
     ix AS (SELECT donor, part, cell, row_number() OVER (PARTITION BY donor, part ORDER BY cell) - 1 AS i, count(*) OVER (PARTITION BY donor, part) AS pool FROM cells),
     sl AS (SELECT mixture, tg.donor, tg.part, {h32("'mix'", "mixture", "tg.part", "slot")} % pool AS i FROM tg JOIN (SELECT DISTINCT donor, part, pool FROM ix) p ON p.donor = tg.donor AND p.part = tg.part,
       unnest(range(1, n + 1)) AS _s(slot)),
     ch AS (SELECT mixture, part, cell FROM sl JOIN ix USING (donor, part, i)), c AS (SELECT mixture, part, count(*) AS k FROM ch GROUP BY 1, 2),
     mx AS (SELECT mixture, feature, sum(value) AS v FROM ch JOIN expr USING (cell) GROUP BY 1, 2), l AS (SELECT mixture, sum(v) AS l FROM mx GROUP BY 1)
-    SELECT c.mixture, c.part, k / sum(k) OVER (PARTITION BY c.mixture) AS share, v / l * 1e6 AS first_value FROM c JOIN mx ON mx.mixture = c.mixture AND mx.feature = 0 JOIN l ON l.mixture = c.mixture"""))
+    SELECT mixture, part, NULL::INT AS feature, k / sum(k) OVER (PARTITION BY mixture) AS share, a / sum(a) OVER (PARTITION BY mixture) AS amount_share, NULL::DOUBLE AS value
+    FROM c JOIN (SELECT mixture, part, sum(total) AS a FROM ch JOIN (SELECT cell, sum(value) * (1 + cell % 3) AS total FROM expr GROUP BY cell) USING (cell) GROUP BY 1, 2) USING (mixture, part)
+    UNION ALL SELECT mixture, NULL, feature, NULL, NULL, v / l * 1e6 FROM mx JOIN l USING (mixture)"""))
 def _(t):
-    mix, truth = mixture_tables(t)
-    return truth.join(mix.where("feature = 0").select("mixture", F.col("value").alias("first_value")), "mixture")
+    """Both truths of every mixture, then all its features; the cells' amounts differ between cells of one part."""
+    totals = R.cell_expr(t).groupBy("cell").agg((F.sum("value") * (1 + F.col("cell") % 3)).alias("total"))
+    mix, truth = mixture_tables(t, totals)
+    return truth.withColumn("feature", F.lit(None).cast("int")).unionByName(mix, allowMissingColumns=True)
 
 
-def mixture_tables(t):
+def mixture_tables(t, totals=None):
     from partwise.functions.draws import hash32
 
     mixes = t.embeddings.select(F.floor(F.col("vec_id") / 10).alias("mixture")).distinct()
     parts = R.cells(t).agg(F.collect_set("part")).scalar()
     targets = mixes.withColumn("part", F.explode(parts)).select(
         "mixture", (F.col("mixture") % 8).alias("donor"), "part", (1 + hash32(F.lit("tgt"), "mixture", "part") % 5).alias("n"))
-    return RS.mixtures(R.cell_expr(t), R.cells(t), targets, "mix")
+    return RS.mixtures(R.cell_expr(t), R.cells(t), targets, "mix", totals=totals)
 
 
 @register("res18_row_bootstrap_units", "n_usable", "mean ci_low median ci_high", q("et smp", f"""

@@ -310,13 +310,16 @@ def control_band(control_scores: DataFrame, board: DataFrame, keys: Sequence[str
     return j.withColumn("indistinguishable", F.col("observed") <= F.col("p95"))
 
 
-def mixtures(expr: DataFrame, cells: DataFrame, targets: DataFrame, seed: str, scale: float = 1e6) -> tuple[DataFrame, DataFrame]:
+def mixtures(expr: DataFrame, cells: DataFrame, targets: DataFrame, seed: str, scale: float = 1e6,
+             totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Mixtures of known composition: (mixture, feature, value) and (mixture, part, share).
 
     ``targets`` is (mixture, donor, part, n): how many cells to draw with
     replacement from each pool.  Slot i of a mixture takes pool cell
     hash(seed, mixture, part, i) mod pool size.  Realised counts are the truth;
-    a pool the donor lacks contributes nothing.
+    a pool the donor lacks contributes nothing.  ``totals`` (cell, total), the cells' own
+    amounts before any scaling, add a second truth, ``amount_share``: a part's share of the
+    amount, not of the cells.  A cell without a total adds none; without any the share is 0.
     """
     index = prefix_sums(cells.select("donor", "part", "cell", F.lit(1).alias("_one")), ["donor", "part"], "cell", ["_one"]).select(
         "donor", "part", "cell", F.col("before__one").alias("_i"), F.col("total__one").alias("_n"))
@@ -329,6 +332,12 @@ def mixtures(expr: DataFrame, cells: DataFrame, targets: DataFrame, seed: str, s
     counts = chosen.groupBy("mixture", "part").agg(F.sum("times").alias("_k"))
     total = counts.groupBy("mixture").agg(F.sum("_k").alias("_t"))
     truth = counts.join(total, "mixture").select("mixture", "part", ratio("_k", "_t").alias("share"))
+    if totals is not None:
+        weighed = chosen.join(totals, "cell", "left").groupBy("mixture", "part").agg(
+            F.coalesce(F.sum(F.col("total") * F.col("times")), F.lit(0.0)).alias("_a"))
+        whole = weighed.groupBy("mixture").agg(F.sum("_a").alias("_w"))
+        weighed = weighed.join(whole, "mixture").select("mixture", "part", F.coalesce(ratio("_a", "_w"), F.lit(0.0)).alias("amount_share"))
+        truth = truth.join(weighed, ["mixture", "part"])
     raw = expr.join(chosen, "cell").groupBy("mixture", "feature").agg(F.sum(F.col("value") * F.col("times")).alias("_v"))
     lib = raw.groupBy("mixture").agg(F.sum("_v").alias("_l"))
     mix = raw.join(lib, "mixture").select(
