@@ -96,27 +96,30 @@ def _(t):
     return P.ranking_agreement(cut_lineage(a), cut_lineage(y), d, ["controlLARGE"], DRAWS, "agree")
 
 
-@register("qry04_purity_yardstick", "method n", "mean_e mean_t bias ratio rho r", fit_sql("fsig bulk truth", f"""
+@register("qry04_purity_yardstick", "method sample n", "mean_e mean_t bias ratio rho r", fit_sql("fsig bulk truth", f"""
     WITH {nnls_ctes('fx', 'fsig', 'bulk', 6)}, cl AS (SELECT sample, part, value / nullif(sum(value) OVER (PARTITION BY sample), 0) AS value FROM fx),
-    tr AS (SELECT patient, avg(value) AS p FROM truth JOIN smp USING (sample) WHERE part = 'PROMO' GROUP BY 1),
-    j AS (SELECT method, round(value, 8) AS e, round(p, 8) AS t FROM (SELECT 'raw' AS method, * FROM fx UNION ALL SELECT 'closed', * FROM cl) JOIN tr ON sample = patient WHERE part = 'PROMO' AND patient % 10 <> 3)
-    SELECT method, count(*) AS n, avg(e) AS mean_e, avg(t) AS mean_t, avg(e - t) AS bias, avg(e) / avg(t) AS ratio, {corr_sql('r_e', 'r_t')} AS rho, {corr_sql('e', 't')} AS r FROM {ranks_sql('j', 'method', 'e t')} GROUP BY 1"""))
+    tr AS (SELECT patient, CASE WHEN patient % 10 <> 3 THEN avg(value) END AS p FROM truth JOIN smp USING (sample) WHERE part = 'PROMO' GROUP BY 1),
+    ps AS (SELECT method, sample, round(value, 11) AS e, round(p, 11) AS t FROM (SELECT 'raw' AS method, * FROM fx UNION ALL SELECT 'closed', * FROM cl) JOIN tr ON sample = patient WHERE part = 'PROMO'), j AS (SELECT * FROM ps WHERE e IS NOT NULL AND t IS NOT NULL)
+    SELECT method, sample, NULL AS n, e AS mean_e, t AS mean_t, e - t AS bias, NULL::DOUBLE AS ratio, NULL::DOUBLE AS rho, NULL::DOUBLE AS r FROM ps UNION ALL
+    SELECT method, NULL, count(*) AS n, avg(e) AS mean_e, avg(t) AS mean_t, avg(e - t) AS bias, avg(e) / avg(t) AS ratio, {corr_sql('r_e', 'r_t')} AS rho, {corr_sql('e', 't')} AS r FROM {ranks_sql('j', 'method', 'e t')} GROUP BY 1"""))
 def _(t):
     from partwise.operators import compose as C
     from partwise.operators import keys as K
 
     sig, bulk = problem(t)
     raw = cut_lineage(FT.nnls(sig, bulk, PARTS))
-    fits = K.stack({"raw": raw, "closed": C.simplex_close(raw, ["sample"])}).withColumn("value", F.round("value", 8))
+    fits = K.stack({"raw": raw, "closed": C.simplex_close(raw, ["sample"])}).withColumn("value", F.round("value", 11))
     code = lambda c, tail: F.concat_ws("-", F.lit("S"), c, F.lit(tail))
     codes = bulk.select("sample").distinct().select("sample", code("sample", "01A").alias("strict"), code("sample", "01").alias("loose"))
     k = F.col("patient")
     tr = R.truth(t).where("part = 'PROMO'").join(R.samples(t).select("sample", "patient"), "sample").groupBy("patient").agg(
-        F.round(F.avg("value"), 8).alias("purity")).where(k % 10 != 3)
+        F.when(k % 10 != 3, F.round(F.avg("value"), 11)).alias("purity"))
     std = k % 4 != 0
     right = tr.select(k.alias("pos"), "purity", std.alias("standard"), F.when(std, code("patient", "01A")).otherwise(F.concat(F.lit("F"), k)).alias("strict"),
                       code("patient", "01").alias("alt"))
-    return P.purity_yardstick(fits, codes, cut_lineage(right), "PROMO")
+    rows = cut_lineage(P.purity_samples(fits, codes, cut_lineage(right), "PROMO"))
+    each = rows.select("method", "sample", F.col("e").alias("mean_e"), F.col("t").alias("mean_t"), F.col("error").alias("bias"))
+    return P.purity_yardstick(rows).unionByName(each, allowMissingColumns=True)
 
 
 ORDER_SQL = """string_agg(part, '>' ORDER BY v DESC, part)"""

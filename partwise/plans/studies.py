@@ -88,12 +88,16 @@ def ranking_agreement(a: DataFrame, truths: DataFrame, directions: DataFrame, co
     return out.withColumn("verdict", verdict)
 
 
-def purity_yardstick(fits: DataFrame, barcodes: DataFrame, truth: DataFrame, part: str) -> DataFrame:
-    """Correlate one part with an independent truth joined by barcode: strict key, then the foreign one."""
+def purity_samples(fits: DataFrame, barcodes: DataFrame, truth: DataFrame, part: str) -> DataFrame:
+    """(method, sample, e, t, error): one part of every sample beside its truth, missing where the sample has none."""
     joined = K.tiered_join(barcodes, truth, "strict", "loose", "alt", F.col("standard"), "purity", "pos")
-    rows = fits.where(F.col("part") == part).join(joined, "sample").select("method", F.col("value").alias("e"), F.col("corrected").alias("t")).where(
-        "t IS NOT NULL AND e IS NOT NULL")
-    rows = cut_lineage(rows)
+    return fits.where(F.col("part") == part).join(joined, "sample").select(
+        "method", "sample", F.col("value").alias("e"), F.col("corrected").alias("t")).withColumn("error", F.col("e") - F.col("t"))
+
+
+def purity_yardstick(samples: DataFrame) -> DataFrame:
+    """``purity_samples`` per method: levels and correlations with the truth where both are known."""
+    rows = cut_lineage(samples.where("t IS NOT NULL AND e IS NOT NULL").select("method", "e", "t"))
     return M.levels(rows, ["method"]).join(ST.spearman(rows, ["method"], "e", "t").drop("n"), "method").join(
         rows.groupBy("method").agg(pearson("e", "t").alias("r")), "method")
 
