@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from partwise.functions.draws import hash32, with_draws
 from partwise.functions.guards import ratio
-from partwise.operators.resample import permutation_spearman, resampled_units
+from partwise.operators.permute import resampled_sums, roster
+from partwise.operators.resample import permutation_spearman
 from partwise.operators.stats import method_pair_correlation, spearman
 from partwise.session import cut_lineage
 
@@ -63,11 +64,10 @@ def centrality_vs_truth(cells: DataFrame, methods: Sequence[str], unit: Sequence
 
 def row_bootstrap(rows: DataFrame, unit: Sequence[str], ident: str, x: str, y: str, n_draws: int, seed: str) -> DataFrame:
     """Per draw: rank correlation over units of (their Pearson r) with (their mean x)."""
-    times = resampled_units(rows.select(ident).distinct(), [], ident, n_draws, seed)
-    w, a, b = F.col("times"), F.col(x), F.col(y)
-    s = rows.join(times, ident).groupBy("draw", *unit).agg(
-        F.sum(w).alias("n"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"),
-        F.sum(w * b * b).alias("syy"), F.sum(w * a * b).alias("sxy"))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    rows = cut_lineage(rows.select(*unit, ident, x, y))
+    sums = resampled_sums(rows, unit, roster(rows, unit), ident, [F.lit(1.0), a, b, a * a, b * b, a * b], n_draws, seed, shared=True)
+    s = sums.select("draw", *unit, *[F.get("sums", F.lit(i)).alias(c) for i, c in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))]).where("n > 0")
     n = F.col("n")
     r = ratio(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt(
         (F.col("sxx") - F.col("sx") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n)))

@@ -30,3 +30,44 @@ def test_signature_products_never_deal_rows_by_part_or_feature(spark):
         assert "SortMergeJoin" not in plan_of(FT.normal_equations(sig, bulk, ["A", "B", "C"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def word(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def test_signs_are_made_once_for_all_keys(spark):
+    from partwise.operators import resample as RS
+
+    rng = np.random.default_rng(3)
+    rows = [(k, i, None if (i + len(k)) % 7 == 0 else float(rng.normal())) for k in ("a", "bb") for i in range(40 if k == "a" else 25)]
+    frame = spark.createDataFrame(rows, "k STRING, i INT, d DOUBLE")
+    made = RS.sign_flip(frame, ["k"], "i", "d", 200, "s")
+    assert "MapInArrow" in plan_of(made)
+    for r in made.collect():
+        own = [(i, d) for k, i, d in rows if k == r["k"] and d is not None]
+        seen = np.mean([d for _, d in own])
+        null = [np.mean([abs(d) if word(f"s|{draw}|{i}") % 2 == 0 else -abs(d) for i, d in own]) for draw in range(1, 201)]
+        assert r["n_draws"] == 200 and r["observed"] == pytest.approx(seen) and r["null_mean"] == pytest.approx(np.mean(null))
+        assert r["p_value"] == pytest.approx(np.mean([x >= seen - 1e-9 for x in null]))
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_picks_are_counted_once_per_draw(spark, monkeypatch, shared):
+    from partwise.operators import permute as PM
+
+    monkeypatch.setattr(PM, "UNITS", 16)
+    sizes = {"a": range(50), "b": range(50), "c": range(10, 50), "d": range(33)}
+    rows = [(k, f"u{i}", float(i * len(sizes[k]) % 13), None if i % 9 == 4 else 1.0) for k in sizes for i in sizes[k]]
+    frame = spark.createDataFrame(rows, "k STRING, i STRING, x DOUBLE, y DOUBLE")
+    got = {(r["k"], r["draw"]): (r["size"], r["sums"]) for r in PM.resampled_sums(
+        frame, ["k"], PM.roster(frame, ["k"]), "i", [F.lit(1.0), F.col("x"), F.col("x") * F.col("y")], 30, "s", shared=shared).collect()}
+    assert len(got) == 4 * 30
+    for k in sizes:
+        units = sorted({f"u{i}" for i in (range(50) if shared else sizes[k])}, key=lambda u: (word(f"index|{u}"), u))
+        own = {u: (1.0, x, x * (y or 0.0)) for kk, u, x, y in rows if kk == k}
+        for draw in (1, 17, 30):
+            taken = [units[word(f"s|{draw}|{slot}") % len(units)] for slot in range(len(units))]
+            size, sums = got[k, draw]
+            assert size == len(units)
+            assert sums == pytest.approx(np.sum([own.get(u, (0.0, 0.0, 0.0)) for u in taken], axis=0))
