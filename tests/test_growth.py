@@ -71,3 +71,31 @@ def test_picks_are_counted_once_per_draw(spark, monkeypatch, shared):
             size, sums = got[k, draw]
             assert size == len(units)
             assert sums == pytest.approx(np.sum([own.get(u, (0.0, 0.0, 0.0)) for u in taken], axis=0))
+
+
+def test_controls_are_summed_in_the_task(spark):
+    from partwise.operators import resample as RS
+
+    rows = [(i, i % 2, f"s{i % 3}") for i in range(60)]
+    made = RS.control_means(spark.createDataFrame(rows, "sample INT, tumour INT, structure STRING"), ["A", "B", "C"], ["C", "A"], 12, "s")
+    assert "MapInArrow" in plan_of(made)
+    got = {tuple(r)[:5]: r["v"] for r in made.collect()}
+    assert len(got) == 3 * 12 * 6 * 2
+    weights = {"uniform": lambda u: u, "dirichlet": lambda u: -np.log(u), "spiked": lambda u: u**4}
+    for draw in (1, 12):
+        a, b = (word(f"s|a|{draw}") & 2147483647) % 2147483646 + 1, word(f"s|b|{draw}") & 2147483647
+        shares = {g: {} for g in weights}
+        for i, t, s in rows:
+            u = []
+            for place in range(3):
+                x = ((word(f"s|{i}") & 2147483647) * a % 2147483647 + b + place * RS.CONTROL_STEP) & 2147483647
+                for shift, times in RS.CONTROL_MIX:
+                    x = (x ^ (x >> shift)) * times & 2147483647
+                u.append(((x ^ (x >> 16)) + 1) / 2**31)
+            for g, f in weights.items():
+                w = [f(x) for x in u]
+                shares[g].setdefault((t, s), []).append([x / sum(w) for x in w])
+        for g in weights:
+            for (t, s), all_shares in shares[g].items():
+                for p, part in ((2, "C"), (0, "A")):
+                    assert got[g, draw, t, s, part] == pytest.approx(np.mean([x[p] for x in all_shares]))
