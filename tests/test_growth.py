@@ -99,3 +99,27 @@ def test_controls_are_summed_in_the_task(spark):
             for (t, s), all_shares in shares[g].items():
                 for p, part in ((2, "C"), (0, "A")):
                     assert got[g, draw, t, s, part] == pytest.approx(np.mean([x[p] for x in all_shares]))
+
+
+def test_keys_of_a_size_share_their_moves(spark, monkeypatch):
+    from partwise.operators import permute as PM
+
+    rows = [(k, i, float(i * p % 101), float(i * i % 97)) for k, p in (("a", 3), ("b", 7), ("c", 11)) for i in range(90)]
+    frame = spark.createDataFrame(rows, "k STRING, i INT, x DOUBLE, y DOUBLE")
+    arrays = PM.rank_arrays(frame, ["k"], "i", "x", "y", "s").toArrow()
+    made = []
+    plain = PM.permuted
+    monkeypatch.setattr(PM, "permuted", lambda at, size, keys: made.append(len(at)) or plain(at, size, keys))
+    # Rows too large to keep their moves: they are still made once for all three keys.
+    monkeypatch.setattr(PM, "TABLE_BYTES", 1)
+    batch = arrays.append_column("_first", [[1] * 3]).combine_chunks().to_batches()[0]
+    from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
+
+    schema = StructType().add("k", StringType()).add("draw", IntegerType()).add("p", DoubleType())
+    got = [r for out in PM._products(["k"], schema, 50, "s")(iter([batch])) for r in out.to_pylist()]
+    assert made == [90] and len(got) == 150
+    moved = plain(np.arange(90), 90, PM.draw_keys("s", None, range(1, 51)))
+    order = sorted(range(90), key=lambda i: (word(f"s|base|{i}"), i))
+    for k, p in (("a", 3), ("b", 7), ("c", 11)):
+        a, b = (PM.average_ranks(np.array([f(i) for i in order])) - 45.5 for f in (lambda i: i * p % 101, lambda i: i * i % 97))
+        assert [r["p"] for r in got if r["k"] == k] == pytest.approx([a @ b[moved[:, d]] for d in range(50)])
