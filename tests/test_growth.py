@@ -123,3 +123,23 @@ def test_keys_of_a_size_share_their_moves(spark, monkeypatch):
     for k, p in (("a", 3), ("b", 7), ("c", 11)):
         a, b = (PM.average_ranks(np.array([f(i) for i in order])) - 45.5 for f in (lambda i: i * p % 101, lambda i: i * i % 97))
         assert [r["p"] for r in got if r["k"] == k] == pytest.approx([a @ b[moved[:, d]] for d in range(50)])
+
+
+def test_stability_keeps_one_row_per_unit(spark, monkeypatch):
+    from partwise.operators import stats as ST
+    from partwise.plans import studies
+
+    kept = []
+    for module in (ST, studies):
+        plain = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, plain=plain: kept.append((set(df.columns), df.count())) or plain(df))
+    rng = np.random.default_rng(5)
+    rows = [("p", s, u, float(rng.integers(0, 9)) + u) for u in range(40) for s in range(4) if not (s == 2 and u == 7)] + [("p", 0, None, 1.0)]
+    got = studies.setting_stability(spark.createDataFrame(rows, "part STRING, s INT, u INT, v DOUBLE"), "s", ["u"], "v").first()
+    assert got["n_settings"] == 4 and got["n_units"] == 39
+    assert not any({"part", "s", "u", "v"} <= columns for columns, _ in kept) and ({"part", "u", "_v"}, 40) in kept
+    by = [[v for _, s, u, v in rows if s == k and u not in (7, None)] for k in range(4)]
+    from partwise.operators.permute import average_ranks
+
+    r = [average_ranks(np.array(x)) for x in by]
+    assert got["stability"] == pytest.approx(np.mean([np.corrcoef(r[i], r[j])[0, 1] for i in range(4) for j in range(i)]))
