@@ -85,11 +85,7 @@ def _(t):
 def _(t):
     sig, bulk = problem(t)
     sig = sig.withColumn("var", F.col("mean") * 0.1)
-    out = None
-    for rule in FT.REWEIGHTING:
-        one = FT.reweighted_nnls(sig, bulk, PARTS, rule, rounds=12).withColumn("rule", F.lit(rule))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return FT.reweighted_fits(sig, bulk, PARTS, FT.REWEIGHTING, rounds=12)
 
 
 DONOR_SQL = """db AS (SELECT feature, donor, sum(mean * (1 + donor * 0.05)) / 6 AS value FROM fsig, (SELECT unnest(range(8)) AS donor) GROUP BY 1, 2)"""
