@@ -145,7 +145,7 @@ def shared_methods(a: DataFrame, b: DataFrame, controls: Sequence[str], key: str
 
 def method_grid(est: DataFrame, methods: Sequence[str], keys: Sequence[str], value: str = "value") -> DataFrame:
     """One row per key with a column per method: the roster of methods bounds the width."""
-    return est.groupBy(*keys).pivot("method", list(methods)).agg(F.first(value, ignorenulls=True))
+    return est.groupBy(*keys).agg(*[F.first(F.when(F.col("method") == m, F.col(value)), ignorenulls=True).alias(m) for m in methods])
 
 
 def matrix_product(sig: DataFrame, shares: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
