@@ -22,7 +22,7 @@ PRIMARY_SQL = "part <> 'STANDARD'"
 
 def scored(t, *methods):
     """et rows with the sample's tumour as group."""
-    return aligned(t, *methods).join(R.samples(t).select("sample", F.col("tumour").alias("group"), "structure"), "sample")
+    return aligned(t, *methods, beside=R.samples(t).select("sample", F.col("tumour").alias("group"), "structure"))
 
 
 def verdict_table(t, *methods):

@@ -42,7 +42,7 @@ def planted(t):
 
 
 def shares(t):
-    return R.estimates(t, "price").join(R.samples(t).select("sample", "patient"), "sample").groupBy(
+    return R.estimates(t, "price", beside=R.samples(t).select("sample", "patient")).groupBy(
         F.col("patient").alias("sample"), "part").agg(F.avg("value").alias("value"))
 
 

@@ -143,3 +143,45 @@ def test_stability_keeps_one_row_per_unit(spark, monkeypatch):
 
     r = [average_ranks(np.array(x)) for x in by]
     assert got["stability"] == pytest.approx(np.mean([np.corrcoef(r[i], r[j])[0, 1] for i in range(4) for j in range(i)]))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_columns_of_a_sample_are_joined_before_its_rows_are_opened(spark, no_broadcast):
+    """Opened, a sample has a row for each part and method; a join by sample sorted them all."""
+    from partwise.catalog import fits
+    from partwise.catalog.aggregates import scored
+    from partwise.catalog.registry import QUERIES, Tables
+    SMALL = "/root/testdata/sf0.001"
+
+    t = Tables(spark, SMALL)
+    for df in (scored(t), fits.shares(t), QUERIES["agg22_multi_regression"](spark, SMALL)):
+        lines = [(len(x) - len(x.lstrip(" :+-*(0123456789)")), x) for x in plan_of(df).split("\n")]
+        for i, (depth, line) in enumerate(lines):
+            below = next((j for j in range(i + 1, len(lines)) if lines[j][0] <= depth), len(lines))
+            assert "SortMergeJoin" not in line or not any("Generate" in x for _, x in lines[i:below])
+
+
+def test_sides_of_constraints_deal_no_rows_by_part_and_structure(spark, no_broadcast):
+    from partwise.operators import stats as ST
+
+    rows = spark.createDataFrame([("m", 1, "a", "P", 1.0), ("m", 1, "b", "P", 0.5), ("m", 1, "b", "P", 1.0)],
+                                 "method STRING, tumour INT, structure STRING, part STRING, value DOUBLE").checkpoint()
+    pairs = ST.constraint_pairs(spark, [("C", "pairwise", "P", ["a", "b"], [], 1.0)])
+    got = ST.constraint_auc(rows, pairs, ["method"])
+    assert "hashpartitioning(part#" not in plan_of(got) and got.first()["auc"] == 0.75
+
+
+def test_a_grid_of_methods_holds_one_row_per_unit(spark):
+    """The pivot held a row for each unit and method first."""
+    est = spark.createDataFrame([("a", 1, "P", 1.0), ("b", 1, "P", 2.0), ("a", 1, "Q", None), ("a", 2, "P", 3.0)],
+                                "method STRING, sample INT, part STRING, value DOUBLE")
+    grid = K.method_grid(est, ["b", "a", "c"], ["sample", "part"])
+    assert "method#" not in [x for x in plan_of(grid).split("\n") if "HashAggregate" in x][-1].split("functions")[0]
+    assert sorted(map(tuple, grid.collect())) == [(1, "P", 2.0, 1.0, None), (1, "Q", None, None, None), (2, "P", None, 3.0, None)]
