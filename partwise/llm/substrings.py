@@ -3,8 +3,9 @@
 Only suffixes at anchors whose ten-word prefix occurs twice are followed, so the rows that
 move are a few hundredths of the words.  A prefix of at most ``tree_rows`` suffixes goes,
 with others, to one task, which builds the trees of its suffixes and reads the repeats
-off their deep nodes.  A more frequent prefix is lengthened to the whole window, where a
-node is a group of equal windows and a plain aggregate counts it, however large it is.
+off their deep nodes; copies of a suffix with its surroundings count once.  A more frequent prefix is lengthened to the whole window, where a
+node is a group of equal windows and a plain aggregate counts it, however large it is; before,
+it is lengthened to either half of the windows, which drops the suffixes that share neither.
 
 Defined results: a missing or empty text, or one shorter than a window, loses nothing;
 equal rows repeat each other, so all of them lose all windows; rows without a key are
@@ -71,11 +72,11 @@ def _unpack(raw: bytes) -> list[bytes]:
 
 
 def _contexts(rows: DataFrame) -> DataFrame:
-    """(k1, k2, anchor, hot, prefix, context, left, right) of the anchors whose prefix repeats."""
+    """(k1, k2, anchor, prefix, context, left, right) of the anchors whose prefix repeats."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "anchor", "hot", "prefix", "context", "left", "right"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        names = ["k1", "k2", "anchor", "prefix", "context", "left", "right"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for k1, k2, raw, places in zip(*[batch.column(i).to_pylist() for i in range(4)]):
@@ -83,7 +84,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
                 for p in places:
                     anchor = p["place"] >> 12
                     left, right = suffixes.context(words, anchor, anchor - (p["place"] & 63), anchor - (p["place"] >> 6 & 63))
-                    for column, value in zip(out, (k1, k2, anchor, p["hot"], p["prefix"], suffixes.digest(left, right), left, right)):
+                    for column, value in zip(out, (k1, k2, anchor, p["prefix"], suffixes.digest(left, right), left, right)):
                         column.append(value)
                 if len(out[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=names)
@@ -91,7 +92,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, kinds)], names=names)
 
     return rows.mapInArrow(
-        work, "k1 long, k2 long, anchor long, hot boolean, prefix long, context binary, left binary, right binary")
+        work, "k1 long, k2 long, anchor long, prefix long, context binary, left binary, right binary")
 
 
 def _by_tree(contexts: DataFrame, tree_rows: int) -> DataFrame:
@@ -108,19 +109,35 @@ def _by_tree(contexts: DataFrame, tree_rows: int) -> DataFrame:
 
 
 def _by_window(contexts: DataFrame) -> DataFrame:
-    """(context, mask) of the contexts of frequent prefixes, by counting whole windows."""
+    """(context, mask) of the contexts of frequent prefixes, by counting whole windows.
+
+    The windows of a half share its longer side, so only contexts that share one make windows.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(i, half, key) for i, (left, right) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+                    for half, key in suffixes.halves(left, right)]
+            if made:
+                at, half, key = zip(*made)
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(half, pa.int32()), pa.array(key, pa.binary())],
+                                                 names=["context", "left", "right", "n", "half", "key"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(c, o, d, n) for c, left, right, n in zip(*[batch.column(i).to_pylist() for i in range(4)])
-                    for o, d in suffixes.windows(left, right)]
+            made = [(c, o, d, n) for c, left, right, n, half in zip(*[batch.column(i).to_pylist() for i in range(5)])
+                    for o, d in suffixes.windows(left, right) if (o < suffixes.HALF) == half]
             for at in range(0, len(made), 50_000):
                 c, o, d, n = zip(*made[at:at + 50_000])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=pa.binary()), pa.array(o, type=pa.int64()), pa.array(d, type=pa.binary()), pa.array(n, type=pa.int64())],
                     names=["context", "o", "window", "n"])
 
-    rows = contexts.select("context", "left", "right", "n").mapInArrow(work, "context binary, o long, window binary, n long")
+    parts = stored(contexts.select("context", "left", "right", "n").mapInArrow(
+        split, "context binary, left binary, right binary, n long, half int, key binary"), "halves", compression="zstd")
+    shared = parts.groupBy("half", "key").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select(F.col("half").alias("_half"), F.col("key").alias("_key"))
+    open_parts = parts.join(shared, (F.col("half") == F.col("_half")) & (F.col("key") == F.col("_key")), "left_semi")
+    rows = open_parts.select("context", "left", "right", "n", "half").mapInArrow(work, "context binary, o long, window binary, n long")
     twice = stored(rows.groupBy("window").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select(
         F.col("window").alias("_window")), "twice")
     return rows.join(twice, F.col("window") == F.col("_window"), "left_semi").groupBy("context").agg(
@@ -130,16 +147,20 @@ def _by_window(contexts: DataFrame) -> DataFrame:
 def _marks(docs: DataFrame, tree_rows: int) -> DataFrame:
     """(k1, k2, marks): the repeated windows of each document that has any."""
     prefixes = stored(_anchors(docs).groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(
-        F.col("prefix").alias("_prefix"), (F.col("n") > tree_rows).alias("hot")), "prefixes")
+        F.col("prefix").alias("_prefix")), "prefixes")
     found = _anchors(docs)
     found = found.join(prefixes, found["prefix"] == prefixes["_prefix"]).groupBy(*KEY).agg(
-        F.collect_set(F.struct("place", "hot", "prefix")).alias("places")).toDF("_k1", "_k2", "places")
+        F.collect_set(F.struct("place", "prefix")).alias("places")).toDF("_k1", "_k2", "places")
     texts = _packed(docs, *KEY)
     contexts = stored(_contexts(texts.join(found, (texts["k1"] == found["_k1"]) & (texts["k2"] == found["_k2"])).select(
         *KEY, "packed", "places")), "contexts", compression="zstd")
-    distinct = stored(contexts.groupBy("context", "hot", "prefix", "left", "right").agg(F.count("*").alias("n")), "suffixes",
+    distinct = stored(contexts.groupBy("context", "prefix", "left", "right").agg(F.count("*").alias("n")), "suffixes",
                       compression="zstd")
-    masks = _by_tree(distinct.where(~F.col("hot")), tree_rows).union(_by_window(distinct.where("hot")))
+    # Copies share a context, so a prefix is frequent by its different contexts.
+    frequent = stored(distinct.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > tree_rows).select(
+        F.col("prefix").alias("_prefix")), "frequent")
+    hot = F.col("prefix") == F.col("_prefix")
+    masks = _by_tree(distinct.join(frequent, hot, "left_anti"), tree_rows).union(_by_window(distinct.join(frequent, hot, "left_semi")))
     masks = stored(masks.where(F.col("mask") != 0).toDF("_context", "mask"), "masks")
     places = contexts.select(*KEY, "anchor", "context")
     return places.join(masks, places["context"] == masks["_context"]).groupBy(*KEY).agg(

@@ -121,6 +121,21 @@ def windows(left: bytes, right: bytes) -> list[tuple[int, bytes]]:
             for p in range(len(words) - WINDOW + 1)]
 
 
+#: Windows that start so many words before their anchor, or more, are told apart by their left words first.
+HALF = SPAN // 2
+
+
+def halves(left: bytes, right: bytes) -> list[tuple[int, bytes]]:
+    """(0, digest of what all windows that start HALF or more words before the anchor hold), (1, the same of the others)."""
+    before, after = left.split(), right.split()
+    out = []
+    if len(before) >= HALF and len(after) >= PREFIX:
+        out.append((0, before[-HALF:] + after[:PREFIX]))
+    if len(after) >= WINDOW - HALF + 1 and len(before) + len(after) >= WINDOW:
+        out.append((1, after[:WINDOW - HALF + 1]))
+    return [(half, hashlib.blake2b(b" ".join(words), digest_size=16).digest()) for half, words in out]
+
+
 def covered(n: int, marks: list[tuple[int, int]]) -> np.ndarray:
     """Which of n words lie in a window named by (anchor, mask)."""
     edge = np.zeros(n + 1, dtype=np.int64)

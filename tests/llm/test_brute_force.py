@@ -109,6 +109,24 @@ def plain_repeats(texts, width=35):
     return out
 
 
+def test_copies_of_a_passage_are_no_frequent_prefix(spark, monkeypatch):
+    """A prefix counted as frequent by its copies, and then every window of it was a row."""
+    words = [f"w{i}" for i in range(60)]
+    line = [f"line{i}" for i in range(12)]
+    rows = [(i, " ".join(words)) for i in range(30)]
+    rows += [(100 + i, " ".join([f"a{i}x{j}" for j in range(30)] + line + [f"b{i}x{j}" for j in range(30)])) for i in range(30)]
+    seen, by_window = [], substrings._by_window
+
+    def counted(contexts):
+        seen.append({r["right"].split()[0] for r in contexts.collect()})
+        return by_window(contexts)
+
+    monkeypatch.setattr(substrings, "_by_window", counted)
+    got = substrings.digests(spark.createDataFrame(rows, "doc_id long, text string"), tree_rows=10).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 60 if i < 100 else 0 for i, _ in rows}
+    assert not any(w.startswith(b"w") for s in seen for w in s)
+
+
 @pytest.mark.parametrize("tree_rows", [3, 4000])
 def test_substrings(spark, tree_rows):
     """Passages at window length and around it, periodic texts, copies; with frequent and with ordinary prefixes."""
