@@ -170,3 +170,25 @@ def test_resampled_means_of_rows_and_arrays_agree(spark):
         stats = [np.mean([order[p][2] for p in PM.picked(n, "s", [d])[0]]) for d in range(1, 121)]
         assert got[k]["ci_low"] == pytest.approx(np.quantile(stats, 0.025), abs=1e-12)
         assert got[k]["p_value"] == pytest.approx(2 * min(np.mean(np.array(stats) <= 0), np.mean(np.array(stats) >= 0)))
+
+
+def test_labels_are_looked_up_as_they_are_walked(spark, monkeypatch):
+    """Columns with few, many and no ties, missing values, a structure that a group lacks, and values longer than a chunk."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "A" if i < 2600 else "B", "abcde"[int(rng.integers(0, 5 if i < 2600 else 2))]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "sample INT, tumour STRING, structure STRING").checkpoint()
+    pick = {"distinct": lambda: float(rng.random()), "some": lambda: float(rng.integers(0, 1500)), "heavy": lambda: float(max(0, rng.integers(-9, 5)))}
+    cells = [(m, i, p, None if rng.random() < 0.05 else f()) for m, f in pick.items() for i in range(3000) for p in {c[2] for c in CONSTRAINTS}]
+    values = spark.createDataFrame(cells, "method STRING, sample INT, part STRING, value DOUBLE").checkpoint()
+    calls = []
+    usual = AN._walked
+    monkeypatch.setattr(AN, "_walked", lambda *given: calls.append(1) or usual(*given))
+    got = {}
+    for dense in (0, 1000, 10_000):
+        made = AN.auc_draws(values, frame, CONSTRAINTS, 300, "s", dense_samples=dense)
+        got[dense] = {(r["method"], r["draw"]): r["stat"] for r in made.collect()}
+        assert len(calls) == (1 if dense == 0 else 2)
+    assert len(got[0]) == 3 * 301
+    for dense in (1000, 10_000):
+        assert got[dense].keys() == got[0].keys()
+        assert all(abs(got[dense][k] - got[0][k]) < 1e-12 for k in got[0])
