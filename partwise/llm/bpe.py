@@ -22,6 +22,8 @@ from partwise.llm.common import per_text, texts
 
 #: A vocabulary is sent to every executor; a larger file is an error.
 MOST_VOCABULARY_BYTES = 64 << 20
+#: Pieces that a codec keeps where its worker also holds what other stages left: a quarter of the usual number.
+FEW_PIECES = 100_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -33,11 +35,11 @@ def read_ranks(path: str) -> bytes:
 
 
 class Codec:
-    def __init__(self, raw: bytes, pattern: str):
+    def __init__(self, raw: bytes, pattern: str, most: int = 400_000):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         # White space is Unicode's property here, not Python's wider notion of it.
         self.find = regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.machine = Transducer(ranks)
+        self.machine = Transducer(ranks, most)
         self.reader = Utf8Reader(self.machine.tokens)
 
     def encode(self, text: str) -> list[int]:
@@ -48,8 +50,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def _codec(raw: bytes, pattern: str) -> Codec:
-    return Codec(raw, pattern)
+def _codec(raw: bytes, pattern: str, most: int = 400_000) -> Codec:
+    return Codec(raw, pattern, most)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
@@ -79,7 +81,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
     raw = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def work(batch: list[str]) -> dict[str, list]:
-        codec = _codec(raw.value, pattern)
+        codec = _codec(raw.value, pattern, FEW_PIECES)
         ids = [codec.encode(t) for t in batch]
         return {"ids": ids, "n_tokens": list(map(len, ids)), "round_trip": [codec.decode(i) == t for i, t in zip(ids, batch)]}
 

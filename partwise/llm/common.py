@@ -35,10 +35,20 @@ def texts(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most SLICE rows; unused memory is given back between batches."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def per_text(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema: str) -> DataFrame:
     """Replace the last column, ``text``, by the columns of ``schema``; the other columns stay.
 
-    ``fn`` gets the texts of one Arrow batch and returns one list per new column.
+    ``fn`` gets at most SLICE texts and returns one list per new column.  Memory that Arrow has
+    done with goes back to the system after each batch, as a worker lives on for later stages.
     """
     from pyspark.sql.types import StructType
 
@@ -47,7 +57,7 @@ def per_text(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema:
     names = [f.name for f in made.fields]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in sliced(batches):
             at = batch.schema.get_field_index("text")
             out = fn(batch.column(at).to_pylist())
             cols = [c for i, c in enumerate(batch.columns) if i != at]

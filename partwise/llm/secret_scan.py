@@ -13,12 +13,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.common import Memo, per_text, stored, texts
+from partwise.llm.common import SLICE, Memo, per_text, stored, texts
 from partwise.llm.grammar import Automaton, Background, shape
 
 #: The patterns and the least lengths.
@@ -149,10 +148,12 @@ def mask(docs: DataFrame, filler: str = "<secret>", formats: Formats | None = No
     formats = learn(docs) if formats is None else formats
     shared = docs.sparkSession.sparkContext.broadcast((formats.kinds, formats.background.pairs, formats.gain))
 
-    @F.pandas_udf("string")
-    def cut(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def cut(column: pa.Array) -> pa.Array:
         model = rebuilt(shared.value)
-        return column.map(lambda t: None if t is None else masked(t, model, filler))
+        done = [pa.array([None if t is None else masked(t, model, filler) for t in column.slice(i, SLICE).to_pylist()], pa.string())
+                for i in range(0, len(column), SLICE)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return docs.withColumn("text", cut("text"))
 
