@@ -26,7 +26,8 @@ def scored(t, *methods):
 
 
 def verdict_table(t, *methods):
-    means = S.group_means(R.estimates(t, *methods), R.samples(t), digits=10)
+    est = R.estimates(t, *methods, beside=R.samples(t).select("sample", "tumour", "structure"))
+    means = S.group_means(est, None, digits=10)
     return S.verdicts(means, S.constraint_terms(t.spark, R.CONSTRAINTS), ["method", "tumour"])
 
 

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from partwise.functions.guards import ratio
 
 
-def group_means(est: DataFrame, manifest: DataFrame, keys: Sequence[str] = ("method", "tumour", "structure", "part"),
+def group_means(est: DataFrame, manifest: DataFrame | None, keys: Sequence[str] = ("method", "tumour", "structure", "part"),
                 value: str = "value", digits: int | None = None) -> DataFrame:
-    """Mean per group and structure, missing skipped: one value per group however many samples."""
+    """Mean per group and structure, missing skipped: one value per group however many samples.
+
+    Without a manifest ``est`` has the samples' columns already, so that no join sorts its rows.
+    """
     mean = F.avg(value)
     if digits is not None:
         mean = F.round(mean, digits)
-    return est.join(manifest, "sample").groupBy(*keys).agg(mean.alias("v"))
+    rows = est if manifest is None else est.join(manifest, "sample")
+    return rows.groupBy(*keys).agg(mean.alias("v"))
 
 
 def constraint_terms(spark: SparkSession, constraints: Sequence[tuple]) -> DataFrame:

@@ -185,3 +185,15 @@ def test_a_grid_of_methods_holds_one_row_per_unit(spark):
     grid = K.method_grid(est, ["b", "a", "c"], ["sample", "part"])
     assert "method#" not in [x for x in plan_of(grid).split("\n") if "HashAggregate" in x][-1].split("functions")[0]
     assert sorted(map(tuple, grid.collect())) == [(1, "P", 2.0, 1.0, None), (1, "Q", None, None, None), (2, "P", None, 3.0, None)]
+
+
+def test_audit_makes_its_verdicts_once_and_without_a_join_of_opened_rows(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+    from partwise.operators import score as S
+
+    manifests = []
+    usual = S.group_means
+    monkeypatch.setattr(S, "group_means", lambda est, manifest, *rest, **more: manifests.append(manifest) or usual(est, manifest, *rest, **more))
+    assert entry.queries()["agg47_control_audit"](spark, SMALL).count() == 1
+    assert manifests == [None]
