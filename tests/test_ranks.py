@@ -122,3 +122,36 @@ def test_regression_matches_lstsq(spark, table):
         want = np.linalg.lstsq(m, b.z, rcond=None)[0]
         mine = got[got.g == g].set_index("factor").beta
         assert np.allclose([mine["x"], mine["y"]], want[1:])
+
+
+def test_strips_match_all_pairs_and_plain_ranks(spark):
+    """Hot values, ties, NaN, missing keys, whole numbers and groups of one row, in strips of a few rows."""
+    from partwise.operators import strips
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, n in (("a", 300), (None, 120), ("b", 40), ("c", 1)):
+        x = np.where(rng.random(n) < 0.4, 0.0, np.round(rng.random(n), 2))
+        rows += [(g, float(v), int(w)) for v, w in zip(x, np.where(rng.random(n) < 0.3, 5, rng.integers(0, 60, n)))]
+    rows += [("a", float("nan"), 7), ("a", float("nan"), 70), ("a", 0.5, None)]
+    frame = spark.createDataFrame(rows, "g string, x double, y long").repartition(3)
+    whole = frame.where("y IS NOT NULL")
+    for few in (7, 1000):
+        got = {r["g"]: r["discordant"] for r in R.pair_counts(frame, ["g"], "x", "y", few).collect()}
+        rho = {r["g"]: r for r in strips.rank_sums(whole, ["g"], "x", "y", few).collect()}
+        assert set(got) == {"a", "b", "c"} and set(rho) == {"a", "b", "c", None}
+        for g in rho:
+            b = pd.DataFrame([(9.0 if np.isnan(x) else x, y) for k, x, y in rows if k == g and y is not None], columns=["x", "y"])
+            d = np.sign(b.x.values[:, None] - b.x.values) * np.sign(b.y.values[:, None] - b.y.values)
+            assert g is None or got[g] == (d < 0).sum() / 2
+            p, q = (b[c].rank() - (len(b) + 1) / 2 for c in "xy")
+            assert tuple(rho[g])[1:] == pytest.approx((len(b), (p * q).sum(), (p * p).sum(), (q * q).sum()), abs=1e-6)
+
+
+def test_rows_of_a_task_and_rows_made_are_bounded(spark):
+    """No row per bit of a rank, no value counted in a map of its own, no key as one list."""
+    frame = spark.range(400).selectExpr("id % 3 AS g", "CAST(id * 37 % 101 AS double) AS x", "CAST(id * 53 % 211 AS double) AS y")
+    text = R.pair_counts(frame, ["g"], "x", "y")._jdf.queryExecution().toString()
+    assert "Generate" not in text and "explode" not in text
+    text = ST.spearman(frame, ["g"], "x", "y")._jdf.queryExecution().toString()
+    assert "collect_list" not in text
