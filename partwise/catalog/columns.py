@@ -259,8 +259,8 @@ def _(t):
     return C.sign_align(long, rules)
 
 
-def aligned(t, *methods, beside=None):
-    return R.paired(t, *methods, beside=beside)
+def aligned(t, *methods, beside=None, dealt=None):
+    return R.paired(t, *methods, beside=beside, dealt=dealt)
 
 
 @register("prj24_presence_mask", "method", "mae_masked n_masked", q("et", """

@@ -108,7 +108,7 @@ PATIENT_MEANS = """pm AS (SELECT method, part, patient, round(avg(e), 9) AS x, r
 
 
 def patient_means(t):
-    rows = aligned(t).join(R.samples(t).select("sample", "patient"), "sample")
+    rows = aligned(t, beside=R.samples(t).select("sample", "patient"), dealt="patient")
     return rows.groupBy("method", "part", "patient").agg(F.round(F.avg("e"), 9).alias("x"), F.round(F.avg("t"), 9).alias("y"))
 
 
@@ -129,7 +129,7 @@ def perm_spearman_sql(rel: str, keys: str, ident: str, draws: int, seed: str) ->
     SELECT method, part, max(n) AS n, max(s / norm) AS rho, (count(*) FILTER (abs(p) >= abs(s) - 1e-9 * norm) + 1) / (count(*) + 1)::DOUBLE AS p_value
     FROM z JOIN o USING (method, part) GROUP BY ALL"""))
 def _(t):
-    return RS.permutation_spearman(cut_lineage(patient_means(t)), ["method", "part"], "patient", "x", "y", DRAWS, "track")
+    return RS.permutation_spearman(patient_means(t), ["method", "part"], "patient", "x", "y", DRAWS, "track")
 
 
 PERMS6 = """pr AS (SELECT [a, b, c, d, e, f] AS p FROM range(1, 7) ta(a), range(1, 7) tb(b), range(1, 7) tc(c), range(1, 7) td(d), range(1, 7) te(e), range(1, 7) tf(f)

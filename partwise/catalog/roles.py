@@ -47,12 +47,14 @@ def weights(t: Tables, *measures: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("sample")).agg(*sums)
 
 
-def _by_part(t: Tables, methods: tuple[str, ...], extra: tuple[str, ...] = (), beside: DataFrame | None = None) -> DataFrame:
+def _by_part(t: Tables, methods: tuple[str, ...], extra: tuple[str, ...] = (), beside: DataFrame | None = None,
+             dealt: str | None = None) -> DataFrame:
     """One row per (sample, part): the measures and, as t_<measure>, their sample totals.
 
     Opened in two small steps (parts here, methods in the callers), which keeps
     each generated function short enough to be compiled.  ``beside`` has columns of
-    a sample; they are joined while a sample is one row, so no join sorts the opened rows.
+    a sample; they are joined while a sample is one row, so no join sorts the opened rows.  ``dealt`` is the one
+    that the caller groups by; samples are dealt by it as one row, too.
     """
     measures = [*dict.fromkeys([m for m in methods if m != "control"] + list(extra))]
     wide = weights(t, *(measures or ["lines"]))
@@ -64,6 +66,7 @@ def _by_part(t: Tables, methods: tuple[str, ...], extra: tuple[str, ...] = (), b
     if beside is not None:
         others = [c for c in beside.columns if c != "sample"]
         wide = wide.join(beside, "sample")
+        wide = wide.repartition(dealt) if dealt else wide
     totals = [f"{' + '.join(f'{m}_{p}' for p in PARTS)} AS t_{m}" for m in measures]
     wide = wide.selectExpr("*", *totals)
     rows = ", ".join(
@@ -84,12 +87,15 @@ def estimates(t: Tables, *methods: str, beside: DataFrame | None = None) -> Data
         "method", "sample", "part", "value", *others)
 
 
-def paired(t: Tables, *methods: str, beside: DataFrame | None = None) -> DataFrame:
-    """et(method, sample, part, e, t): estimate beside truth, from one pass over the lines, and the columns of ``beside``."""
+def paired(t: Tables, *methods: str, beside: DataFrame | None = None, dealt: str | None = None) -> DataFrame:
+    """et(method, sample, part, e, t): estimate beside truth, from one pass over the lines, and the columns of ``beside``.
+
+    With ``dealt``, one of these, grouping by it deals no row of a method and part.
+    """
     others = [c for c in beside.columns if c != "sample"] if beside is not None else []
     methods = methods or tuple(METHODS)
     cells = ", ".join(f"named_struct('method', '{m}', 'e', {_share(m)})" for m in methods)
-    return _by_part(t, methods, ("quantity",), beside).selectExpr(
+    return _by_part(t, methods, ("quantity",), beside, dealt).selectExpr(
         "sample", *others, "part", f"{_share('quantity')} AS t", f"inline(array({cells}))").select(
         "method", "sample", "part", "e", "t", *others)
 

@@ -44,6 +44,8 @@ TABLE_BYTES = 1 << 26
 DENSE_UNITS = 1 << 24
 #: Bytes of ranks that a task holds to move them together.
 HELD_BYTES = 1 << 30
+#: Bytes of ranks that share a task's moves; a table of more is cut, so that a task reads no more.
+MOVED_BYTES = 1 << 28
 #: Units of a key whose picks a task makes for itself; picks of more are made once per draw and shared by tasks.
 PICKED_UNITS = 1 << 14
 
@@ -470,16 +472,23 @@ def rank_arrays(df: DataFrame, keys: Sequence[str], ident: str, x: str, y: str,
     return rows.groupBy(*keys).applyInArrow(work, schema)
 
 
+def for_each_block(df: DataFrame, name: str, first: int, last: int, block: int) -> DataFrame:
+    """The rows of ``df``, which is stored, with the first number of a block; a task has one partition of ``df`` and one block."""
+    n = len(range(first, last + 1, block))
+    starts = df.sparkSession.range(0, n, 1, max(1, n)).select((F.col("id") * block + first).cast("int").alias(name))
+    return df.hint("shuffle_replicate_nl").crossJoin(starts)
+
+
 def array_products(arrays: DataFrame, keys: Sequence[str], n_draws: int, seed: str) -> DataFrame:
     """(keys, draw, p): for every draw the sum of the ranks of ``_a`` times the shuffled ones of ``_b`` of ``rank_arrays``.
 
-    Keys of one size share their shuffles, and a task makes them once for all of its keys.
+    Keys of one size share their shuffles, and a task makes them once for all of its keys.  ``arrays`` is stored, each
+    of its partitions sorted by size; a task reads one of them for one block of draws, so no array is copied to a shuffle.
     """
     keys = list(keys)
     own = [arrays.schema[k] for k in keys]
     schema = StructType([*own, StructField("draw", IntegerType()), StructField("p", DoubleType())])
-    starts = F.explode(F.sequence(F.lit(1), F.lit(n_draws), F.lit(BLOCK)))
-    spread = arrays.select(*keys, "_size", "_a", "_b", starts.alias("_first")).repartition("_first", "_size").sortWithinPartitions("_first", "_size")
+    spread = for_each_block(arrays.select(*keys, "_size", "_a", "_b"), "_first", 1, n_draws, BLOCK)
     return spread.mapInArrow(_products(keys, schema, n_draws, seed), schema)
 
 

@@ -9,6 +9,7 @@ and part, and scores are reduced to per-unit sums before they meet the draws.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,12 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stru
 
 from partwise.functions.draws import hash32, pick, unit, with_draws
 from partwise.functions.guards import ratio
-from partwise.operators.permute import (DENSE_UNITS, PICKED_UNITS, TABLE_BYTES, array_products, draw_keys, flipped_means, null_p, permute_labels, permuted_means,
+from partwise.operators.permute import (DENSE_UNITS, MOVED_BYTES, PICKED_UNITS, TABLE_BYTES, array_products, draw_keys, flipped_means, null_p, permute_labels, permuted_means,
                                         permuted_sums, place, rank_arrays, resampled_means, resampled_sums, roster, row_products, score_draws,
                                         widened)
 from partwise.operators.ranks import attach_rank, hash_positions, prefix_sums
 from partwise.operators.stats import spearman
-from partwise.session import cut_lineage, parallelism
+from partwise.session import cut_lineage, parallelism, scratch
 
 
 def p_value(null: DataFrame, observed: DataFrame, keys: Sequence[str], stat: str, tol: float = 1e-9,
@@ -136,26 +137,32 @@ def paired_ties(errors: DataFrame, n_draws: int, seed: str) -> DataFrame:
 
 
 def permutation_spearman(df: DataFrame, keys: Sequence[str], ident: str, x: str, y: str, n_draws: int, seed: str,
-                         dense_units: int = DENSE_UNITS) -> DataFrame:
+                         dense_units: int = DENSE_UNITS, stored: bool = False) -> DataFrame:
     """Two-sided permutation p of Spearman: ranks are made once, then moved by a keyed bijection.
 
     A key of at most ``dense_units`` units is one array of ranks; a larger one stays rows,
-    ranked in value ranges and joined by moved position.  Both give the same result.
+    ranked in value ranges and joined by moved position.  Both give the same result.  With ``stored`` the
+    rows are read from files, so they are not written again.
     """
     keys = list(keys)
-    full = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ident, x, y))
-    size = cut_lineage(full.groupBy(*keys).agg(F.count("*").alias("_size")))
-    big = size.where(F.col("_size") > dense_units)
-    some_big = not big.isEmpty()
-    few = full.join(big, keys, "left_anti") if some_big else full
-    arrays = cut_lineage(rank_arrays(few, keys, ident, x, y, seed))
+    with scratch(df.sparkSession) as keep:
+        full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, ident, x, y)
+        full = full if stored else keep(full)
+        size = cut_lineage(full.groupBy(*keys).agg(F.count("*").alias("_size")))
+        big = size.where(F.col("_size") > dense_units)
+        some_big = not big.isEmpty()
+        few = full.join(big, keys, "left_anti") if some_big else full
+        held = size.where(F.col("_size") <= dense_units).agg(F.sum("_size")).first()[0] or 0
+        arrays = cut_lineage(rank_arrays(few, keys, ident, x, y, seed).repartition(
+            ceil(held * 8 / MOVED_BYTES) or 1, *keys).sortWithinPartitions("_size"))
+        if some_big:
+            rows = full.join(big, keys)
+            r = attach_rank(attach_rank(rows, keys, x, "_rx"), keys, y, "_ry")
+            mid = (F.col("_size") + 1) / F.lit(2.0)
+            r = cut_lineage(r.select(*keys, ident, "_size", (F.col("_rx") - mid).alias("_rx"), (F.col("_ry") - mid).alias("_ry")))
     products = array_products(arrays, keys, n_draws, seed)
     norm = arrays.select(*keys, F.col("_size").alias("n"), "_norm", "_s")
     if some_big:
-        rows = full.join(big, keys)
-        r = attach_rank(attach_rank(rows, keys, x, "_rx"), keys, y, "_ry")
-        mid = (F.col("_size") + 1) / F.lit(2.0)
-        r = cut_lineage(r.select(*keys, ident, "_size", (F.col("_rx") - mid).alias("_rx"), (F.col("_ry") - mid).alias("_ry")))
         products = products.union(row_products(r, keys, ident, n_draws, seed))
         norm = norm.union(r.groupBy(*keys).agg(
             F.count("*").alias("n"), F.sqrt(F.sum(F.col("_rx") ** 2) * F.sum(F.col("_ry") ** 2)).alias("_norm"),
