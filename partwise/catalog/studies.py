@@ -154,7 +154,7 @@ TRACK = """rw AS (SELECT method, part, patient, round(avg(e), 9) AS e, round(avg
     SELECT method, part, n, s / norm AS rho, p_value, (SELECT rho FROM st WHERE st.mp = o.mp AND bin = 0) AS low_rho,
     (SELECT arg_max(rho, bin) FROM st WHERE st.mp = o.mp) AS high_rho FROM o JOIN pv USING (mp) JOIN mp USING (mp)"""))
 def _(t):
-    rows = aligned(t).join(R.samples(t).select("sample", F.col("patient").alias("unit")), "sample")
+    rows = aligned(t, beside=R.samples(t).select("sample", F.col("patient").alias("unit")), dealt="unit")
     rows = rows.groupBy("method", "part", "unit").agg(F.round(F.avg("e"), 9).alias("e"), F.round(F.avg("t"), 9).alias("t"))
     whole, strata = P.tracking(rows, DRAWS, "trk")
     ends = strata.groupBy("method", "part").agg(F.max(F.when(F.col("bin") == 0, F.col("rho"))).alias("low_rho"),

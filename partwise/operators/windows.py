@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 from partwise.functions.guards import ratio
 from partwise.operators.ranks import attach_rank
 from partwise.operators.stats import bin_of, quantile_edges
+from partwise.session import cut_lineage
+
+#: Keys whose bin edges are sent to every task.
+MOST_BROADCAST_KEYS = 100_000
 
 
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Bin number by exact quantile edges; equal values always share a bin."""
     edges = quantile_edges(df, keys, value, bins).drop("n_values")
-    joined = df.join(edges, list(keys)) if keys else df.withColumn("edges", edges.select("edges").scalar())
+    if keys:
+        # Known before the join, so that the rows stay where they are.
+        edges = cut_lineage(edges)
+        joined = df.join(F.broadcast(edges) if edges.count() <= MOST_BROADCAST_KEYS else edges, list(keys))
+    else:
+        joined = df.withColumn("edges", edges.select("edges").scalar())
     return joined.withColumn("bin", bin_of(F.col(value), F.col("edges"))).drop("edges")
 
 

@@ -19,7 +19,7 @@ from partwise.operators import resample as RS
 from partwise.operators import score as S
 from partwise.operators import stats as ST
 from partwise.operators import windows as W
-from partwise.session import cut_lineage
+from partwise.session import cut_lineage, scratch
 
 
 def constraint_leaderboard(est: DataFrame, samples: DataFrame, terms: DataFrame, controls: Sequence[str],
@@ -118,10 +118,11 @@ def tracking(rows: DataFrame, n_draws: int, seed: str, strata: int = 3) -> tuple
 
     ``rows`` is (method, part, unit, e, t).
     """
-    rows = cut_lineage(rows)
-    whole = RS.permutation_spearman(rows, ["method", "part"], "unit", "e", "t", n_draws, seed)
-    binned = W.quantile_bins(rows, ["method", "part"], "t", strata)
-    return whole, ST.spearman(binned, ["method", "part", "bin"], "e", "t")
+    with scratch(rows.sparkSession) as keep:
+        rows = keep(rows)
+        whole = RS.permutation_spearman(rows, ["method", "part"], "unit", "e", "t", n_draws, seed, stored=True)
+        binned = W.quantile_bins(rows, ["method", "part"], "t", strata)
+        return whole, ST.spearman(binned, ["method", "part", "bin"], "e", "t")
 
 
 def evaluation_grid(et: DataFrame, roster: DataFrame, truths: DataFrame, reasons: DataFrame, min_n: int = 10) -> DataFrame:
