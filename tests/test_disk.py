@@ -90,3 +90,51 @@ def test_truth_meets_the_estimate_where_it_lies(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # Lines and parts of both sides by part key, then once by order; no opened row is dealt.
     assert plan.count("Exchange hashpartitioning") == 6 and "hashpartitioning(sample" not in plan
+
+
+def test_ranks_of_a_key_are_not_copied_for_each_block_of_draws(spark):
+    from partwise.operators import permute as PM
+
+    rows = [(k, i, float(i * p % 101), float(i * i % 97)) for k, p in (("a", 3), ("b", 7)) for i in range(90)]
+    arrays = PM.rank_arrays(spark.createDataFrame(rows, "k STRING, i INT, x DOUBLE, y DOUBLE"), ["k"], "i", "x", "y", "s").coalesce(1).checkpoint()
+    made = PM.array_products(arrays, ["k"], 120, "s")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan and made.rdd.getNumPartitions() == 3
+    assert sorted(r["draw"] for r in made.where("k = 'a'").collect()) == list(range(1, 121))
+
+
+def test_samples_of_a_patient_are_dealt_as_one_row(spark):
+    from partwise.catalog.registry import Tables
+    from partwise.catalog.resampling import patient_means
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = patient_means(Tables(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    top = plan[:plan.index("Generate")]
+    assert "Exchange" not in top and "Join" not in top
+
+
+def test_tracking_leaves_no_rows_behind(spark, left_behind):
+    from partwise.plans import studies
+
+    frame = spark.range(60_000).select(F.lit("m").alias("method"), F.lit("p").alias("part"), F.col("id").alias("unit"), F.rand(1).alias("e"), F.rand(2).alias("t"))
+    whole, strata = studies.tracking(frame, 50, "s")
+    assert whole.first()["n"] == 60_000 and sorted(r["n"] for r in strata.collect()) == [20_000] * 3
+    # What stays are two ranks of four bytes for each unit.
+    assert left_behind() < 0.7
+
+
+def test_columns_of_a_group_are_not_copied_for_each_block_of_draws(spark):
+    from partwise.operators import auc_null as AN
+
+    rng = np.random.default_rng(2)
+    rows = [(i, "AB"[i % 2], "ab"[int(rng.integers(0, 2))]) for i in range(400)]
+    cells = [("m", i, "p", float(rng.integers(0, 50))) for i in range(400)]
+    made = AN.auc_draws(spark.createDataFrame(cells, "method STRING, sample INT, part STRING, value DOUBLE"),
+                        spark.createDataFrame(rows, "sample INT, tumour STRING, structure STRING"), [("C", "pairwise", "p", ["a", "b"], [], 1.0)], 300, "s")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("CartesianProduct"):]
+    assert "Exchange" not in below and made.count() == 301
