@@ -138,3 +138,18 @@ def test_columns_of_a_group_are_not_copied_for_each_block_of_draws(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("CartesianProduct"):]
     assert "Exchange" not in below and made.count() == 301
+
+
+def test_ranks_keep_a_row_per_strip_not_per_cell(spark, monkeypatch):
+    from partwise.operators import strips
+
+    kept = []
+    plain = strips.cut_lineage
+    monkeypatch.setattr(strips, "cut_lineage", lambda df: kept.append(df.count()) or plain(df))
+    rng = np.random.default_rng(6)
+    x, y = rng.random((2, 6000))
+    frame = spark.createDataFrame([("g", float(a), float(b)) for a, b in zip(x, y)], "g string, x double, y double").repartition(3).checkpoint()
+    got = strips.rank_sums(frame, ["g"], "x", "y", 100).first()
+    # 60 strips of x and of y have 3,600 cells; most of them held a row.
+    assert max(kept) <= 2 * 2 * 61
+    assert got["n"] == 6000 and got["_xy"] / got["_xx"] == pytest.approx(np.corrcoef(np.argsort(np.argsort(x)), np.argsort(np.argsort(y)))[0, 1])
