@@ -61,3 +61,22 @@ def test_stage_on_the_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect())
     assert got == sorted(plain_first({r["doc_id"]: r["text"] or "" for r in docs.collect()}))
+
+
+def test_linked_fingerprints_propose_pairs(spark, monkeypatch):
+    """Without a band in common, near copies meet in the group of their fingerprints; the exact similarity decides."""
+    rng = random.Random(9)
+    number = iter(range(1 << 40))
+    monkeypatch.setattr(near_copies, "bands", lambda grams: [next(number)])
+    texts = {}
+    for i in range(20):
+        words = [f"w{rng.randint(0, 50_000)}" for _ in range(900)]
+        texts |= {3 * i: " ".join(words), 3 * i + 1: " ".join([*words, "end"]), 3 * i + 2: " ".join(edited(rng, words, 300))}
+    rows = near_copies._keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id")
+    made = near_copies._prints([texts[i] for i in range(60)])
+    tk = {r["_key"]: r["_tk"] for r in rows.collect()}
+    prints = spark.createDataFrame([(i, tk[i], *[made[c][i] for c in ("fp", "n_grams", "bands", "sim")]) for i in range(60)],
+                                   "_key long, _tk long, fp long, n_grams long, bands array<long>, sim long").checkpoint()
+    root = {r["_fp"]: r["root"] for r in near_copies.groups(rows, prints, 0.8).collect()}
+    of = [root[made["fp"][i]] for i in range(60)]
+    assert sum(of[3 * i] == of[3 * i + 1] for i in range(20)) >= 18 and all(of[3 * i] != of[3 * i + 2] for i in range(20))
